@@ -40,8 +40,16 @@ def resolve_bars(bars: DataFrame, events: DataFrame | None = None, p: P.RunParam
                  keys: Sequence[str] = ("symbol",), bar_seconds: int = 86400,
                  seg_rows: int = ordered.SEG_ROWS) -> DataFrame:
     keys = list(keys)
-    ind = I.compute_indicators(bars, keys, bb_window=p.bb_window, trend_method=p.trend_method,
+    ind = I.compute_indicators(bars, keys, bb_window=p.bb_window, trend_method=None,
                                bar_seconds=bar_seconds, seg_rows=seg_rows)
+    return resolve_indicators(ind, events, p, keys, seg_rows)
+
+
+def resolve_indicators(ind: DataFrame, events: DataFrame | None = None, p: P.RunParams = P.RunParams(),
+                       keys: Sequence[str] = ("symbol",), seg_rows: int = ordered.SEG_ROWS) -> DataFrame:
+    """Indicators (without trend flags) -> resolved bars for one parameter set."""
+    keys = list(keys)
+    ind = I.trend_flags(ind, p.trend_method)
     sig = signals.with_blackout(ind, events, p.days_before, p.days_after)
     sig = signals.with_eligibility(sig, p.hv_min, p.hv_max)
     return positions.resolve(sig, keys, p.adx_exit_threshold, p.vwap_exit_k, p.use_bias, p.bias_strength,
@@ -53,6 +61,12 @@ def run_backtest(bars: DataFrame, events: DataFrame | None = None, p: P.RunParam
                  seg_rows: int = ordered.SEG_ROWS, persist: bool = True) -> BacktestResult:
     keys = list(keys)
     res = resolve_bars(bars, events, p, keys, bar_seconds, seg_rows)
+    return ledger_outputs(res, keys, seg_rows, persist)
+
+
+def ledger_outputs(res: DataFrame, keys: Sequence[str] = ("symbol",), seg_rows: int = ordered.SEG_ROWS,
+                   persist: bool = True) -> BacktestResult:
+    keys = list(keys)
     if persist:
         res = cut_lineage(res)
     tr = positions.trades(res, keys, seg_rows=seg_rows)

@@ -103,7 +103,8 @@ def compute_raw(bars: DataFrame, keys: Sequence[str] = ("symbol",), bb_window: i
     return h.select(*base, "idx", ordered.SEG,
                     "bb_mid", "bb_upper", "bb_lower",
                     F.col("_rsi").alias("rsi"), "atr", "plus_di", "minus_di", F.col("_adx").alias("adx"),
-                    "vwap_sma20", "bb_width", "bb_tightening", F.col("_hv").alias("hv"), "vwap_delta")
+                    "vwap_sma20", "bb_width", "bb_tightening", F.col("_hv").alias("hv"), "vwap_delta",
+                    F.col("_tr").alias("tr"))
 
 
 def trend_flags(df: DataFrame, method: str = P.DEFAULT_TREND_METHOD) -> DataFrame:
@@ -154,3 +155,25 @@ def validate_indicators(ind: DataFrame, keys: Sequence[str] = ("symbol",)) -> Da
         term = F.col(f"n_{c}") > 0
         ok = term if ok is None else ok & term
     return g.select(*keys, ok.alias("indicators_valid"))
+
+
+def bollinger(bars: DataFrame, keys: Sequence[str] = ("symbol",), column: str = "vwap",
+              window: int = P.BB_BASE_WINDOW, bar_seconds: int = 86400,
+              seg_rows: int = ordered.SEG_ROWS) -> DataFrame:
+    """Bands on any column (the fallback form uses ``close``)."""
+    keys = list(keys)
+    h = ordered.halo(indexed_bars(bars, keys, bar_seconds), back=window, seg_rows=seg_rows)
+    mid, std = _rolling_gated(column, ordered.seg_window(keys), window)
+    h = ordered.home(h.select("*", mid.alias("bb_mid"), std.alias("_s")))
+    k = F.lit(P.BB_STD_MULTIPLIER)
+    return h.select(*keys, "ts", "idx", "bb_mid", (F.col("bb_mid") + k * F.col("_s")).alias("bb_upper"),
+                    (F.col("bb_mid") - k * F.col("_s")).alias("bb_lower"))
+
+
+def ewm_series(bars: DataFrame, keys: Sequence[str] = ("symbol",), column: str = "close", alpha: float = ALPHA,
+               out: str = "ewm", bar_seconds: int = 86400, seg_rows: int = ordered.SEG_ROWS) -> DataFrame:
+    """The shared exponentially weighted mean as an operator of its own."""
+    keys = list(keys)
+    h = ordered.halo(indexed_bars(bars, keys, bar_seconds), back=ewm_lookback(alpha), seg_rows=seg_rows)
+    h = with_ewm(h, [*keys, ordered.SEG], {out: column}, alpha)
+    return ordered.home(h).select(*keys, "ts", "idx", out)

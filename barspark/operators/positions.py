@@ -137,7 +137,7 @@ def resolve(sig: DataFrame, keys: Sequence[str] = ("symbol",), adx_exit_threshol
     h = h.withColumn("exit_pnl", exit_pnl)
     h = ordered.home(h)
     drop = [c for c in h.columns if c.startswith("_") and c != ordered.SEG]
-    return h.drop(*drop, "put_wing", "call_wing")
+    return h.drop(*drop)
 
 
 def positions(res: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:

@@ -125,3 +125,69 @@ def pnl_moments(trades: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFra
     adj = F.sqrt(nn * (nn - 1)) / (nn - 2)
     skew = F.when(F.col("n") > 2, F.coalesce(F.nanvl(F.col("_g1"), F.lit(0.0)), F.lit(0.0)) * adj).otherwise(F.lit(0.0))
     return g.select(*keys, "n", "mean", "median", "std", skew.alias("skew"))
+
+
+def legacy_stats(trades: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Extra statistics of the first application version: undefined ratios are
+    NULL (not infinity), sums of wins/losses are clipped at zero."""
+    keys = list(keys)
+    o, pnl = F.col("outcome"), F.col("pnl")
+    win, loss = o == "win", o == "loss"
+    width = F.least(F.col("short_put") - F.col("long_put"), F.col("long_call") - F.col("short_call"))
+    risk = (width - F.col("net_credit")) * 100.0 + 4 * P.PER_LEG_FEE
+    g = trades.groupBy(*keys).agg(
+        F.max(risk).alias("max_risk"), F.max(pnl).alias("high_pl"), F.min(pnl).alias("low_pl"),
+        F.max(F.when(win, pnl)).alias("_bw"), F.min(F.when(loss, pnl)).alias("_wl"),
+        F.count_if(win | loss).alias("expired"),
+        F.sum(F.when(win, F.greatest(pnl, F.lit(0.0)))).alias("_ws"),
+        F.sum(F.when(loss, F.least(pnl, F.lit(0.0)))).alias("_ls"),
+        F.count_if(win).alias("_nw"), F.count_if(loss).alias("_nl"),
+        F.avg(F.when(win, pnl)).alias("_aw"), F.avg(F.when(loss, pnl)).alias("_al"))
+    ls = F.coalesce(F.col("_ls"), F.lit(0.0))
+    pf = F.when(ls < 0, F.coalesce(F.col("_ws"), F.lit(0.0)) / F.abs(ls))
+    rr = F.when((F.col("_nw") > 0) & (F.col("_nl") > 0) & (F.abs(F.col("_al")) > 0),
+                F.col("_aw") / F.abs(F.col("_al")))
+    return g.select(*keys, "max_risk", "high_pl", "low_pl", F.coalesce("_bw", F.lit(0.0)).alias("best_win"),
+                    F.coalesce("_wl", F.lit(0.0)).alias("worst_loss"), "expired",
+                    pf.alias("profit_factor_legacy"), rr.alias("reward_risk_legacy"))
+
+
+def trades_per_day(trades: DataFrame, equity: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """trades / (days / 252) / 252 over the equity curve's date range."""
+    keys = list(keys)
+    span = equity.groupBy(*keys).agg(F.datediff(F.to_date(F.max("ts")), F.to_date(F.min("ts"))).alias("date_range_days"))
+    n = trades.groupBy(*keys).agg(F.count(F.lit(1)).alias("trades"))
+    j = span.join(n, keys, "left").withColumn("trades", F.coalesce("trades", F.lit(0)))
+    d = F.col("date_range_days")
+    tpd = F.when(d > 0, F.col("trades") / (d / F.lit(252.0)) / F.lit(252.0)).otherwise(F.lit(0.0))
+    return j.select(*keys, "trades", d.cast("long").alias("date_range_days"), tpd.alias("trades_per_day"))
+
+
+def _top_desc(df: DataFrame, keys: list[str], order: str, n: int) -> DataFrame:
+    from pyspark.sql import Window
+    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
+    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
+
+
+def trades_display(trades: DataFrame, money: Sequence[str], keys: Sequence[str] = ("symbol",),
+                   n: int = P.MAX_TABLE_ROWS) -> DataFrame:
+    """Last ``n`` trades per key as display text: money '%.2f', minutes."""
+    keys = list(keys)
+    t = _top_desc(trades, keys, "trade_no", n)
+    return t.select(*keys, F.date_format("entry_date", "yyyy-MM-dd HH:mm").alias("entry_date"),
+                    F.date_format("expiry_date", "yyyy-MM-dd HH:mm").alias("expiry_date"),
+                    *[F.format_string("%.2f", F.col(c)).alias(c) for c in money], "outcome")
+
+
+def rejected_display(rejected: DataFrame, keys: Sequence[str] = ("symbol",), n: int = P.MAX_TABLE_ROWS) -> DataFrame:
+    keys = list(keys)
+    r = _top_desc(rejected, keys, "date", n)
+    return r.select(*keys, F.date_format("date", "yyyy-MM-dd HH:mm").alias("date"), "reasons",
+                    *[F.format_string("%.2f", F.col(c)).alias(c) for c in ("adx", "rsi", "hv")])
+
+
+def trade_markers(trades: DataFrame, bars: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Chart markers: entry at the entry bar's vwap, exit at the exit close.
+    The ledger already carries the entry bar's vwap, so no join is needed."""
+    return trades.select(*keys, "entry_date", F.col("entry_vwap"), "expiry_date",
+                         F.col("expiry_close").alias("exit_close"), "outcome")

@@ -170,7 +170,7 @@ def trades(res: DataFrame, keys: Sequence[str] = ("symbol",), seg_rows: int = or
                     F.col("ts").alias("entry_date"), F.col("exit_ts").alias("expiry_date"),
                     "short_put", "long_put", "short_call", "long_call", "net_credit",
                     F.col("exit_close").alias("expiry_close"), "pnl", "outcome",
-                    F.col("idx").alias("entry_idx"), (F.col("idx") + F.col("exit_off")).alias("exit_idx"),
+                    F.col("vwap").alias("entry_vwap"), F.col("idx").alias("entry_idx"), (F.col("idx") + F.col("exit_off")).alias("exit_idx"),
                     (~F.col("rule_exit")).alias("is_expiry")))
     t = t.withColumn("_tseg", F.floor(F.col("exit_idx") / F.lit(int(seg_rows))))
     order = ["exit_idx", "is_expiry", "entry_idx"]

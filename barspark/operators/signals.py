@@ -74,3 +74,16 @@ def rejection_reasons(rejected: DataFrame, keys: Sequence[str] = ("symbol",)) ->
     return (per.join(tot, keys)
                .select(*keys, "reason", "count",
                        (F.lit(100.0) * F.col("count") / F.col("_rows")).alias("pct")))
+
+
+def blackout_spans(bars: DataFrame, events: DataFrame, days_before: int = P.DEFAULT_DAYS_BEFORE,
+                   days_after: int = P.DEFAULT_DAYS_AFTER, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Each event's blocked span and how many bars of each key fall into it."""
+    d = F.col("event_date").cast("date")
+    days = events.select(d.alias("event_date"), F.date_sub(d, int(days_before)).alias("span_start"),
+                         F.date_add(d, int(days_after)).alias("span_end"))
+    days = days.withColumn("day", F.explode(F.sequence("span_start", "span_end")))
+    n = days.count()            # events x window days: tiny by construction, checked
+    days = F.broadcast(days) if n <= BROADCAST_MAX_DAYS else days
+    j = bars.select(*keys, F.to_date("ts").alias("day")).join(days, "day")
+    return j.groupBy(*keys, "event_date", "span_start", "span_end").agg(F.count(F.lit(1)).alias("bars_in_span"))

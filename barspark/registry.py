@@ -48,6 +48,9 @@ def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
             cols.append(r6(F.col(f.name).cast("double"), digits).alias(f.name))
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             cols.append(F.col(f.name).cast("long").alias(f.name))
+        elif isinstance(f.dataType, T.DateType):
+            # dates compare as ISO text (engines map DATE to different host types)
+            cols.append(F.date_format(F.col(f.name), "yyyy-MM-dd").alias(f.name))
         else:
             cols.append(F.col(f.name))
     return df.select(*cols)

@@ -1,0 +1,43 @@
+"""Seeded 5-minute random-walk bars (the bench/fixture generator).
+
+close = 100 * exp(running sum of N(0, 0.002) returns); open/high/low/vwap are
+noise around it with high >= max(open, close) and low <= min(open, close).
+Rows are generated in two explode steps (chunks, then rows inside a chunk) so
+one long series is spread over many tasks, and the running sum is the
+two-level segmented scan, not a per-symbol window.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..plans import ordered
+
+CHUNK = 8192
+START = dt.datetime(2024, 1, 1, 9, 30)
+
+
+def synthetic_bars(lengths: DataFrame, seed: int = 42, sigma: float = 0.002,
+                   seg_rows: int = ordered.SEG_ROWS) -> DataFrame:
+    """``lengths``: (symbol, n) -> n bars per symbol."""
+    chunks = lengths.select("symbol", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK)))
+                            .alias("chunk"))
+    chunks = chunks.repartition("symbol", "chunk")
+    rows = chunks.select("symbol", F.explode(F.sequence(F.col("chunk") * CHUNK,
+                                                        F.least(F.col("chunk") * CHUNK + CHUNK, F.col("n")) - 1))
+                         .alias("idx"))
+    rows = rows.withColumn("ret", F.randn(seed) * F.lit(sigma))
+    rows = ordered.segment(rows, "idx", seg_rows)
+    rows = ordered.running(rows, ["symbol"], ["idx"], {"cum": "ret"})
+    close = F.lit(100.0) * F.exp(F.col("cum"))
+    out = rows.select("symbol", "idx", (F.lit(START) + F.make_dt_interval(mins=F.col("idx") * 5)).alias("ts"),
+                      close.alias("close"))
+    out = out.withColumn("open", F.col("close") * (F.lit(1.0) + F.randn(seed + 1) * 0.0005))
+    hi = F.greatest("open", "close") * (F.lit(1.0) + F.abs(F.randn(seed + 2)) * 0.001)
+    lo = F.least("open", "close") * (F.lit(1.0) - F.abs(F.randn(seed + 3)) * 0.001)
+    out = out.withColumn("high", hi).withColumn("low", lo)
+    return out.select("symbol", "ts", "open", "high", "low", "close",
+                      ((F.col("high") + F.col("low") + F.col("close")) / 3.0).alias("vwap"))

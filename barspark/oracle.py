@@ -20,8 +20,9 @@ def dbl(x: float) -> str:
 
 
 def r6(e: str, digits: int = 6) -> str:
+    """Same comparison rounding as the Spark side (offset threshold)."""
     m = f"{10 ** digits}.0"
-    return f"(round(CAST(({e}) AS DOUBLE) * {m}) / {m} + 0.0)"
+    return f"(round(CAST(({e}) AS DOUBLE) * {m} + CAST(0.2345678 AS DOUBLE)) / {m} + 0.0)"
 
 
 def ticks_orders_sql() -> str:

@@ -35,9 +35,16 @@ def clear_memo() -> None:
     _MEMO.clear()
 
 
+# Comparison rounding: scale, add an offset that is not a short decimal, round
+# half away from zero, unscale. Values on the grid are unchanged; values with
+# a finite decimal expansion (prices, means of prices) can never sit exactly on
+# the rounding threshold, so engines that sum in different orders agree.
+ROUND_OFFSET = 0.2345678
+
+
 def r6(c, digits: int = 6):
     m = float(10 ** digits)
-    return F.round(c * F.lit(m)) / F.lit(m) + F.lit(0.0)
+    return F.round(c * F.lit(m) + F.lit(ROUND_OFFSET)) / F.lit(m) + F.lit(0.0)
 
 
 def finalize(df: DataFrame, digits: int = 6) -> DataFrame:

@@ -256,3 +256,31 @@ register("pnl_moments", _bt_sql(f""" SELECT symbol, count(*) AS n, {r6('avg(pnl)
   {r6('median(pnl)')} AS median, {r6('stddev_samp(pnl)')} AS std,
   {r6('CASE WHEN count(*) > 2 THEN coalesce(skewness(pnl), 0.0) ELSE 0.0 END')} AS skew FROM trades GROUP BY symbol"""))(
     lambda spark, sf: finalize(metrics.pnl_moments(result(spark, sf).trades)))
+
+
+register("invalid_positions", _bt_sql(f""" SELECT symbol, idx AS entry_idx, ts AS entry_date,
+  {_sqlcols(['bb_lower', 'bb_upper', 'short_put', 'long_put', 'short_call', 'long_call', 'net_credit'])}
+  FROM res WHERE eligible AND NOT strikes_ok"""))(
+    lambda spark, sf: finalize(positions.invalid_positions(result(spark, sf).bars)))
+
+
+# --- intraday (F2): hourly bars from events, Hourly Bollinger window (130) ----------
+HOURLY_BB = P.bb_window("Hourly")
+
+
+def hourly_indicators(spark, sf):
+    def build():
+        bars = resample_bars(ticks_events(spark, sf), "Hourly")
+        return cut_lineage(I.compute_indicators(bars, ["symbol"], bb_window=HOURLY_BB, trend_method="VWAP Slope",
+                                                bar_seconds=P.timeframe_seconds("Hourly")))
+    return memo(spark, ("ind-h", sf), build)
+
+
+_H_COLS = ["bb_mid", "bb_upper", "bb_lower", "rsi", "atr", "plus_di", "minus_di", "adx", "vwap_sma20", "bb_width",
+           "bb_tightening", "hv", "trend_up", "trend_down"]
+register("indicators_hourly", "WITH RECURSIVE " + O.indicator_ctes(O.bars_sql(O.ticks_events_sql(), 3600), HOURLY_BB,
+                                                                   "VWAP Slope")
+         + " SELECT symbol, ts, idx, " + ", ".join(
+             c if c in ("bb_tightening", "trend_up", "trend_down") else f"{r6(c)} AS {c}" for c in _H_COLS)
+         + " FROM ind")(
+    lambda spark, sf: finalize(hourly_indicators(spark, sf).select("symbol", "ts", "idx", *_H_COLS)))

@@ -659,3 +659,12 @@ def q_spans(spark, sf):
     from .sources.fixtures import blackout_dates
     return finalize(blackout_spans(result(spark, sf).bars, blackout_dates(spark), DEFAULT.days_before,
                                    DEFAULT.days_after))
+
+
+@register("ingest_upload", INGEST_SQL.replace("SELECT symbol, '1d' AS timeframe", "SELECT upper(symbol) AS symbol, "
+                                                "'streamlit_upload' AS vendor, '1d' AS timeframe")
+          .replace("replace(replace(symbol,", "replace(replace(upper(symbol),"))
+def q_ingest_upload(spark, sf):
+    """Upload path: symbol upper-cased, vendor recorded as the upload source."""
+    b = daily_bars(spark, sf).withColumn("symbol", F.upper("symbol"))
+    return finalize(ingest_frame(spark, b).withColumn("vendor", F.lit("streamlit_upload")))

@@ -43,10 +43,14 @@ def _rolling_gated(x, w, n, min_count=None):
 
 
 def indexed_bars(bars: DataFrame, keys: Sequence[str] = ("symbol",), bar_seconds: int = 86400) -> DataFrame:
-    """Bars with a per-key 0-based ``idx`` in time order."""
+    """Bars with a per-key 0-based ``idx`` in time order.
+
+    The bars (already the reduced table) are materialised first: the row
+    index reads them twice, and a lineage cut here keeps an executor loss from
+    re-aggregating the ticks."""
     if "idx" in bars.columns:
         return bars
-    return ordered.with_row_index(bars, keys, ["ts"], "ts", bar_seconds)
+    return ordered.with_row_index(cut_lineage(bars), keys, ["ts"], "ts", bar_seconds)
 
 
 def compute_raw(bars: DataFrame, keys: Sequence[str] = ("symbol",), bb_window: int = P.BB_BASE_WINDOW,

@@ -49,16 +49,20 @@ def with_row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Col
 
     ``bar_seconds`` is the smallest spacing of distinct timestamps (the bar
     width); it bounds the rows of one time bucket by ``rows_per_bucket``.
+    Row numbers are taken per (key, bucket) first; the bucket sizes come from
+    that same window output, so the input is shuffled once and both branches
+    reuse the exchange; the offsets table has one row per bucket.
     """
     keys = list(keys)
     width = int(bar_seconds) * int(rows_per_bucket)
     b = df.withColumn("_tb", F.floor(epoch_seconds(ts) / F.lit(width)))
-    counts = b.groupBy(*keys, "_tb").agg(F.count(F.lit(1)).alias("_n"))
+    wl = Window.partitionBy(*keys, "_tb").orderBy(*order)
+    local = b.withColumn("_rn", F.row_number().over(wl))
+    counts = local.groupBy(*keys, "_tb").agg(F.max("_rn").alias("_n"))
     wk = Window.partitionBy(*keys).orderBy("_tb").rowsBetween(UNB, -1)
     offsets = counts.select(*keys, "_tb", F.coalesce(F.sum("_n").over(wk), F.lit(0)).alias("_off"))
-    j = b.join(offsets, on=[*keys, "_tb"], how="inner")
-    wl = Window.partitionBy(*keys, "_tb").orderBy(*order)
-    return j.withColumn(out, (F.col("_off") + F.row_number().over(wl) - 1).cast("long")).drop("_tb", "_off")
+    j = local.join(offsets, on=[*keys, "_tb"], how="inner")
+    return j.withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long")).drop("_tb", "_off", "_rn")
 
 
 def halo(df: DataFrame, idx: str = "idx", back: int = 0, fwd: int = 0,

@@ -18,6 +18,10 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Window stages are CPU-bound: do not let AQE merge small shuffles into a
+    # single task (its 1 MB floor does that at bench scale); large data still
+    # coalesces towards the 64 MB advisory size.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16KB",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",

@@ -87,3 +87,41 @@ def trades_view(tr: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
 
 def equity_view(eq: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     return eq.select(*keys, F.col("ts").alias("date"), "cash")
+
+
+def run_grid(bars: DataFrame | None, events: DataFrame | None, runs: list, keys: Sequence[str] = ("symbol",),
+             bar_seconds: int = 86400, seg_rows: int = ordered.SEG_ROWS,
+             indicators: dict | None = None) -> BacktestResult:
+    """Many parameter sets in one job, keyed by (run_id, *keys).
+
+    Indicators are computed once per distinct Bollinger window (usually one;
+    ``indicators`` may supply them). The runs are a literal list: each
+    indicator row is expanded once per run (a generate over a literal array,
+    no join), the run parameters become columns, and every later window,
+    carry and aggregate is keyed by ``run_id`` as well.
+    """
+    keys = list(keys)
+    rkeys = ["run_id", *keys]
+    parts = []
+    for bb in sorted({p.bb_window for p in runs}):
+        if indicators and bb in indicators:
+            ind = indicators[bb]
+        else:
+            ind = I.compute_indicators(bars, keys, bb_window=bb, trend_method=None, bar_seconds=bar_seconds,
+                                       seg_rows=seg_rows)
+        spec = F.array(*[F.struct(
+            F.lit(p.run_id).alias("run_id"), F.lit(float(p.hv_min)).alias("p_hv_min"),
+            F.lit(float(p.hv_max)).alias("p_hv_max"), F.lit(float(p.adx_exit_threshold)).alias("p_adx_exit"),
+            F.lit(float(p.vwap_exit_k)).alias("p_vwap_k"), F.lit(bool(p.use_bias)).alias("p_use_bias"),
+            F.lit(float(p.bias_strength)).alias("p_bias"), F.lit(p.trend_method).alias("p_trend"),
+            F.lit(float(p.wing_ext_pct)).alias("p_wing_ext")) for p in runs if p.bb_window == bb])
+        parts.append(ind.select("*", F.explode(spec).alias("_p")).select("*", "_p.*").drop("_p"))
+    x = parts[0]
+    for q in parts[1:]:
+        x = x.unionByName(q)
+    x = I.trend_flags(x, F.col("p_trend"))
+    sig = signals.with_blackout_runs(x, events, runs)
+    sig = signals.with_eligibility(sig, F.col("p_hv_min"), F.col("p_hv_max"))
+    res = positions.resolve(sig, rkeys, F.col("p_adx_exit"), F.col("p_vwap_k"), F.col("p_use_bias"),
+                            F.col("p_bias"), F.col("p_wing_ext"), seg_rows=seg_rows)
+    return ledger_outputs(res, rkeys, seg_rows)

@@ -111,9 +111,17 @@ def compute_raw(bars: DataFrame, keys: Sequence[str] = ("symbol",), bb_window: i
                     F.col("_tr").alias("tr"))
 
 
-def trend_flags(df: DataFrame, method: str = P.DEFAULT_TREND_METHOD) -> DataFrame:
-    """trend_up / trend_down by method; any other method -> both false."""
-    if method == "VWAP Slope":
+def trend_flags(df: DataFrame, method=P.DEFAULT_TREND_METHOD) -> DataFrame:
+    """trend_up / trend_down by method; any other method -> both false.
+    ``method`` may be a per-run column."""
+    if isinstance(method, F.Column):
+        vd, sma = F.col("vwap_delta"), F.col("vwap_sma20")
+        pdi, mdi, strong = F.col("plus_di"), F.col("minus_di"), F.col("adx") > P.TREND_ADX_LEVEL
+        up = (F.when(method == "VWAP Slope", vd > 0).when(method == "VWAP vs SMA20", F.col("vwap") > sma)
+               .when(method == "ADX + DI", (pdi > mdi) & strong).otherwise(F.lit(False)))
+        down = (F.when(method == "VWAP Slope", vd < 0).when(method == "VWAP vs SMA20", F.col("vwap") < sma)
+                 .when(method == "ADX + DI", (mdi > pdi) & strong).otherwise(F.lit(False)))
+    elif method == "VWAP Slope":
         up, down = F.col("vwap_delta") > 0, F.col("vwap_delta") < 0
     elif method == "VWAP vs SMA20":
         up, down = F.col("vwap") > F.col("vwap_sma20"), F.col("vwap") < F.col("vwap_sma20")

@@ -31,22 +31,30 @@ def condor_pnl(price: Column, sp: Column, lp: Column, sc: Column, lc: Column, cr
     return pnl, F.when(win, F.lit("win")).otherwise(F.lit("loss"))
 
 
-def strikes(use_bias: bool, bias_strength: float, wing_ext_pct: float) -> dict[str, Column]:
-    """Short strikes (half-even rounding), wings, long strikes and credit."""
+def _c(v) -> Column:
+    return v if isinstance(v, Column) else F.lit(v)
+
+
+def strikes(use_bias, bias_strength, wing_ext_pct) -> dict[str, Column]:
+    """Short strikes (half-even rounding) and wings. Parameters may be Python
+    values or per-run columns."""
     lo, hi = F.col("bb_lower"), F.col("bb_upper")
     up, down = F.col("trend_up"), F.col("trend_down")
-    if use_bias:
-        b = float(bias_strength)
-        sp = F.when(up, F.rint(lo + 0.5 * b)).when(down, F.rint(lo - b)).otherwise(F.rint(lo))
-        sc = F.when(up, F.rint(hi + b)).when(down, F.rint(hi - 0.5 * b)).otherwise(F.rint(hi))
-    else:
+    if isinstance(use_bias, bool) and not use_bias:
         sp, sc = F.rint(lo), F.rint(hi)
-    ext = 1.0 + max(0.0, float(wing_ext_pct)) / 100.0
+    else:
+        bias, b = _c(use_bias), _c(bias_strength).cast("double")
+        sp = (F.when(bias & up, F.rint(lo + F.lit(0.5) * b)).when(bias & down, F.rint(lo - b))
+               .otherwise(F.rint(lo)))
+        sc = (F.when(bias & up, F.rint(hi + b)).when(bias & down, F.rint(hi - F.lit(0.5) * b))
+               .otherwise(F.rint(hi)))
+    if isinstance(wing_ext_pct, Column):
+        wide = F.lit(P.DEFAULT_WING_WIDTH) * (F.lit(1.0) + F.greatest(wing_ext_pct.cast("double"), F.lit(0.0)) / 100.0)
+    else:
+        wide = F.lit(P.DEFAULT_WING_WIDTH * (1.0 + max(0.0, float(wing_ext_pct)) / 100.0))
     tight = F.col("bb_tightening")
-    put_wing = F.when(up & F.col("_prev_down") & tight, F.lit(P.DEFAULT_WING_WIDTH * ext)) \
-                .otherwise(F.lit(P.DEFAULT_WING_WIDTH))
-    call_wing = F.when(down & F.col("_prev_up") & tight, F.lit(P.DEFAULT_WING_WIDTH * ext)) \
-                 .otherwise(F.lit(P.DEFAULT_WING_WIDTH))
+    put_wing = F.when(up & F.col("_prev_down") & tight, wide).otherwise(F.lit(P.DEFAULT_WING_WIDTH))
+    call_wing = F.when(down & F.col("_prev_up") & tight, wide).otherwise(F.lit(P.DEFAULT_WING_WIDTH))
     return {"short_put": sp, "short_call": sc, "put_wing": put_wing, "call_wing": call_wing}
 
 
@@ -70,11 +78,13 @@ def resolve(sig: DataFrame, keys: Sequence[str] = ("symbol",), adx_exit_threshol
                  F.lag("trend_up").over(w).alias("_prev_up"), F.lag("trend_down").over(w).alias("_prev_down"))
     s_now, s_prev = F.signum(vd), F.signum(F.col("_vd_prev"))
     reversal = (s_now != 0) & (s_prev != 0) & (s_now != s_prev)
-    diverged = F.abs(close - vwap) >= F.lit(float(vwap_exit_k)) * (F.col("bb_upper") - F.col("bb_mid"))
+    k_vwap = vwap_exit_k if isinstance(vwap_exit_k, Column) else F.lit(float(vwap_exit_k))
+    thr = adx_exit_threshold if isinstance(adx_exit_threshold, Column) else F.lit(float(adx_exit_threshold))
+    diverged = F.abs(close - vwap) >= k_vwap * (F.col("bb_upper") - F.col("bb_mid"))
     side = ((vd > 0) & (close > vwap)) | ((vd < 0) & (close < vwap))
     h = h.select("*",
                  F.coalesce((F.col("idx") > 1) & reversal & diverged & side, F.lit(False)).alias("vwap_hit"),
-                 F.coalesce(F.col("adx") >= F.lit(float(adx_exit_threshold)), F.lit(False)).alias("adx_hit"),
+                 F.coalesce(F.col("adx") >= thr, F.lit(False)).alias("adx_hit"),
                  (F.weekday("ts") == 4).alias("_fri"),
                  F.coalesce(F.col("_prev_up"), F.lit(False)).alias("_pu"),
                  F.coalesce(F.col("_prev_down"), F.lit(False)).alias("_pd"))

@@ -12,6 +12,11 @@ from .. import params as P
 BROADCAST_MAX_DAYS = 5_000_000
 
 
+def as_col(v) -> F.Column:
+    """A parameter given as a Python value or as a (per-run) column."""
+    return v if isinstance(v, F.Column) else F.lit(v)
+
+
 def blackout_days(events: DataFrame, days_before: int, days_after: int) -> DataFrame:
     """Distinct calendar days covered by ``[event - before, event + after]``.
 
@@ -36,13 +41,41 @@ def with_blackout(bars: DataFrame, events: DataFrame | None, days_before: int =
     return j.withColumn("blackout", F.col("blackout_day").isNotNull()).drop("blackout_day")
 
 
-def conditions(hv_min: float = P.DEFAULT_HV_MIN, hv_max: float = P.DEFAULT_HV_MAX) -> dict[str, F.Column]:
-    """Entry conditions; a comparison with a missing value is false."""
+def with_blackout_runs(bars: DataFrame, events: DataFrame | None, runs: list, ts: str = "ts") -> DataFrame:
+    """Per-run blackout flag for bars keyed by ``run_id``.
+
+    ``runs`` is the literal list of ``RunParams``; each event row is expanded
+    once per run (a generate over a literal array) and then over that run's
+    window days. The day table has at most runs x events x window-days rows,
+    counted before it is broadcast, and joins on (run_id, day).
+    """
+    if events is None:
+        return bars.withColumn("blackout", F.lit(False))
+    d = F.col("event_date").cast("date")
+    spec = F.array(*[F.struct(F.lit(p.run_id).alias("run_id"), F.lit(int(p.days_before)).alias("b"),
+                              F.lit(int(p.days_after)).alias("a")) for p in runs])
+    days = (events.select(d.alias("e"), F.explode(spec).alias("r"))
+                  .select(F.col("r.run_id").alias("_bo_run"),
+                          F.explode(F.sequence(F.date_sub("e", F.col("r.b")), F.date_add("e", F.col("r.a"))))
+                           .alias("blackout_day"))
+                  .distinct())
+    n = days.count()
+    days = F.broadcast(days) if n <= BROADCAST_MAX_DAYS else days
+    cond = (F.col("run_id") == F.col("_bo_run")) & (F.to_date(F.col(ts)) == F.col("blackout_day"))
+    j = bars.join(days, cond, "left")
+    return j.withColumn("blackout", F.col("blackout_day").isNotNull()).drop("blackout_day", "_bo_run")
+
+
+def conditions(hv_min=P.DEFAULT_HV_MIN, hv_max=P.DEFAULT_HV_MAX) -> dict[str, F.Column]:
+    """Entry conditions; a comparison with a missing value is false. ``hv_min``
+    and ``hv_max`` may be per-run columns."""
     adx, rsi, hv = F.col("adx"), F.col("rsi"), F.col("hv")
+    lo = as_col(float(hv_min)) if not isinstance(hv_min, F.Column) else hv_min
+    hi = as_col(float(hv_max)) if not isinstance(hv_max, F.Column) else hv_max
     return {
         "cond_adx": F.coalesce(adx < P.ADX_ENTRY_THRESHOLD, F.lit(False)),
         "cond_rsi": F.coalesce((rsi >= P.RSI_LOWER_BOUND) & (rsi <= P.RSI_UPPER_BOUND), F.lit(False)),
-        "cond_hv": F.coalesce((hv >= F.lit(float(hv_min))) & (hv <= F.lit(float(hv_max))), F.lit(False)),
+        "cond_hv": F.coalesce((hv >= lo) & (hv <= hi), F.lit(False)),
     }
 
 

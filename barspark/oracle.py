@@ -281,3 +281,30 @@ summary AS (SELECT *,
         CASE WHEN total_risk > 0 THEN 100.0 * total_pnl / total_risk ELSE 0.0 END AS return_on_risk_pct
       FROM s0)
 """
+
+
+_PER_RUN_CTES = ["sig0", "sig", "p1", "p2", "p3", "p4", "p5", "p6", "p7", "p8", "p9", "res", "equity", "dd2", "dd",
+                 "ts_", "isl", "stk", "mdd", "s0", "summary"]
+
+
+def suffix_ctes(sql: str, sfx: str) -> str:
+    """Rename the per-run CTEs of ``signal_ctes + position_ctes (+ summary_select)``
+    so several runs can share one WITH clause. ``trades`` is also a column name,
+    so only its CTE definition and FROM/JOIN uses are renamed."""
+    import re
+    for n in _PER_RUN_CTES:
+        sql = re.sub(rf"(?<![\w.]){re.escape(n)}(?![\w])(?!\s*\()", n + sfx, sql)
+    sql = re.sub(r"\btrades AS MATERIALIZED", f"trades{sfx} AS MATERIALIZED", sql)
+    sql = re.sub(r"\b(FROM|JOIN) trades\b", rf"\1 trades{sfx}", sql)
+    return sql
+
+
+def grid_with(runs, bars: str | None = None) -> str:
+    """One WITH clause: shared indicators, then signals/positions/summary per run."""
+    bars = bars or bars_sql(ticks_orders_sql(), 86400)
+    trend = {p.trend_method for p in runs}
+    bbs = {p.bb_window for p in runs}
+    assert len(trend) == 1 and len(bbs) == 1, "the oracle shares one indicator chain"
+    body = ",".join(suffix_ctes(signal_ctes(p) + "," + position_ctes(p) + summary_select(), f"_{i}")
+                    for i, p in enumerate(runs))
+    return "WITH RECURSIVE " + indicator_ctes(bars, bbs.pop(), trend.pop()) + "," + body

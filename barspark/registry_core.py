@@ -284,3 +284,26 @@ register("indicators_hourly", "WITH RECURSIVE " + O.indicator_ctes(O.bars_sql(O.
              c if c in ("bb_tightening", "trend_up", "trend_down") else f"{r6(c)} AS {c}" for c in _H_COLS)
          + " FROM ind")(
     lambda spark, sf: finalize(hourly_indicators(spark, sf).select("symbol", "ts", "idx", *_H_COLS)))
+
+
+# --- many runs in one job ---------------------------------------------------------
+GRID = (P.RunParams(run_id="run-0"), P.RunParams(hv_min=10.0, hv_max=50.0, run_id="wide"),
+        P.RunParams(adx_exit_threshold=25, run_id="adx25"),
+        P.RunParams(use_bias=True, days_before=3, days_after=2, wing_ext_pct=40.0, run_id="bias"))
+
+
+def grid_result(spark, sf, runs=GRID):
+    def build():
+        return BT.run_grid(None, blackout_dates(spark), list(runs), ["symbol"],
+                           indicators={P.BB_BASE_WINDOW: indicators(spark, sf)})
+    return memo(spark, ("grid", sf, tuple(p.run_id for p in runs), runs), build)
+
+
+def _grid_sql(runs=GRID):
+    sel = ", ".join(c if c in _INTS else f"{r6(c)} AS {c}" for c in SUMMARY_COLS)
+    return O.grid_with(list(runs)) + " " + " UNION ALL ".join(
+        f"SELECT '{p.run_id}' AS run_id, symbol, {sel} FROM summary_{i}" for i, p in enumerate(runs))
+
+
+register("backtest_grid", _grid_sql())(
+    lambda spark, sf: finalize(grid_result(spark, sf).summary.select("run_id", "symbol", *SUMMARY_COLS)))

@@ -367,12 +367,13 @@ def _ingest_dir(spark, sf):
         root = files.scratch(spark, "ingest-dir")
         b = daily_bars(spark, sf)
         cols = [F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("timestamp"), "open", "high", "low", "close", "volume"]
-        for s in [r["symbol"] for r in b.select("symbol").distinct().collect()]:   # one folder per symbol (tiny list)
-            safe = re.sub(r"[^A-Za-z0-9-]", "-", s)
-            files.write_csv(b.filter(F.col("symbol") == s).select(*cols), f"{root}/{safe}_1d.csv")
+        # one folder per symbol from ONE partitioned write: <root>/file=<SYMBOL>_1d/part-*.csv
+        name = F.concat(F.regexp_replace("symbol", "[^A-Za-z0-9-]", "-"), F.lit("_1d"))
+        (b.select(*cols, name.alias("file")).write.mode("overwrite").option("header", True)
+          .partitionBy("file").csv(root))
         ev = resample_seconds(ticks_events(spark, sf), 3600)
         files.write_csv(ev.select(cols[0], "open", "high", "low", "close", F.col("volume").alias("vol")),
-                        f"{root}/EVENTS_1h.csv")
+                        f"{root}/file=EVENTS_1h")
         return root
     return memo(spark, ("ingest-dir", sf), build)
 
@@ -477,33 +478,27 @@ def _dataset_of(spark, sf):
 
 
 def run_store(spark, sf):
+    """Both parameter sets are resolved in ONE grid job, then stored."""
+    from .registry_core import grid_result
+
     def build():
         bars = daily_bars(spark, sf)
         ds = _dataset_of(spark, sf)
+        g = grid_result(spark, sf, tuple(p for p, _ in RUN_SETS))
         rr, tt = None, None
         for p, order in RUN_SETS:
-            r = result(spark, sf, p)
-            a = runs.run_rows(p, order, r.trades, r.drawdown, bars, ds)
-            t = runs.trade_rows(p, r.trades)
+            tr = g.trades.filter(F.col("run_id") == p.run_id).drop("run_id")
+            dd = g.drawdown.filter(F.col("run_id") == p.run_id).drop("run_id")
+            a = runs.run_rows(p, order, tr, dd, bars, ds)
+            t = runs.trade_rows(p, tr)
             rr = a if rr is None else rr.unionByName(a)
             tt = t if tt is None else tt.unionByName(t)
         return cut_lineage(rr), cut_lineage(tt)
     return memo(spark, ("runs", sf), build)
 
 
-def _suffix(sql: str, suffix: str) -> str:
-    names = ["sig0", "sig", "p1", "p2", "p3", "p4", "p5", "p6", "p7", "p8", "p9", "res", "trades", "equity", "dd",
-             "dd2"]
-    for n in names:
-        sql = re.sub(rf"\b{n}\b(?=\s+AS\s+MATERIALIZED|\s*(WINDOW|WHERE|\)|$|,|\s+JOIN|\s+e\b|\s+GROUP))",
-                     n + suffix, sql)
-        sql = re.sub(rf"\bFROM {n}\b", f"FROM {n}{suffix}", sql)
-    return sql
-
-
 def _run_ctes(p, order, sfx):
-    body = O.signal_ctes(p) + "," + O.position_ctes(p)
-    body = _suffix(body, sfx)
+    body = O.suffix_ctes(O.signal_ctes(p) + "," + O.position_ctes(p), sfx)
     cfg = runs.config_json(p).replace("'", "''")
     return body + f""",
 runs{sfx} AS (SELECT '{p.run_id}:' || r.symbol AS run_id, r.symbol, ds.dataset_id,

@@ -94,17 +94,18 @@ def file_fingerprint(spark: SparkSession, path_glob: str) -> DataFrame:
 
 def ingest_directory(spark: SparkSession, root: str, pattern: str = "*",
                      required: Sequence[str] = ("timestamp", "open", "high", "low", "close", "volume")) -> tuple:
-    """All CSV files under ``root/{pattern}.csv`` in ONE job.
+    """All CSV data sets in the folders ``root/{pattern}`` in ONE job.
 
+    A data set is a folder of CSV part files (``<stem>`` or ``<col>=<stem>``).
     Lines are read as text with their file path; each file's header row gives
-    that file's column positions (a small per-file table), a file missing a
-    required column is routed to the rejects, the rest are parsed positionally.
-    Symbol = file stem up to the first '_'. Returns (bars, per-file report).
+    that file's column positions (a small per-file table), a data set missing
+    a required column is routed to the rejects, the rest are parsed
+    positionally. Symbol = stem up to the first '_'. Returns (bars, report).
     """
-    lines = (spark.read.text(f"{root}/{pattern}.csv")
+    lines = (spark.read.text(f"{root}/{pattern}/*.csv")
                   .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")))
-    stem = F.element_at(F.split(F.col("file"), "/"), -2)          # .../<stem>.csv/part-*.csv
-    stem = F.regexp_replace(stem, r"\.csv$", "")
+    stem = F.element_at(F.split(F.col("file"), "/"), -2)          # .../<stem>/part-*.csv
+    stem = F.regexp_replace(F.regexp_replace(stem, "^[^=]*=", ""), r"\.csv$", "")
     lines = lines.withColumn("symbol", F.split(stem, "_").getItem(0))
     fields = F.split(F.col("line"), ",")
     is_header = F.lower(F.trim(fields.getItem(0))) == "timestamp"

@@ -199,9 +199,10 @@ p3 AS MATERIALIZED (SELECT *, round_even(short_put - put_wing, 0) AS long_put,
         round_even(short_call + call_wing, 0) AS long_call,
         {dbl(P.DEFAULT_CREDIT_MULTIPLIER)} * least(call_wing, put_wing) AS net_credit, {leads}
       FROM p2 WINDOW w AS (PARTITION BY symbol ORDER BY idx)),
-p4 AS MATERIALIZED (SELECT *, {expiry} AS expiry_off FROM p3),
+p4 AS MATERIALIZED (SELECT *, CAST({expiry} AS BIGINT) AS expiry_off FROM p3),
 p5 AS MATERIALIZED (SELECT *, {rk} AS rk, {rr} AS rr FROM p4),
-p6 AS MATERIALIZED (SELECT *, CASE WHEN rk IS NOT NULL THEN rk WHEN expiry_off > 0 THEN expiry_off END AS exit_off
+p6 AS MATERIALIZED (SELECT *, CAST(CASE WHEN rk IS NOT NULL THEN rk WHEN expiry_off > 0 THEN expiry_off END AS BIGINT)
+        AS exit_off
       FROM p5),
 p7 AS MATERIALIZED (SELECT *, {pick_c} AS exit_close, {pick_t} AS exit_ts,
         coalesce(long_put < short_put AND short_put < short_call AND short_call < long_call AND net_credit > 0, false)

@@ -5,13 +5,12 @@ the hourly bars derived from ``events`` (F2)."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from . import oracle as O
 from . import params as P
 from .operators import backtest as BT
 from .operators import indicators as I
-from .operators import ledger, metrics, positions, signals
+from .operators import metrics, positions, signals
 from .operators.resample import resample_bars, resample_ohlcv
 from .registry import finalize, memo, register
 from .session import cut_lineage

@@ -3,9 +3,6 @@ files and streams, the run store, and the presentation-side metric views."""
 
 from __future__ import annotations
 
-import json
-import re
-
 from pyspark.sql import functions as F
 
 from . import oracle as O
@@ -15,11 +12,11 @@ from .operators import metrics, quality, runs
 from .operators.bars import bars_latest, bars_range, bars_resampled, top_rows
 from .operators.resample import resample_seconds
 from .registry import finalize, memo, register
-from .registry_core import DEFAULT, daily_bars, indicators, result
+from .registry_core import DEFAULT, daily_bars, result
 from .session import cut_lineage
 from .sources import files
 from .sources.fixtures import (catalog_datasets, catalog_symbols, dirty_ticks, symbol_id_expr, table,
-                               ticks_events, ticks_orders)
+                               ticks_events)
 from .streaming.incremental import ingest_incremental
 
 r6 = O.r6

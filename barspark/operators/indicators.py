@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,21 +138,36 @@ def trend_flags(df: DataFrame, method=P.DEFAULT_TREND_METHOD) -> DataFrame:
 
 def compute_indicators(bars: DataFrame, keys: Sequence[str] = ("symbol",), bb_window: int = P.BB_BASE_WINDOW,
                        trend_method: str | None = P.DEFAULT_TREND_METHOD, bar_seconds: int = 86400,
-                       fill: str = "both", seg_rows: int = ordered.SEG_ROWS, keep_seg: bool = False) -> DataFrame:
+                       fill: str = "both", seg_rows: int = ordered.SEG_ROWS, keep_seg: bool = False,
+                       materialize: bool = True) -> DataFrame:
     """Indicators + trend flags. ``fill='both'`` reproduces the back-then-forward
     fill of rsi/adx/hv (which reads future values into the warm-up);
-    ``fill='none'`` leaves them NULL there."""
+    ``fill='none'`` leaves them NULL there.
+
+    The fill reads the raw frame twice (local pass + segment carry). With
+    ``materialize`` (default) the raw frame is cached only while the finished
+    indicator frame is checkpointed, then released; otherwise the raw frame
+    itself is checkpointed and the result stays lazy.
+    """
     keys = list(keys)
     raw = compute_raw(bars, keys, bb_window, bar_seconds, seg_rows)
+    cached = None
     if fill == "both":
-        # the fill reads the raw frame twice (local pass + segment carry):
-        # cut the lineage there instead of evaluating the window chain twice
-        out = ordered.fill_both(cut_lineage(raw), keys, FILLED)
+        if materialize:
+            cached = raw.persist(StorageLevel.MEMORY_AND_DISK)
+            out = ordered.fill_both(cached, keys, FILLED)
+        else:
+            out = ordered.fill_both(cut_lineage(raw), keys, FILLED)
     else:
         out = raw
     if trend_method is not None:
         out = trend_flags(out, trend_method)
-    return out if keep_seg else out.drop(ordered.SEG)
+    out = out if keep_seg else out.drop(ordered.SEG)
+    if materialize:
+        out = cut_lineage(out)
+        if cached is not None:
+            cached.unpersist()
+    return out
 
 
 def validate_indicators(ind: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:

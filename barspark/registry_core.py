@@ -27,7 +27,7 @@ def daily_bars(spark, sf):
 
 def indicators(spark, sf, bb=P.BB_BASE_WINDOW):
     def build():
-        return cut_lineage(I.compute_indicators(daily_bars(spark, sf), ["symbol"], bb_window=bb, trend_method=None))
+        return I.compute_indicators(daily_bars(spark, sf), ["symbol"], bb_window=bb, trend_method=None)
     return memo(spark, ("ind", sf, bb), build)
 
 
@@ -270,8 +270,8 @@ HOURLY_BB = P.bb_window("Hourly")
 def hourly_indicators(spark, sf):
     def build():
         bars = resample_bars(ticks_events(spark, sf), "Hourly")
-        return cut_lineage(I.compute_indicators(bars, ["symbol"], bb_window=HOURLY_BB, trend_method="VWAP Slope",
-                                                bar_seconds=P.timeframe_seconds("Hourly")))
+        return I.compute_indicators(bars, ["symbol"], bb_window=HOURLY_BB, trend_method="VWAP Slope",
+                                    bar_seconds=P.timeframe_seconds("Hourly"))
     return memo(spark, ("ind-h", sf), build)
 
 

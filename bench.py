@@ -29,7 +29,9 @@ def main() -> None:
     from barspark.registry import clear_memo, load_all
     from barspark.session import get_spark
 
-    spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(cpus))
+    # local mode runs every task inside the driver JVM: size its heap like an executor
+    spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(cpus),
+                      extra={"spark.driver.memory": os.environ.get("BENCH_DRIVER_MEMORY", "16g")})
     reg = load_all()
 
     def run(name: str) -> float:

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import params as P
+from ..session import ts_lit
 
 STORE_EPOCH = dt.datetime(2024, 1, 1, 0, 0, 0)
 
@@ -39,7 +40,7 @@ def run_rows(p: P.RunParams, order: int, trades: DataFrame, equity_dd: DataFrame
     j = rng.join(t, "symbol", "left").join(dd, "symbol", "left").join(dataset_of, "symbol", "left")
     return j.select(
         F.concat(F.lit(p.run_id + ":"), F.col("symbol")).alias("run_id"), "symbol", "dataset_id",
-        F.lit(STORE_EPOCH + dt.timedelta(seconds=order)).alias("created_at"),
+        ts_lit(STORE_EPOCH + dt.timedelta(seconds=order)).alias("created_at"),
         F.lit(config_json(p)).alias("config"), "start_date", "end_date",
         F.coalesce("total_trades", F.lit(0)).cast("long").alias("total_trades"),
         F.coalesce("win_rate", F.lit(0.0)).alias("win_rate"),

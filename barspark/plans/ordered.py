@@ -26,7 +26,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SEG_ROWS = 1 << 16          # rows per segment at scale
 ROWS_PER_BUCKET = 1 << 16   # bar widths per time bucket for the row index
@@ -36,10 +35,11 @@ UNB = Window.unboundedPreceding
 
 
 def epoch_seconds(ts: str | Column) -> Column:
+    """Seconds since 1970-01-01 00:00 of the wall-clock time (no time zone is
+    involved, so bucketing is the same in every session)."""
     c = F.col(ts) if isinstance(ts, str) else ts
-    # Explicit LTZ type: the session default timestamp type is NTZ. The
-    # session zone is UTC, so this is the wall-clock epoch.
-    return F.unix_seconds(c.cast(T.TimestampType()))
+    days = F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")).cast("long")
+    return days * 86400 + F.hour(c) * 3600 + F.minute(c) * 60 + F.second(c)
 
 
 def with_row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],

@@ -18,8 +18,14 @@ _MEMO: dict = {}
 
 
 def register(name: str, sql: str | None = None):
+    """Register ``fn(spark, sf_dir)``; the runtime settings the engine relies on
+    (UTC, NTZ timestamps, ANSI, AQE floors) are applied to the given session."""
     def deco(fn):
-        REG[name] = (fn, sql)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            from .session import configure
+            return fn(configure(spark), sf_dir)
+        run.__name__ = getattr(fn, "__name__", name)
+        REG[name] = (run, sql)
         return fn
     return deco
 

@@ -13,7 +13,7 @@ from .operators.bars import bars_latest, bars_range, bars_resampled, top_rows
 from .operators.resample import resample_seconds
 from .registry import finalize, memo, register
 from .registry_core import DEFAULT, daily_bars, result
-from .session import cut_lineage
+from .session import cut_lineage, ts_lit
 from .sources import files
 from .sources.fixtures import (catalog_datasets, catalog_symbols, dirty_ticks, symbol_id_expr, table,
                                ticks_events)
@@ -165,13 +165,12 @@ UPD_TS = "2024-06-01 00:00:00"
 
 
 def _updates(spark, sf):
-    import datetime as dt
     e = table(spark, sf, "events").select(F.col("event_type").alias("symbol")).distinct() \
         .withColumn("asset_type", F.lit("derivative")).withColumn("vendor", F.lit("events-v2"))
     li = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("symbol")).distinct() \
         .withColumn("asset_type", F.lit("commodity")).withColumn("vendor", F.lit("lineitem"))
     u = e.unionByName(li)
-    t = F.lit(dt.datetime.fromisoformat(UPD_TS))
+    t = ts_lit(UPD_TS)
     return u.select(symbol_id_expr("symbol").alias("symbol_id"), "symbol", "asset_type", "vendor",
                     F.concat(F.lit("updated symbol "), F.col("symbol")).alias("description"),
                     t.alias("created_at"), t.alias("updated_at"))
@@ -196,14 +195,13 @@ def _new_datasets(spark, sf):
     g = li.groupBy("symbol", F.year("ts").alias("part")).agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"),
                                                              F.count(F.lit(1)).alias("row_count"))
     start, end = F.date_format("t0", "yyyy-MM-dd"), F.date_format("t1", "yyyy-MM-dd")
-    import datetime as dt
     fresh = g.select((symbol_id_expr("symbol") * F.lit(100000) + F.col("part") * F.lit(10) + F.lit(3)).alias("dataset_id"),
                      symbol_id_expr("symbol").alias("symbol_id"), F.lit("1d").alias("timeframe"),
                      start.alias("start_date"), end.alias("end_date"), F.col("row_count").cast("long").alias("row_count"),
                      F.concat(F.lit("bars/"), F.col("symbol"), F.lit("_1d_"), start, F.lit("_"), end,
                               F.lit(".parquet")).alias("file_path"),
                      (F.col("row_count") * F.lit(48) + F.lit(4096)).cast("long").alias("file_size_bytes"),
-                     F.lit(dt.datetime.fromisoformat(UPD_TS)).alias("created_at"))
+                     ts_lit(UPD_TS).alias("created_at"))
     again = catalog_datasets(spark, sf).filter(F.col("start_date").startswith("1995"))
     return fresh.unionByName(again)
 

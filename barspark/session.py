@@ -33,6 +33,34 @@ DEFAULT_CONF = {
 }
 
 
+def ts_lit(value) -> "Column":
+    """A TIMESTAMP_NTZ literal from a naive datetime or 'YYYY-MM-DD HH:MM:SS'
+    text, independent of the session time zone and default timestamp type."""
+    from pyspark.sql import functions as F
+
+    text = value.isoformat(sep=" ") if hasattr(value, "isoformat") else str(value)
+    return F.lit(text).cast("timestamp_ntz")
+
+
+# Runtime SQL settings the engine's semantics rely on; applied to whatever
+# session a query is given (the driver may pass its own).
+RUNTIME_CONF = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.timestampType": "TIMESTAMP_NTZ",
+    "spark.sql.ansi.enabled": "true",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16KB",
+    "spark.sql.windowExec.buffer.in.memory.threshold": str(1 << 17),
+}
+
+
+def configure(spark: SparkSession) -> SparkSession:
+    for k, v in RUNTIME_CONF.items():
+        if spark.conf.get(k, None) != v:
+            spark.conf.set(k, v)
+    return spark
+
+
 def get_spark(master: str | None = None, app: str = "barspark",
               shuffle_partitions: int | None = None, extra: dict | None = None) -> SparkSession:
     b = SparkSession.builder.appName(app)

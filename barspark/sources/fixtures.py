@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
+from ..session import ts_lit
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,8 +92,8 @@ def catalog_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
         symbol_id_expr("symbol").alias("symbol_id"),
         "symbol", "asset_type", "vendor",
         F.concat(F.lit("derived symbol "), F.col("symbol")).alias("description"),
-        F.lit(CATALOG_CREATED).alias("created_at"),
-        F.lit(CATALOG_CREATED).alias("updated_at"),
+        ts_lit(CATALOG_CREATED).alias("created_at"),
+        ts_lit(CATALOG_CREATED).alias("updated_at"),
     )
 
 
@@ -131,5 +132,5 @@ def catalog_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("bars/"), safe, F.lit("_"), F.col("timeframe"), F.lit("_"), start, F.lit("_"), end,
                  F.lit(".parquet")).alias("file_path"),
         (F.col("row_count") * F.lit(48) + F.lit(4096)).cast("long").alias("file_size_bytes"),
-        F.lit(CATALOG_CREATED).alias("created_at"),
+        ts_lit(CATALOG_CREATED).alias("created_at"),
     )

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans import ordered
+from ..session import ts_lit
 
 CHUNK = 8192
 START = dt.datetime(2024, 1, 1, 9, 30)
@@ -33,7 +34,7 @@ def synthetic_bars(lengths: DataFrame, seed: int = 42, sigma: float = 0.002,
     rows = ordered.segment(rows, "idx", seg_rows)
     rows = ordered.running(rows, ["symbol"], ["idx"], {"cum": "ret"})
     close = F.lit(100.0) * F.exp(F.col("cum"))
-    out = rows.select("symbol", "idx", (F.lit(START) + F.make_dt_interval(mins=F.col("idx") * 5)).alias("ts"),
+    out = rows.select("symbol", "idx", (ts_lit(START) + F.make_dt_interval(mins=F.col("idx") * 5)).alias("ts"),
                       close.alias("close"))
     out = out.withColumn("open", F.col("close") * (F.lit(1.0) + F.randn(seed + 1) * 0.0005))
     hi = F.greatest("open", "close") * (F.lit(1.0) + F.abs(F.randn(seed + 2)) * 0.001)

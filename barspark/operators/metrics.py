@@ -27,16 +27,16 @@ def streaks(trades: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Longest run of 'win' and of 'loss' in trade order (anything else breaks a run).
 
     For the rows of one outcome, ``trade_no - count of that outcome so far`` is
-    constant inside a run, so a run is a group."""
+    constant inside a run, so a run is a group: one partial aggregate over
+    (key, outcome, run), then one over key."""
     keys = list(keys)
-    out = None
-    for name, counter, alias in (("win", "wins_so_far", "win_streak"), ("loss", "losses_so_far", "loss_streak")):
-        runs = (trades.filter(F.col("outcome") == name)
-                      .groupBy(*keys, (F.col("trade_no") - F.col(counter)).alias("_island"))
-                      .agg(F.count(F.lit(1)).alias("_len"))
-                      .groupBy(*keys).agg(F.max("_len").alias(alias)))
-        out = runs if out is None else out.join(runs, keys, "full")
-    return out
+    o = F.col("outcome")
+    island = F.when(o == "win", F.col("trade_no") - F.col("wins_so_far")) \
+              .otherwise(F.col("trade_no") - F.col("losses_so_far"))
+    runs = (trades.filter(o.isin("win", "loss"))
+                  .groupBy(*keys, "outcome", island.alias("_island")).agg(F.count(F.lit(1)).alias("_len")))
+    return runs.groupBy(*keys).agg(F.max(F.when(o == "win", F.col("_len"))).alias("win_streak"),
+                                   F.max(F.when(o == "loss", F.col("_len"))).alias("loss_streak"))
 
 
 def trade_stats(trades: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:

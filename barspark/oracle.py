@@ -132,7 +132,24 @@ def blackout_values(dates=None) -> str:
     return "SELECT event_date FROM (VALUES " + ", ".join(f"(DATE '{d}')" for d in ds) + ") v(event_date)"
 
 
-def signal_ctes(p: P.RunParams = P.RunParams(), blackout: bool = True) -> str:
+def _trend_sql(trend: str) -> tuple[str, str]:
+    if trend == "VWAP Slope":
+        return "vwap_delta > 0", "vwap_delta < 0"
+    if trend == "VWAP vs SMA20":
+        return "vwap > vwap_sma20", "vwap < vwap_sma20"
+    if trend == "ADX + DI":
+        return "plus_di > minus_di AND adx > 20", "minus_di > plus_di AND adx > 20"
+    return "false", "false"
+
+
+def signal_ctes(p: P.RunParams = P.RunParams(), blackout: bool = True, own_trend: bool = False) -> str:
+    """``own_trend``: recompute the trend flags for this run's method (grids
+    share one indicator chain across runs with different methods)."""
+    src = "ind"
+    if own_trend:
+        tu, td = _trend_sql(p.trend_method)
+        src = (f"(SELECT * EXCLUDE (trend_up, trend_down), coalesce({tu}, false) AS trend_up, "
+               f"coalesce({td}, false) AS trend_down FROM ind) ind")
     if blackout:
         bo = (f"EXISTS (SELECT 1 FROM ({blackout_values()}) e WHERE CAST(ind.ts AS DATE) BETWEEN "
               f"e.event_date - INTERVAL {int(p.days_before)} DAY AND e.event_date + INTERVAL {int(p.days_after)} DAY)")
@@ -142,7 +159,7 @@ def signal_ctes(p: P.RunParams = P.RunParams(), blackout: bool = True) -> str:
 sig0 AS MATERIALIZED (SELECT ind.*, {bo} AS blackout,
         coalesce(adx < {P.ADX_ENTRY_THRESHOLD}, false) AS cond_adx,
         coalesce(rsi >= {P.RSI_LOWER_BOUND} AND rsi <= {P.RSI_UPPER_BOUND}, false) AS cond_rsi,
-        coalesce(hv >= {dbl(p.hv_min)} AND hv <= {dbl(p.hv_max)}, false) AS cond_hv FROM ind),
+        coalesce(hv >= {dbl(p.hv_min)} AND hv <= {dbl(p.hv_max)}, false) AS cond_hv FROM {src}),
 sig AS MATERIALIZED (SELECT *, cond_adx AND cond_rsi AND cond_hv AND NOT blackout AS eligible FROM sig0)
 """
 
@@ -303,9 +320,8 @@ def suffix_ctes(sql: str, sfx: str) -> str:
 def grid_with(runs, bars: str | None = None) -> str:
     """One WITH clause: shared indicators, then signals/positions/summary per run."""
     bars = bars or bars_sql(ticks_orders_sql(), 86400)
-    trend = {p.trend_method for p in runs}
     bbs = {p.bb_window for p in runs}
-    assert len(trend) == 1 and len(bbs) == 1, "the oracle shares one indicator chain"
-    body = ",".join(suffix_ctes(signal_ctes(p) + "," + position_ctes(p) + summary_select(), f"_{i}")
+    assert len(bbs) == 1, "the oracle shares one indicator chain"
+    body = ",".join(suffix_ctes(signal_ctes(p, own_trend=True) + "," + position_ctes(p) + summary_select(), f"_{i}")
                     for i, p in enumerate(runs))
-    return "WITH RECURSIVE " + indicator_ctes(bars, bbs.pop(), trend.pop()) + "," + body
+    return "WITH RECURSIVE " + indicator_ctes(bars, bbs.pop(), "none") + "," + body

@@ -288,7 +288,9 @@ register("indicators_hourly", "WITH RECURSIVE " + O.indicator_ctes(O.bars_sql(O.
 # --- many runs in one job ---------------------------------------------------------
 GRID = (P.RunParams(run_id="run-0"), P.RunParams(hv_min=10.0, hv_max=50.0, run_id="wide"),
         P.RunParams(adx_exit_threshold=25, run_id="adx25"),
-        P.RunParams(use_bias=True, days_before=3, days_after=2, wing_ext_pct=40.0, run_id="bias"))
+        P.RunParams(use_bias=True, days_before=3, days_after=2, wing_ext_pct=40.0, run_id="bias"),
+        P.RunParams(use_bias=True, trend_method="ADX + DI", bias_strength=3.0, run_id="adxdi"),
+        P.RunParams(trend_method="VWAP vs SMA20", use_bias=True, run_id="sma"))
 
 
 def grid_result(spark, sf, runs=GRID):

@@ -31,31 +31,34 @@ def condor_pnl(price: Column, sp: Column, lp: Column, sc: Column, lc: Column, cr
     return pnl, F.when(win, F.lit("win")).otherwise(F.lit("loss"))
 
 
-def _c(v) -> Column:
-    return v if isinstance(v, Column) else F.lit(v)
-
-
-def strikes(use_bias, bias_strength, wing_ext_pct) -> dict[str, Column]:
-    """Short strikes (half-even rounding) and wings. Parameters may be Python
-    values or per-run columns."""
-    lo, hi = F.col("bb_lower"), F.col("bb_upper")
-    up, down = F.col("trend_up"), F.col("trend_down")
+def _sql(v) -> str:
+    """SQL text of a parameter: a column reference or a typed literal."""
+    if isinstance(v, Column):
+        return f"({v._jc.toString()})"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    return f"CAST({float(v)!r} AS DOUBLE)"
+
+
+def strikes_sql(use_bias, bias_strength, wing_ext_pct) -> dict[str, str]:
+    """Short strikes (half-even rounding ``rint``) and wings as SQL expressions.
+    Parameters may be Python values or per-run columns."""
     if isinstance(use_bias, bool) and not use_bias:
-        sp, sc = F.rint(lo), F.rint(hi)
+        sp, sc = "rint(bb_lower)", "rint(bb_upper)"
     else:
-        bias, b = _c(use_bias), _c(bias_strength).cast("double")
-        sp = (F.when(bias & up, F.rint(lo + F.lit(0.5) * b)).when(bias & down, F.rint(lo - b))
-               .otherwise(F.rint(lo)))
-        sc = (F.when(bias & up, F.rint(hi + b)).when(bias & down, F.rint(hi - F.lit(0.5) * b))
-               .otherwise(F.rint(hi)))
+        ub, b = _sql(use_bias), f"CAST({_sql(bias_strength)} AS DOUBLE)"
+        sp = (f"CASE WHEN {ub} AND trend_up THEN rint(bb_lower + 0.5D * {b}) "
+              f"WHEN {ub} AND trend_down THEN rint(bb_lower - {b}) ELSE rint(bb_lower) END")
+        sc = (f"CASE WHEN {ub} AND trend_up THEN rint(bb_upper + {b}) "
+              f"WHEN {ub} AND trend_down THEN rint(bb_upper - 0.5D * {b}) ELSE rint(bb_upper) END")
     if isinstance(wing_ext_pct, Column):
-        wide = F.lit(P.DEFAULT_WING_WIDTH) * (F.lit(1.0) + F.greatest(wing_ext_pct.cast("double"), F.lit(0.0)) / 100.0)
+        wide = f"({P.DEFAULT_WING_WIDTH!r}D * (1.0D + greatest(CAST({_sql(wing_ext_pct)} AS DOUBLE), 0.0D) / 100.0D))"
     else:
-        wide = F.lit(P.DEFAULT_WING_WIDTH * (1.0 + max(0.0, float(wing_ext_pct)) / 100.0))
-    tight = F.col("bb_tightening")
-    put_wing = F.when(up & F.col("_prev_down") & tight, wide).otherwise(F.lit(P.DEFAULT_WING_WIDTH))
-    call_wing = F.when(down & F.col("_prev_up") & tight, wide).otherwise(F.lit(P.DEFAULT_WING_WIDTH))
-    return {"short_put": sp, "short_call": sc, "put_wing": put_wing, "call_wing": call_wing}
+        wide = f"{P.DEFAULT_WING_WIDTH * (1.0 + max(0.0, float(wing_ext_pct)) / 100.0)!r}D"
+    base = f"{P.DEFAULT_WING_WIDTH!r}D"
+    return {"short_put": sp, "short_call": sc,
+            "put_wing": f"CASE WHEN trend_up AND _prev_down AND bb_tightening THEN {wide} ELSE {base} END",
+            "call_wing": f"CASE WHEN trend_down AND _prev_up AND bb_tightening THEN {wide} ELSE {base} END"}
 
 
 def resolve(sig: DataFrame, keys: Sequence[str] = ("symbol",), adx_exit_threshold: float = P.DEFAULT_ADX_EXIT,
@@ -68,83 +71,64 @@ def resolve(sig: DataFrame, keys: Sequence[str] = ("symbol",), adx_exit_threshol
     ``expiry_off``, ``exit_off``, ``outcome``, ``pnl``, ``exit_ts``,
     ``exit_close``, ``rule_exit``, ``strikes_ok``; and ``exit_pnl`` = P&L of
     all positions closing on this bar. Keeps ``_seg`` (home rows only).
+    The expressions are generated as SQL text (one call per projection).
     """
     keys = list(keys)
     h = ordered.halo(sig, back=K + 3, fwd=K, seg_rows=seg_rows)
-    w = ordered.seg_window(keys)
-    vd = F.col("vwap_delta")
-    close, vwap = F.col("close"), F.col("vwap")
-    h = h.select("*", F.lag(vd).over(w).alias("_vd_prev"),
-                 F.lag("trend_up").over(w).alias("_prev_up"), F.lag("trend_down").over(w).alias("_prev_down"))
-    s_now, s_prev = F.signum(vd), F.signum(F.col("_vd_prev"))
-    reversal = (s_now != 0) & (s_prev != 0) & (s_now != s_prev)
-    k_vwap = vwap_exit_k if isinstance(vwap_exit_k, Column) else F.lit(float(vwap_exit_k))
-    thr = adx_exit_threshold if isinstance(adx_exit_threshold, Column) else F.lit(float(adx_exit_threshold))
-    diverged = F.abs(close - vwap) >= k_vwap * (F.col("bb_upper") - F.col("bb_mid"))
-    side = ((vd > 0) & (close > vwap)) | ((vd < 0) & (close < vwap))
-    h = h.select("*",
-                 F.coalesce((F.col("idx") > 1) & reversal & diverged & side, F.lit(False)).alias("vwap_hit"),
-                 F.coalesce(F.col("adx") >= thr, F.lit(False)).alias("adx_hit"),
-                 (F.weekday("ts") == 4).alias("_fri"),
-                 F.coalesce(F.col("_prev_up"), F.lit(False)).alias("_pu"),
-                 F.coalesce(F.col("_prev_down"), F.lit(False)).alias("_pd"))
-    h = h.drop("_prev_up", "_prev_down").withColumnRenamed("_pu", "_prev_up").withColumnRenamed("_pd", "_prev_down")
-    st = strikes(use_bias, bias_strength, wing_ext_pct)
-    h = h.select("*", *[v.alias(k) for k, v in st.items()])
-    h = h.select("*",
-                 F.rint(F.col("short_put") - F.col("put_wing")).alias("long_put"),
-                 F.rint(F.col("short_call") + F.col("call_wing")).alias("long_call"),
-                 (F.lit(P.DEFAULT_CREDIT_MULTIPLIER) * F.least("call_wing", "put_wing")).alias("net_credit"))
+    W = f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in [*keys, ordered.SEG])} ORDER BY `idx`)"
+    h = h.selectExpr("*", f"lag(vwap_delta) {W} AS _vd_prev", f"coalesce(lag(trend_up) {W}, false) AS _prev_up",
+                     f"coalesce(lag(trend_down) {W}, false) AS _prev_down")
+    k_vwap, thr = _sql(vwap_exit_k), _sql(adx_exit_threshold)
+    h = h.selectExpr(
+        "*",
+        f"coalesce(idx > 1 AND signum(vwap_delta) != 0 AND signum(_vd_prev) != 0 "
+        f"AND signum(vwap_delta) != signum(_vd_prev) AND abs(close - vwap) >= {k_vwap} * (bb_upper - bb_mid) "
+        f"AND ((vwap_delta > 0 AND close > vwap) OR (vwap_delta < 0 AND close < vwap)), false) AS vwap_hit",
+        f"coalesce(adx >= {thr}, false) AS adx_hit",
+        "weekday(ts) = 4 AS _fri",
+        *[f"{e} AS {n}" for n, e in strikes_sql(use_bias, bias_strength, wing_ext_pct).items()])
     leads = []
     for k in range(0, K + 1):
-        leads += [F.lead("idx", k).over(w).alias(f"_i{k}"), F.lead("_fri", k).over(w).alias(f"_f{k}"),
-                  F.lead("close", k).over(w).alias(f"_c{k}"), F.lead("ts", k).over(w).alias(f"_t{k}")]
+        leads += [f"lead(idx, {k}) {W} AS _i{k}", f"lead(_fri, {k}) {W} AS _f{k}",
+                  f"lead(close, {k}) {W} AS _c{k}", f"lead(ts, {k}) {W} AS _t{k}"]
         if k:
-            leads += [F.lead("adx_hit", k).over(w).alias(f"_a{k}"), F.lead("vwap_hit", k).over(w).alias(f"_v{k}")]
-    h = h.select("*", *leads)
+            leads += [f"lead(adx_hit, {k}) {W} AS _a{k}", f"lead(vwap_hit, {k}) {W} AS _v{k}"]
+    h = h.selectExpr("*", "rint(short_put - put_wing) AS long_put", "rint(short_call + call_wing) AS long_call",
+                     f"{P.DEFAULT_CREDIT_MULTIPLIER!r}D * least(call_wing, put_wing) AS net_credit", *leads)
     # expiry: first Friday among bars i .. i+5 that exist, else the last of them
-    last_k = F.lit(0)
-    for k in range(1, K + 1):
-        last_k = F.when(F.col(f"_i{k}").isNotNull(), F.lit(k)).otherwise(last_k)
-    expiry = last_k
-    for k in range(K, -1, -1):
-        expiry = F.when(F.coalesce(F.col(f"_f{k}"), F.lit(False)), F.lit(k)).otherwise(expiry)
-    h = h.withColumn("expiry_off", expiry)
-    sp, sc, lp, lc = F.col("short_put"), F.col("short_call"), F.col("long_put"), F.col("long_call")
-    rule_k, rule_reason = F.lit(None).cast("int"), F.lit(None).cast("string")
-    for k in range(K, 0, -1):
-        c = F.col(f"_c{k}")
-        broke = F.coalesce((c < lp) | (c > lc), F.lit(False))
-        breach = F.coalesce((c < sp) | (c > sc), F.lit(False))
-        reason = (F.when(broke, F.lit("broke")).when(breach, F.lit("breach"))
-                   .when(F.col(f"_a{k}"), F.lit("adx_exit")).when(F.col(f"_v{k}"), F.lit("vwap_exit")))
-        live = F.lit(k) < F.col("expiry_off")
-        rule_k = F.when(live & reason.isNotNull(), F.lit(k)).otherwise(rule_k)
-        rule_reason = F.when(live & reason.isNotNull(), reason).otherwise(rule_reason)
-    h = h.select("*", rule_k.alias("_rk"), rule_reason.alias("_rr"))
-    exit_off = F.when(F.col("_rk").isNotNull(), F.col("_rk")) \
-                .when(F.col("expiry_off") > 0, F.col("expiry_off"))
-    h = h.withColumn("exit_off", exit_off)
-    pick_c, pick_t = F.lit(None).cast("double"), F.lit(None).cast("timestamp_ntz")
-    for k in range(1, K + 1):
-        pick_c = F.when(F.col("exit_off") == k, F.col(f"_c{k}")).otherwise(pick_c)
-        pick_t = F.when(F.col("exit_off") == k, F.col(f"_t{k}")).otherwise(pick_t)
-    price = F.col("exit_close")
-    pnl, outcome = condor_pnl(price, sp, lp, sc, lc, F.col("net_credit"))
-    ok = F.coalesce((lp < sp) & (sp < sc) & (sc < lc) & (F.col("net_credit") > 0), F.lit(False))
-    h = h.select("*", pick_c.alias("exit_close"), pick_t.alias("exit_ts"), ok.alias("strikes_ok"))
-    h = h.select("*", F.when(F.col("exit_off").isNotNull(), pnl).alias("pnl"),
-                 F.when(F.col("_rr").isNotNull(), F.col("_rr")).when(F.col("exit_off").isNotNull(), outcome)
-                  .alias("outcome"),
-                 F.col("_rk").isNotNull().alias("rule_exit"))
-    closes = F.col("eligible") & F.col("strikes_ok") & F.col("exit_off").isNotNull()
-    h = h.withColumn("_closing_pnl", F.when(closes, F.col("pnl")))
-    h = h.withColumn("_closing_off", F.when(closes, F.col("exit_off")))
-    exit_pnl = F.lit(0.0)
-    for k in range(1, K + 1):
-        exit_pnl = exit_pnl + F.coalesce(
-            F.when(F.lag("_closing_off", k).over(w) == k, F.lag("_closing_pnl", k).over(w)), F.lit(0.0))
-    h = h.withColumn("exit_pnl", exit_pnl)
+    last_k = "CASE " + " ".join(f"WHEN _i{k} IS NOT NULL THEN {k}" for k in range(K, 0, -1)) + " ELSE 0 END"
+    expiry = "CASE " + " ".join(f"WHEN coalesce(_f{k}, false) THEN {k}" for k in range(0, K + 1)) + f" ELSE {last_k} END"
+    h = h.selectExpr("*", f"{expiry} AS expiry_off")
+
+    def reason(k):
+        return (f"CASE WHEN coalesce(_c{k} < long_put OR _c{k} > long_call, false) THEN 'broke' "
+                f"WHEN coalesce(_c{k} < short_put OR _c{k} > short_call, false) THEN 'breach' "
+                f"WHEN _a{k} THEN 'adx_exit' WHEN _v{k} THEN 'vwap_exit' END")
+    live = [f"{k} < expiry_off AND ({reason(k)}) IS NOT NULL" for k in range(1, K + 1)]
+    rk = "CASE " + " ".join(f"WHEN {c} THEN {k}" for k, c in zip(range(1, K + 1), live)) + " END"
+    rr = "CASE " + " ".join(f"WHEN {c} THEN {reason(k)}" for k, c in zip(range(1, K + 1), live)) + " END"
+    h = h.selectExpr("*", f"{rk} AS _rk", f"{rr} AS _rr")
+    h = h.selectExpr("*", "CASE WHEN _rk IS NOT NULL THEN _rk WHEN expiry_off > 0 THEN expiry_off END AS exit_off")
+    pick_c = "CASE exit_off " + " ".join(f"WHEN {k} THEN _c{k}" for k in range(1, K + 1)) + " END"
+    pick_t = "CASE exit_off " + " ".join(f"WHEN {k} THEN _t{k}" for k in range(1, K + 1)) + " END"
+    h = h.selectExpr("*", f"{pick_c} AS exit_close", f"{pick_t} AS exit_ts",
+                     "coalesce(long_put < short_put AND short_put < short_call AND short_call < long_call "
+                     "AND net_credit > 0, false) AS strikes_ok")
+    win = "exit_close >= short_put AND exit_close <= short_call"
+    fees = f"{FEES!r}D"
+    width = "CASE WHEN exit_close > short_call THEN long_call - short_call ELSE short_put - long_put END"
+    pnl = (f"CASE WHEN {win} THEN net_credit * {P.CONTRACT_MULTIPLIER} - {fees} "
+           f"ELSE -(({width}) - net_credit) * {P.CONTRACT_MULTIPLIER} - {fees} END")
+    h = h.selectExpr("*", f"CASE WHEN exit_off IS NOT NULL THEN {pnl} END AS pnl",
+                     f"CASE WHEN _rr IS NOT NULL THEN _rr WHEN exit_off IS NOT NULL THEN "
+                     f"(CASE WHEN {win} THEN 'win' ELSE 'loss' END) END AS outcome",
+                     "_rk IS NOT NULL AS rule_exit")
+    closes = "eligible AND strikes_ok AND exit_off IS NOT NULL"
+    h = h.selectExpr("*", f"CASE WHEN {closes} THEN pnl END AS _closing_pnl",
+                     f"CASE WHEN {closes} THEN exit_off END AS _closing_off")
+    exit_pnl = " + ".join(["0.0D"] + [f"coalesce(CASE WHEN lag(_closing_off, {k}) {W} = {k} THEN "
+                                      f"lag(_closing_pnl, {k}) {W} END, 0.0D)" for k in range(1, K + 1)])
+    h = h.selectExpr("*", f"{exit_pnl} AS exit_pnl")
     h = ordered.home(h)
     drop = [c for c in h.columns if c.startswith("_") and c != ordered.SEG]
     return h.drop(*drop)

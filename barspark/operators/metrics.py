@@ -41,18 +41,18 @@ def streaks(trades: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
 
 def trade_stats(trades: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     keys = list(keys)
-    o, pnl = F.col("outcome"), F.col("pnl")
-    win_pnl = F.when(o == "win", pnl)
-    loss_pnl = F.when(o == "loss", pnl)
-    width = F.least(F.col("short_put") - F.col("long_put"), F.col("long_call") - F.col("short_call"))
-    risk = (width - F.col("net_credit")) * P.CONTRACT_MULTIPLIER + 4 * P.PER_LEG_FEE
-    return trades.groupBy(*keys).agg(
-        *outcome_counts_cols(),
-        F.sum(pnl).alias("total_pnl"), F.avg(pnl).alias("avg_pnl"),
-        F.max(pnl).alias("best_trade"), F.min(pnl).alias("worst_trade"),
-        F.avg(win_pnl).alias("_avg_win"), F.sum(win_pnl).alias("_tot_win"),
-        F.avg(loss_pnl).alias("_avg_loss"), F.sum(loss_pnl).alias("_tot_loss"),
-        F.avg(risk).alias("avg_risk"), F.sum(risk).alias("total_risk"))
+    risk = (f"((least(short_put - long_put, long_call - short_call) - net_credit) * {P.CONTRACT_MULTIPLIER} "
+            f"+ {4 * P.PER_LEG_FEE!r}D)")
+    counts = ["count(1) AS trades"] + [f"count_if(outcome = '{o}') AS {a}" for o, a in (
+        ("win", "wins"), ("loss", "losses"), ("breach", "breaches"), ("adx_exit", "adx_exits"),
+        ("vwap_exit", "vwap_exits"), ("broke", "brokes"))]
+    sums = ["sum(pnl) AS total_pnl", "avg(pnl) AS avg_pnl", "max(pnl) AS best_trade", "min(pnl) AS worst_trade",
+            "avg(CASE WHEN outcome = 'win' THEN pnl END) AS _avg_win",
+            "sum(CASE WHEN outcome = 'win' THEN pnl END) AS _tot_win",
+            "avg(CASE WHEN outcome = 'loss' THEN pnl END) AS _avg_loss",
+            "sum(CASE WHEN outcome = 'loss' THEN pnl END) AS _tot_loss",
+            f"avg({risk}) AS avg_risk", f"sum({risk}) AS total_risk"]
+    return trades.groupBy(*keys).agg(*[F.expr(e) for e in counts + sums])
 
 
 def summary(trades: DataFrame, dd: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -63,26 +63,31 @@ def summary(trades: DataFrame, dd: DataFrame, keys: Sequence[str] = ("symbol",))
     mdd = max_drawdown_from(dd, keys)
     base = dd.select(*keys).distinct()
     j = base.join(s, keys, "left").join(st, keys, "left").join(mdd, keys, "left")
-    z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
-    zi = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    trades_n = zi("trades")
-    avg_win, tot_win = z("_avg_win"), z("_tot_win")
-    avg_loss, tot_loss = F.abs(z("_avg_loss")), F.abs(z("_tot_loss"))
-    pf = F.when(tot_loss > 0, tot_win / tot_loss).when(tot_win > 0, F.lit(float("inf"))).otherwise(F.lit(0.0))
-    rr = F.when((avg_loss > 0) & (avg_win > 0), avg_win / avg_loss).otherwise(F.lit(0.0))
-    ror = F.when(z("total_risk") > 0, F.lit(100.0) * z("total_pnl") / z("total_risk")).otherwise(F.lit(0.0))
-    return j.select(
-        *keys, trades_n.alias("trades"), zi("wins").alias("wins"), zi("losses").alias("losses"),
-        zi("breaches").alias("breaches"), zi("adx_exits").alias("adx_exits"), zi("vwap_exits").alias("vwap_exits"),
-        zi("brokes").alias("brokes"),
-        F.when(trades_n > 0, F.lit(100.0) * zi("wins") / trades_n).otherwise(F.lit(0.0)).alias("win_rate"),
-        z("total_pnl").alias("total_pnl"), z("max_drawdown").alias("max_drawdown"),
-        z("max_drawdown_pct").alias("max_drawdown_pct"), pf.alias("profit_factor"),
-        z("avg_pnl").alias("avg_pnl"), avg_win.alias("avg_win"), avg_loss.alias("avg_loss"),
-        rr.alias("reward_risk_ratio"), z("best_trade").alias("best_trade"), z("worst_trade").alias("worst_trade"),
-        zi("win_streak").alias("win_streak"), zi("loss_streak").alias("loss_streak"),
-        ror.alias("return_on_risk_pct"), tot_win.alias("total_wins"), tot_loss.alias("total_losses"),
-        z("avg_risk").alias("avg_risk"), z("total_risk").alias("total_risk"))
+
+    def z(c):
+        return f"coalesce({c}, 0.0D)"
+
+    def zi(c):
+        return f"CAST(coalesce({c}, 0) AS BIGINT)"
+    tw, tl = z("_tot_win"), f"abs({z('_tot_loss')})"
+    aw, al = z("_avg_win"), f"abs({z('_avg_loss')})"
+    n = zi("trades")
+    cols = [f"{n} AS trades", *[f"{zi(c)} AS {c}" for c in ("wins", "losses", "breaches", "adx_exits",
+                                                              "vwap_exits", "brokes")],
+            f"CASE WHEN {n} > 0 THEN 100.0D * {zi('wins')} / {n} ELSE 0.0D END AS win_rate",
+            f"{z('total_pnl')} AS total_pnl", f"{z('max_drawdown')} AS max_drawdown",
+            f"{z('max_drawdown_pct')} AS max_drawdown_pct",
+            f"CASE WHEN {tl} > 0 THEN {tw} / {tl} WHEN {tw} > 0 THEN CAST('Infinity' AS DOUBLE) ELSE 0.0D END "
+            f"AS profit_factor",
+            f"{z('avg_pnl')} AS avg_pnl", f"{aw} AS avg_win", f"{al} AS avg_loss",
+            f"CASE WHEN {al} > 0 AND {aw} > 0 THEN {aw} / {al} ELSE 0.0D END AS reward_risk_ratio",
+            f"{z('best_trade')} AS best_trade", f"{z('worst_trade')} AS worst_trade",
+            f"{zi('win_streak')} AS win_streak", f"{zi('loss_streak')} AS loss_streak",
+            f"CASE WHEN {z('total_risk')} > 0 THEN 100.0D * {z('total_pnl')} / {z('total_risk')} ELSE 0.0D END "
+            f"AS return_on_risk_pct",
+            f"{tw} AS total_wins", f"{tl} AS total_losses", f"{z('avg_risk')} AS avg_risk",
+            f"{z('total_risk')} AS total_risk"]
+    return j.selectExpr(*[f"`{k}`" for k in keys], *cols)
 
 
 def max_drawdown_from(dd: DataFrame, keys):

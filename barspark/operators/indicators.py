@@ -62,36 +62,32 @@ def compute_raw(bars: DataFrame, keys: Sequence[str] = ("symbol",), bb_window: i
     h = ordered.halo(b, back=indicator_lookback(bb_window), seg_rows=seg_rows)
     w = ordered.seg_window(keys)
 
-    close, high, low, vwap = F.col("close"), F.col("high"), F.col("low"), F.col("vwap")
-    h = h.select("*",
-                 F.lag(close).over(w).alias("_pc"), F.lag(high).over(w).alias("_ph"),
-                 F.lag(low).over(w).alias("_pl"), F.lag(vwap).over(w).alias("_pvw"))
-    delta = close - F.col("_pc")
-    up = high - F.col("_ph")
-    dn = -(low - F.col("_pl"))
-    plus_dm = F.when(up.isNull(), None).when((up > dn) & (up > 0), up).otherwise(F.lit(0.0))
-    minus_dm = F.when(dn.isNull(), None).when((dn > up) & (dn > 0), dn).otherwise(F.lit(0.0))
-    tr = F.greatest(high - low, F.abs(high - F.col("_pc")), F.abs(low - F.col("_pc")))
-    h = h.select("*",
-                 F.when(delta.isNotNull(), F.greatest(delta, F.lit(0.0))).alias("_gain"),
-                 F.when(delta.isNotNull(), -F.least(delta, F.lit(0.0))).alias("_loss"),
-                 plus_dm.alias("_pdm"), minus_dm.alias("_mdm"), tr.alias("_tr"),
-                 (F.ln(close) - F.ln(F.col("_pc"))).alias("_lr"),
-                 (vwap - F.col("_pvw")).alias("vwap_delta"))
+    W = f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in [*keys, ordered.SEG])} ORDER BY `idx`"
+    h = h.selectExpr("*", f"lag(close) {W}) AS _pc", f"lag(high) {W}) AS _ph", f"lag(low) {W}) AS _pl",
+                     f"lag(vwap) {W}) AS _pvw")
+    up, dn = "(high - _ph)", "(-(low - _pl))"
+    h = h.selectExpr(
+        "*",
+        "CASE WHEN (close - _pc) IS NOT NULL THEN greatest(close - _pc, 0.0D) END AS _gain",
+        "CASE WHEN (close - _pc) IS NOT NULL THEN -least(close - _pc, 0.0D) END AS _loss",
+        f"CASE WHEN {up} IS NULL THEN NULL WHEN {up} > {dn} AND {up} > 0 THEN {up} ELSE 0.0D END AS _pdm",
+        f"CASE WHEN {dn} IS NULL THEN NULL WHEN {dn} > {up} AND {dn} > 0 THEN {dn} ELSE 0.0D END AS _mdm",
+        "greatest(high - low, abs(high - _pc), abs(low - _pc)) AS _tr",
+        "ln(close) - ln(_pc) AS _lr",
+        "vwap - _pvw AS vwap_delta")
 
     mid, std = _rolling_gated("vwap", w, bb_window)
     sma, _ = _rolling_gated("vwap", w, P.VWAP_SMA_WINDOW)
     _, lr_std = _rolling_gated("_lr", w, P.HV_WINDOW)
     h = h.select("*", mid.alias("bb_mid"), std.alias("_bstd"), sma.alias("vwap_sma20"),
                  (lr_std * F.lit(P.ANNUALIZATION_FACTOR ** 0.5) * F.lit(100.0)).alias("_hv"))
-    h = h.withColumn("bb_upper", F.col("bb_mid") + F.lit(P.BB_STD_MULTIPLIER) * F.col("_bstd")) \
-         .withColumn("bb_lower", F.col("bb_mid") - F.lit(P.BB_STD_MULTIPLIER) * F.col("_bstd")) \
-         .withColumn("bb_width", F.col("bb_upper") - F.col("bb_lower"))
-    tw = w.rowsBetween(-(P.BB_TIGHTENING_WINDOW - 1), 0)
-    med = F.when(F.count("bb_width").over(tw) >= P.BB_TIGHTENING_MIN_PERIODS,
-                 F.percentile("bb_width", 0.5).over(tw))
-    h = h.withColumn("bb_tightening", F.coalesce(
-        (F.col("bb_width") < F.lag("bb_width").over(w)) & (F.col("bb_width") < med), F.lit(False)))
+    k = f"{P.BB_STD_MULTIPLIER!r}D"
+    h = h.selectExpr("*", f"bb_mid + {k} * _bstd AS bb_upper", f"bb_mid - {k} * _bstd AS bb_lower")
+    h = h.selectExpr("*", "bb_upper - bb_lower AS bb_width")
+    tw = f"{W} ROWS BETWEEN {P.BB_TIGHTENING_WINDOW - 1} PRECEDING AND CURRENT ROW)"
+    h = h.selectExpr("*", f"coalesce(bb_width < lag(bb_width) {W}) AND bb_width < CASE WHEN count(bb_width) {tw} "
+                          f">= {P.BB_TIGHTENING_MIN_PERIODS} THEN percentile(bb_width, 0.5) {tw} END, false) "
+                          f"AS bb_tightening")
 
     part = [*keys, ordered.SEG]
     h = with_ewm(h, part, {"_ag": "_gain", "_al": "_loss", "atr": "_tr", "_pde": "_pdm", "_mde": "_mdm"}, ALPHA)

@@ -93,7 +93,7 @@ class Logistic:
     scale: np.ndarray = field(default=None)
     w: np.ndarray = field(default=None)
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> "Logistic":
+    def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = RIDGE) -> "Logistic":
         """Newton steps on the ridge-penalised likelihood, classes weighted evenly."""
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
         z = np.column_stack([np.ones(len(x)), np.clip((x - self.mean) / self.scale, -8, 8)])
@@ -101,8 +101,8 @@ class Logistic:
         w = np.zeros(z.shape[1])
         for _ in range(25):
             p = _sigmoid(z @ w)
-            grad = z.T @ (weight * (p - y)) + RIDGE * np.r_[0, w[1:]]
-            hess = (z * (weight * p * (1 - p))[:, None]).T @ z + RIDGE * np.eye(len(w))
+            grad = z.T @ (weight * (p - y)) + ridge * np.r_[0, w[1:]]
+            hess = (z * (weight * p * (1 - p))[:, None]).T @ z + ridge * np.eye(len(w))
             step = np.linalg.solve(hess, grad)
             w -= step
             if np.abs(step).max() < 1e-8:

@@ -8,24 +8,60 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, near_dedup, quality
+from . import bpe, decontaminate, language_id, licences, near_dedup, quality, quality_rules, toxicity, url_filter, warc
+from .oracle import ORACLES
 from .common import fold, table
 
+__all__ = ["ORACLES", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality_rules.apply_policy(quality_rules.ledger(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    base = F.lit(quality_rules.mask(quality_rules.POLICIES["base_v1"]))
+    return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                       (F.col("fail_bits").bitwiseAND(base) != 0).alias("base_failed"), "kept", "fail_bits")
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables hold no list of URLs; the query lists campaign pages: the canonical
+    form of every url that carries a ``utm_`` parameter on some page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = pages.where(F.col("url").rlike("[?&]utm_")).select("url")
+    return url_filter.judge(pages, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op8_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files ``source/lang/<doc_id div 100>/<name>``; every hundredth is its directory's LICENSE."""
+    name = F.when(F.col("doc_id") % 100 == 0, "LICENSE").otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    path = F.concat_ws("/", "source", "lang", F.expr("cast(doc_id div 100 as string)"), name)
+    files = table(spark, sf_dir, "documents").select("doc_id", path.alias("path"), "text")
+    return licences.scan(files, keep=("doc_id",)).select("doc_id", "path", "licence", F.round("cosine", 6).alias("cosine"), "origin", "from_dir")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(fold("doc_id", 4) != 2))
@@ -44,5 +80,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_decontamination, op5_minhash, op7_bpe, op9_language, op10_quality, pipeline)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_warc, op2_decontamination, op3_quality_rules, op4_url_filter, op5_minhash, op6_toxicity, op7_bpe, op8_licences, op9_language,
+    op10_quality, pipeline)}

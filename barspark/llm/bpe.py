@@ -1,7 +1,8 @@
 """Byte-level BPE by tree reduction.
 
 A text is cut by the pattern; each match ("piece") is encoded on its own. A
-piece of up to ``LEAF`` bytes is merged directly by rank. A longer one is halved
+piece of up to ``LEAF`` bytes is merged directly by rank (new pieces of a chunk of
+texts all at once, one merge of each a step). A longer one is halved
 recursively; two encoded neighbours are joined by re-encoding a window of tokens
 around the boundary, which grows until the tokens next to it provably stay.
 
@@ -30,9 +31,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-LEAF = 64
-#: Distinct pieces a worker remembers.
-MEMO = 250_000
+LEAF = 24
+#: Distinct pieces (of up to ``MEMO_CHARS`` characters) a worker remembers, twice.
+MEMO, MEMO_CHARS = 250_000, 64
+#: Characters of the texts that are cut into pieces and encoded together.
+CHUNK_CHARS = 1 << 18
 
 
 class Codec:
@@ -46,7 +49,12 @@ class Codec:
         #: left id << 32 | right id -> id of their concatenation, for every token and cut
         self.pairs = {a << 32 | b: r for t, r in ranks.items() for i in range(1, len(t))
                       if (a := ranks.get(t[:i])) is not None and (b := ranks.get(t[i:])) is not None}
-        self.memo = _Memo(self)
+        keys = np.fromiter(self.pairs, np.int64, len(self.pairs))
+        order = np.argsort(keys)
+        self._keys, self._ids = keys[order], np.fromiter(self.pairs.values(), np.int64, len(keys))[order]
+        self._first = self._lookup(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256)).reshape(256, 256)
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
         self._stable: dict[int, bool] = {}
 
     @classmethod
@@ -129,9 +137,83 @@ class Codec:
             if fits_left and fits_right:
                 return left[:i] + middle + right[j:]
 
+    def _lookup(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ids of the concatenations, ``_NONE`` where they are no token."""
+        key = (np.asarray(left, np.int64) << 32) | right
+        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
+        return np.where(self._keys[at] == key, self._ids[at], _NONE)
+
+    def leaves(self, pieces: list[bytes]) -> list[bytes]:
+        """``leaf`` of many short pieces, packed: step by step, the least pair of every piece."""
+        n = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        width = int(n.max())
+        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(len(pieces), width)
+        ids = np.array(self.byte_ids, np.int64)[raw]
+        column = np.arange(width)
+        alive = column < n[:, None]
+        rank = np.full((len(pieces), width), _NONE)
+        if width > 1:
+            rank[:, :-1] = np.where(alive[:, 1:], self._first[raw[:, :-1], raw[:, 1:]], _NONE)
+        after = np.broadcast_to(column + 1, rank.shape).copy()
+        before = np.broadcast_to(column - 1, rank.shape).copy()
+        rows = np.arange(len(pieces))
+        while len(rows):
+            i = rank[rows].argmin(axis=1)
+            low = rank[rows, i]
+            some = low != _NONE
+            rows, i, low = rows[some], i[some], low[some]
+            if not len(rows):
+                break
+            j = after[rows, i]
+            ids[rows, i], alive[rows, j], rank[rows, j] = low, False, _NONE
+            k = after[rows, i] = after[rows, j]
+            more = k < n[rows]
+            before[rows[more], k[more]] = i[more]
+            rank[rows, i] = _NONE
+            rank[rows[more], i[more]] = self._lookup(low[more], ids[rows[more], k[more]])
+            h = before[rows, i]
+            more = h >= 0
+            rank[rows[more], h[more]] = self._lookup(ids[rows[more], h[more]], low[more])
+        flat = ids[alive].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(alive.sum(axis=1))).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, pieces: set[str]) -> None:
+        """Put the packed ids of ``pieces`` into the memo."""
+        if len(self.memo) + len(pieces) > MEMO:
+            self.old, self.memo = self.memo, {}
+        short: list[tuple[str, bytes]] = []
+        for p in pieces:
+            ids = self.old.get(p)
+            if ids is None:
+                data = p.encode("utf-8", "surrogatepass")
+                if len(data) <= LEAF and data not in self.ranks:
+                    short.append((p, data))
+                    continue
+                found = self.piece(data)
+                ids = struct.pack(f"<{len(found)}I", *found)
+            self.memo[p] = ids
+        short.sort(key=lambda x: len(x[1]))
+        for k in range(0, len(short), 4096):
+            part = short[k:k + 4096]
+            self.memo.update(zip((p for p, _ in part), self.leaves([d for _, d in part]), strict=True))
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Token ids of each text as little-endian unsigned 32-bit integers."""
+        cut = [self.find(t) for t in texts]
+        new: set[str] = set()
+        for pieces in cut:
+            new.update(pieces)
+        new.difference_update(self.memo)
+        self.learn(new)
+        out = [b"".join(map(self.memo.__getitem__, pieces)) for pieces in cut]
+        for p in new:
+            if len(p) > MEMO_CHARS:
+                del self.memo[p]
+        return out
+
     def encode(self, text: str | None) -> bytes:
-        """Token ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.memo.__getitem__, self.find(text))) if text else b""
+        return self.encode_all([text or ""])[0]
 
     def decode(self, ids: list[int]) -> bytes:
         """Bytes of the tokens; longer lists are halved and the halves concatenated."""
@@ -144,27 +226,6 @@ class Codec:
 _NONE = 1 << 40
 
 
-class _Memo(dict):
-    """Packed ids of recent short pieces: two generations of at most MEMO pieces."""
-
-    def __init__(self, codec: Codec):
-        super().__init__()
-        self.codec = codec
-        self.old: dict[str, bytes] = {}
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            found = self.codec.piece(piece.encode("utf-8", "surrogatepass"))
-            ids = struct.pack(f"<{len(found)}I", *found)
-        if len(piece) <= LEAF:
-            if len(self) >= MEMO:
-                self.old = dict(self)
-                self.clear()
-            self[piece] = ids
-        return ids
-
-
 _CODECS: dict[tuple, Codec] = {}
 
 
@@ -176,6 +237,18 @@ def _codec(vocabulary: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
+def _encoded(codec: Codec, texts: pa.Array):
+    """(text, packed ids) of each text, null as empty, encoded in chunks."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t.as_py() or "")
+        size += len(group[-1])
+        if size >= CHUNK_CHARS:
+            yield from zip(group, codec.encode_all(group), strict=True)
+            group, size = [], 0
+    yield from zip(group, codec.encode_all(group), strict=True)
+
+
 def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
                tokens: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, intact (and token_ids if ``tokens``).
@@ -192,9 +265,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str
         codec = _codec(vocabulary.value, pattern)
         for b in batches:
             n, ids_sha, bytes_sha, intact, lists = [], [], [], [], []
-            for t in b.column(1):
-                text = t.as_py() or ""
-                packed = codec.encode(text)
+            for text, packed in _encoded(codec, b.column(1)):
                 ids = np.frombuffer(packed, "<u4").tolist()
                 back = codec.decode(ids)
                 n.append(len(ids))

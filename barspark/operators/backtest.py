@@ -79,12 +79,6 @@ def ledger_outputs(res: DataFrame, keys: Sequence[str] = ("symbol",), seg_rows:
     return BacktestResult(res, tr, eq, dd, rej, summ, tuple(keys))
 
 
-def trades_view(tr: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """The trade ledger columns of the original, in order."""
-    return tr.select(*keys, "entry_date", "expiry_date", "short_put", "long_put", "short_call", "long_call",
-                     "net_credit", "expiry_close", "pnl", "outcome", "cum_pnl")
-
-
 def equity_view(eq: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     return eq.select(*keys, F.col("ts").alias("date"), "cash")
 

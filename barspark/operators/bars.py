@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .resample import resample_ohlcv
 
+#: Rows of a catalog table that may be broadcast.
+CATALOG_ROWS = 100_000
+
 
 def bars_range(store: DataFrame, timeframe: str, symbol: str | None = None, start: str | None = None,
                end: str | None = None, columns: Sequence[str] | None = None) -> DataFrame:
@@ -37,14 +40,18 @@ def top_rows(bars: DataFrame, n: int, keys: Sequence[str] = ("symbol",), latest:
 
 
 def bars_latest(store: DataFrame, datasets: DataFrame, symbols: DataFrame, timeframe: str, n: int) -> DataFrame:
-    """Last ``n`` bars of the dataset with the latest end date, per symbol."""
+    """Last ``n`` bars of the dataset with the latest end date, per symbol.
+
+    The catalog side has one row a symbol; it is broadcast when it has at most
+    ``CATALOG_ROWS`` rows, so the bars stay where they are."""
+    day = lambda c: F.to_date(c).cast("timestamp_ntz")
     ds = (datasets.filter(F.col("timeframe") == timeframe)
                   .join(symbols.select("symbol_id", "symbol"), "symbol_id")
-                  .groupBy("symbol").agg(F.max_by(F.struct("start_date", "end_date"), "end_date").alias("d"))
-                  .select("symbol", F.col("d.start_date").alias("_s"), F.col("d.end_date").alias("_e")))
-    b = store.filter(F.col("timeframe") == timeframe).join(ds, "symbol")
-    day = F.date_format("ts", "yyyy-MM-dd")
-    b = b.filter((day >= F.col("_s")) & (day <= F.col("_e"))).drop("_s", "_e")
+                  .groupBy("symbol").agg(F.max_by("start_date", "end_date").alias("_s"), F.max("end_date").alias("_e"))
+                  .select("symbol", day("_s").alias("_s"), (day("_e") + F.expr("INTERVAL 1 DAY")).alias("_e")))
+    few = ds.limit(CATALOG_ROWS + 1).count() <= CATALOG_ROWS
+    b = store.filter(F.col("timeframe") == timeframe).join(F.broadcast(ds) if few else ds, "symbol")
+    b = b.filter((F.col("ts") >= F.col("_s")) & (F.col("ts") < F.col("_e"))).drop("_s", "_e")
     return top_rows(b, n, ["symbol"], latest=True)
 
 

@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..registry import r6
-
 
 def list_datasets(datasets: DataFrame, symbols: DataFrame, symbol: str | None = None,
                   timeframe: str | None = None) -> DataFrame:
@@ -22,8 +20,8 @@ def list_datasets(datasets: DataFrame, symbols: DataFrame, symbol: str | None =
 
 
 def mb(bytes_col) -> F.Column:
-    """Bytes -> MiB rounded to 2 places (same rounding rule as the oracle)."""
-    return r6(bytes_col.cast("double") / F.lit(1024.0) / F.lit(1024.0), 2)
+    """Bytes -> MiB rounded to 2 places."""
+    return F.round(bytes_col.cast("double") / F.lit(1024.0) / F.lit(1024.0), 2)
 
 
 def list_symbols(symbols: DataFrame, datasets: DataFrame) -> DataFrame:
@@ -73,10 +71,11 @@ def orphans(symbols: DataFrame, datasets: DataFrame) -> DataFrame:
 
 def upsert_symbols(symbols: DataFrame, updates: DataFrame) -> DataFrame:
     """Insert new symbols; for known ones replace asset_type/vendor/description
-    and updated_at. The id and created_at of a known symbol stay."""
+    and updated_at, also by NULL. The id and created_at of a known symbol stay."""
     o, n = symbols.alias("o"), updates.alias("n")
     j = o.join(n, F.col("o.symbol") == F.col("n.symbol"), "full")
-    pick = lambda c: F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c)
+    given = F.col("n.symbol").isNotNull()
+    pick = lambda c: F.when(given, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c)
     return j.select(F.coalesce(F.col("o.symbol_id"), F.col("n.symbol_id")).alias("symbol_id"),
                     F.coalesce(F.col("o.symbol"), F.col("n.symbol")).alias("symbol"),
                     pick("asset_type"), pick("vendor"), pick("description"),
@@ -86,8 +85,11 @@ def upsert_symbols(symbols: DataFrame, updates: DataFrame) -> DataFrame:
 
 def register_datasets(datasets: DataFrame, new: DataFrame) -> DataFrame:
     """Append datasets whose file_path is not registered yet (re-registration
-    of a known file is a no-op instead of a constraint error)."""
-    fresh = new.join(datasets.select("file_path"), "file_path", "left_anti")
+    of a known file is a no-op instead of a constraint error). A path given
+    twice in one batch is registered once, with the smallest dataset_id."""
+    rest = [c for c in datasets.columns if c != "file_path"]
+    once = new.groupBy("file_path").agg(F.min_by(F.struct(*rest), F.col("dataset_id")).alias("_r")).select("file_path", "_r.*")
+    fresh = once.join(datasets.select("file_path"), "file_path", "left_anti")
     return datasets.unionByName(fresh.select(*datasets.columns))
 
 

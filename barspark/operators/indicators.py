@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import params as P
 from ..plans import ordered
-from ..plans.scan import ewm_lookback, with_ewm
+from ..plans.scan import with_ewm
 from ..session import cut_lineage
 
 ALPHA = 1.0 / P.RSI_PERIOD
@@ -28,9 +28,9 @@ REQUIRED_INDICATORS = ["bb_mid", "bb_upper", "bb_lower", "rsi", "adx", "plus_di"
 
 
 def indicator_lookback(bb_window: int) -> int:
-    """Rows of history the whole indicator chain reads for one output row."""
-    e = ewm_lookback(ALPHA)
-    return max(bb_window + P.BB_TIGHTENING_WINDOW, 2 * e + 2, P.HV_WINDOW + 1, P.VWAP_SMA_WINDOW) + 2
+    """Rows of history the windowed indicators read for one output row (the
+    exponential averages carry their whole history, see ``plans.scan``)."""
+    return max(bb_window + P.BB_TIGHTENING_WINDOW, P.HV_WINDOW + 1, P.VWAP_SMA_WINDOW) + 2
 
 
 def _nullif0(c):
@@ -89,8 +89,8 @@ def compute_raw(bars: DataFrame, keys: Sequence[str] = ("symbol",), bb_window: i
                           f">= {P.BB_TIGHTENING_MIN_PERIODS} THEN percentile(bb_width, 0.5) {tw} END, false) "
                           f"AS bb_tightening")
 
-    part = [*keys, ordered.SEG]
-    h = with_ewm(h, part, {"_ag": "_gain", "_al": "_loss", "atr": "_tr", "_pde": "_pdm", "_mde": "_mdm"}, ALPHA)
+    h = ordered.home(h)
+    h = with_ewm(h, keys, {"_ag": "_gain", "_al": "_loss", "atr": "_tr", "_pde": "_pdm", "_mde": "_mdm"}, ALPHA)
     rs = F.try_divide(F.col("_ag"), _nullif0(F.col("_al")))
     h = h.select("*",
                  (F.lit(100.0) - F.try_divide(F.lit(100.0), F.lit(1.0) + rs)).alias("_rsi"),
@@ -98,8 +98,7 @@ def compute_raw(bars: DataFrame, keys: Sequence[str] = ("symbol",), bb_window: i
                  (F.lit(100.0) * F.try_divide(F.col("_mde"), F.col("atr"))).alias("minus_di"))
     pdi, mdi = F.col("plus_di"), F.col("minus_di")
     h = h.withColumn("_dx", F.try_divide(F.abs(pdi - mdi), _nullif0(pdi + mdi)) * F.lit(100.0))
-    h = with_ewm(h, part, {"_adx": "_dx"}, ALPHA)
-    h = ordered.home(h)
+    h = with_ewm(h, keys, {"_adx": "_dx"}, ALPHA)
     base = [c for c in bars.columns if c not in ("idx",)]
     return h.select(*base, "idx", ordered.SEG,
                     "bb_mid", "bb_upper", "bb_lower",
@@ -195,9 +194,8 @@ def bollinger(bars: DataFrame, keys: Sequence[str] = ("symbol",), column: str =
 
 
 def ewm_series(bars: DataFrame, keys: Sequence[str] = ("symbol",), column: str = "close", alpha: float = ALPHA,
-               out: str = "ewm", bar_seconds: int = 86400, seg_rows: int = ordered.SEG_ROWS) -> DataFrame:
+               out: str = "ewm", bar_seconds: int = 86400) -> DataFrame:
     """The shared exponentially weighted mean as an operator of its own."""
     keys = list(keys)
-    h = ordered.halo(indexed_bars(bars, keys, bar_seconds), back=ewm_lookback(alpha), seg_rows=seg_rows)
-    h = with_ewm(h, [*keys, ordered.SEG], {out: column}, alpha)
-    return ordered.home(h).select(*keys, "ts", "idx", out)
+    h = with_ewm(indexed_bars(bars, keys, bar_seconds), keys, {out: column}, alpha)
+    return h.select(*keys, "ts", "idx", out)

@@ -31,11 +31,13 @@ def drawdown_series(equity: DataFrame, keys: Sequence[str] = ("symbol",)) -> Dat
 
 def max_drawdown(dd: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Largest drawdown and its percent of the peak at the first bar reaching it
-    (0 when the drawdown or that peak is 0). One partial aggregate."""
+    (0 when the drawdown or that peak is 0). Two hash aggregates: the largest
+    drawdown, then the first of the few bars that reach it."""
     keys = list(keys)
-    g = dd.groupBy(*keys).agg(
-        F.max("drawdown").alias("max_drawdown"),
-        F.max_by("peak", F.struct(F.col("drawdown"), -F.col("idx"))).alias("_peak_at"))
+    top = dd.groupBy(*keys).agg(F.max("drawdown").alias("max_drawdown"))
+    at = dd.join(top, keys).where(F.col("drawdown") == F.col("max_drawdown"))
+    peaks = at.groupBy(*keys).agg(F.min_by("peak", "idx").alias("_peak_at"))
+    g = top.join(peaks, keys, "left")
     pct = F.when((F.col("max_drawdown") > 0) & (F.col("_peak_at") != 0),
                  F.lit(100.0) * F.col("max_drawdown") / F.col("_peak_at")).otherwise(F.lit(0.0))
     return g.select(*keys, F.coalesce("max_drawdown", F.lit(0.0)).alias("max_drawdown"), pct.alias("max_drawdown_pct"))

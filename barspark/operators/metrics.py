@@ -15,14 +15,6 @@ from pyspark.sql import functions as F
 from .. import params as P
 
 
-def outcome_counts_cols() -> list:
-    o = F.col("outcome")
-    return [F.count(F.lit(1)).alias("trades")] + [
-        F.count_if(o == name).alias(alias) for name, alias in
-        (("win", "wins"), ("loss", "losses"), ("breach", "breaches"), ("adx_exit", "adx_exits"),
-         ("vwap_exit", "vwap_exits"), ("broke", "brokes"))]
-
-
 def streaks(trades: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Longest run of 'win' and of 'loss' in trade order (anything else breaks a run).
 

@@ -15,15 +15,29 @@ from pyspark.sql import functions as F
 from .. import params as P
 from ..schemas import BAR_COLUMNS, REQUIRED_BACKTEST
 
-# Accepted timestamp text formats, tried in order.
-TIMESTAMP_FORMATS = ["yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy-MM-dd",
-                     "yyyy/MM/dd", "MM/dd/yyyy"]
+# Patterns of timestamps that are not ISO, tried in order.
+TIMESTAMP_FORMATS = ["yyyy/M/d[ H:mm[:ss]]", "M/d/yyyy[ H:mm[:ss]]"]
+ISO_DAY = r"^\d{4}-\d{1,2}-\d{1,2}($|[ T])"
+OFFSET = r":\d{2}(\.\d+)? ?([Zz]|[+-]\d{2}(:?\d{2})?)$"
 
 
 def parse_ts(c: Column | str) -> Column:
+    """Wall-clock time of a text: ISO with any fraction, ``T`` or blank, and with an
+    offset (converted to UTC), or one of ``TIMESTAMP_FORMATS``; else NULL."""
     col = F.col(c) if isinstance(c, str) else c
     s = F.trim(col.cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in TIMESTAMP_FORMATS]).cast("timestamp_ntz")
+    iso = F.when(s.rlike(ISO_DAY), s)
+    zoned = F.when(iso.rlike(OFFSET), F.regexp_replace(iso, r"([+-]\d{2})(\d{2})$", "$1:$2"))
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), zoned.try_cast("timestamp_ltz").cast("timestamp_ntz"))
+    plain = F.when(~F.coalesce(iso.rlike(OFFSET), F.lit(False)), iso).try_cast("timestamp_ntz")
+    other = [F.try_to_timestamp(F.when(~s.rlike(ISO_DAY), s), F.lit(f)).cast("timestamp_ntz") for f in TIMESTAMP_FORMATS]
+    return F.coalesce(plain, utc, *other)
+
+
+def number(c: Column) -> Column:
+    """A double from text or number; text that is no number, and NaN, are NULL."""
+    x = c.try_cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def missing_columns(df: DataFrame, required: Sequence[str] = REQUIRED_BACKTEST) -> list[str]:
@@ -41,7 +55,7 @@ def profile(raw: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
             .alias("duplicate_timestamps"),
             F.count_if(F.col("high") < F.col("low")).alias("inverted_bars")]
     for c in BAR_COLUMNS:
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}_nulls")]
+        aggs += [F.count_if(F.col(c).isNull() | F.isnan(F.col(c).try_cast("double"))).alias(f"{c}_nulls")]
     return raw.groupBy(*keys).agg(*aggs)
 
 
@@ -79,16 +93,16 @@ def clean_bars(raw: DataFrame, keys: Sequence[str] = ("symbol",), order: str = "
     """Parse time (invalid -> dropped), keep the first row per timestamp in
     input order, then drop rows missing a price, then swap inverted high/low.
 
-    Keep-first is a ``min_by`` aggregate (partial, so one hot timestamp does not
-    land in one task); it runs before the null filter, so a first duplicate with
+    Keep-first is one ``min_by`` a column on the input position, which is unique
+    (a partial hash aggregate, so one hot timestamp does not land in one task and
+    nothing is sorted); it runs before the null filter, so a first duplicate with
     a missing price removes the timestamp altogether.
     """
     keys = list(keys)
     t = raw.withColumn("ts", parse_ts("timestamp")).filter(F.col("ts").isNotNull())
     payload = [c for c in raw.columns if c not in (*keys, "timestamp")]
     first = (t.groupBy(*keys, "ts")
-              .agg(F.min_by(F.struct(*payload), F.col(order)).alias("_r"))
-              .select(*keys, "ts", "_r.*"))
+              .agg(*[(F.min(c) if c == order else F.min_by(c, order)).alias(c) for c in payload]))
     kept = first.dropna(subset=BAR_COLUMNS)
     inv = F.col("high") < F.col("low")
     return kept.withColumn("_h", F.when(inv, F.col("low")).otherwise(F.col("high"))) \

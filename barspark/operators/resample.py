@@ -1,13 +1,15 @@
 """Tick/bar -> bar resampling (tumbling buckets anchored at midnight).
 
 A single ``groupBy(key, bucket)`` whose aggregates are all partial-aggregable
-(first/last via ``min_by``/``max_by`` on ``(ts, seq)``), so the tick-scale step
-combines map-side and shuffles one row per (key, bucket, map task).
+(first/last via ``min_by``/``max_by`` on one decimal made of time and seq), so the
+tick-scale step is a hash aggregate that combines map-side and shuffles one row
+per (key, bucket, map task); no tick is ever sorted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,12 +23,22 @@ def bucket_start(ts: str, seconds: int) -> F.Column:
     return F.window(ts, f"{int(seconds)} seconds").start
 
 
+def order_key(ts: str, seq: str | None = None) -> F.Column:
+    """A number that orders like (ts, seq): microseconds, then the full range of a bigint."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(ts))
+    if seq is None:
+        return micros
+    rank = F.col(seq).cast("decimal(20,0)") + F.lit(Decimal(1 << 63))
+    return (micros.cast("decimal(18,0)") * F.lit(Decimal(10 ** 20)) + rank).cast("decimal(38,0)")
+
+
 def resample_seconds(df: DataFrame, seconds: int, keys: Sequence[str] = ("symbol",),
                      ts: str = "ts", seq: str | None = "seq",
                      columns: Sequence[str] = ("open", "high", "low", "close", "vwap", "volume")) -> DataFrame:
     keys = list(keys)
     present = [c for c in columns if c in df.columns]
-    order = F.struct(F.col(ts), F.col(seq)) if seq and seq in df.columns else F.struct(F.col(ts))
+    df = df.withColumn("_order", order_key(ts, seq if seq and seq in df.columns else None))
+    order = F.col("_order")
     aggs = []
     for c in present:
         x = F.col(c)

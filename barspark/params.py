@@ -18,8 +18,8 @@ CONTRACT_MULTIPLIER = 100
 DEFAULT_WING_WIDTH = 5.0
 DEFAULT_CREDIT_MULTIPLIER = 0.30
 
+#: Period of the exponential averages of RSI, ATR, DI and ADX.
 RSI_PERIOD = 14
-ADX_PERIOD = 14
 BB_BASE_WINDOW = 20
 HV_WINDOW = 21
 VWAP_SMA_WINDOW = 20
@@ -73,11 +73,8 @@ CATALOG_TIMEFRAME_SECONDS = {
     "1h": 3600,
     "1d": 86400,
 }
-TREND_METHODS = ("VWAP Slope", "VWAP vs SMA20", "ADX + DI")
-OUTCOMES = ("win", "loss", "breach", "adx_exit", "vwap_exit", "broke")
 REJECT_REASONS = ("HV outside range", "ADX too high", "RSI out of range", "Blackout window")
 EXPORT_DATETIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
-EXPORT_DATE_FORMAT = "yyyy-MM-dd"
 VERSION = "2.0.0"
 # ---------------------------------------------------------------------------
 
@@ -111,15 +108,3 @@ class RunParams:
 
     def as_dict(self) -> dict:
         return asdict(self)
-
-
-def param_grid(**axes) -> list[RunParams]:
-    """Cartesian grid of parameter values, one ``RunParams`` per combination."""
-    import itertools
-
-    names = list(axes)
-    out = []
-    for i, combo in enumerate(itertools.product(*(axes[n] for n in names))):
-        kw = dict(zip(names, combo))
-        out.append(RunParams(run_id=f"run-{i}", **kw))
-    return out

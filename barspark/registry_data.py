@@ -15,8 +15,8 @@ from .registry import finalize, memo, register
 from .registry_core import DEFAULT, daily_bars, result
 from .session import cut_lineage, ts_lit
 from .sources import files
-from .sources.fixtures import (catalog_datasets, catalog_symbols, dirty_ticks, symbol_id_expr, table,
-                               ticks_events)
+from .sources.fixtures import (catalog_datasets, catalog_symbols, dataset_id_expr, dirty_ticks, symbol_id_expr,
+                               table, text_id, ticks_events)
 from .streaming.incremental import ingest_incremental
 
 r6 = O.r6
@@ -100,9 +100,11 @@ def q_clean(spark, sf):
 
 # --- catalog (F5) -----------------------------------------------------------------
 def _sid(col):
-    parts = " + ".join(f"CAST(coalesce(ascii(substr({col}, {i}, 1)), 0) AS BIGINT) * {1000 ** (3 - (i - 1))}"
-                       for i in range(1, 5))
-    return f"({parts} + length({col}))"
+    return f"CAST('0x' || substr(md5({col}), 1, 13) AS BIGINT)"
+
+
+def _did(symbol, timeframe, part):
+    return _sid(f"{symbol} || '|' || {timeframe} || '|' || CAST({part} AS VARCHAR)")
 
 
 SYMBOLS_SQL = f"""SELECT {_sid('symbol')} AS symbol_id, symbol, asset_type, vendor, 'derived symbol ' || symbol AS description,
@@ -110,7 +112,7 @@ SYMBOLS_SQL = f"""SELECT {_sid('symbol')} AS symbol_id, symbol, asset_type, vend
   SELECT DISTINCT o_orderpriority AS symbol, 'equity' AS asset_type, 'orders' AS vendor FROM orders
   UNION ALL SELECT DISTINCT event_type, 'crypto', 'events' FROM events
   UNION ALL SELECT DISTINCT r_name, 'index', 'region' FROM region) s"""
-DATASETS_SQL = f"""SELECT {_sid('symbol')} * 100000 + part * 10 + CASE WHEN timeframe = '1d' THEN 1 ELSE 2 END AS dataset_id,
+DATASETS_SQL = f"""SELECT {_did('symbol', 'timeframe', 'part')} AS dataset_id,
   {_sid('symbol')} AS symbol_id, timeframe, strftime(t0, '%Y-%m-%d') AS start_date, strftime(t1, '%Y-%m-%d') AS end_date,
   row_count, 'bars/' || replace(replace(symbol, '/', '_'), ':', '_') || '_' || timeframe || '_' || strftime(t0, '%Y-%m-%d')
     || '_' || strftime(t1, '%Y-%m-%d') || '.parquet' AS file_path,
@@ -127,7 +129,7 @@ def _cat(spark, sf):
 
 
 def _mb(e):
-    return r6(f"CAST({e} AS DOUBLE) / 1024.0 / 1024.0", 2)
+    return f"round(CAST({e} AS DOUBLE) / 1024.0 / 1024.0, 2)"
 
 
 register("list_datasets", CAT + """ SELECT d.*, s.symbol, s.asset_type FROM datasets d
@@ -181,21 +183,23 @@ UPD_SQL = f"""SELECT {_sid('symbol')} AS symbol_id, symbol, asset_type, vendor,
   SELECT DISTINCT event_type AS symbol, 'derivative' AS asset_type, 'events-v2' AS vendor FROM events
   UNION ALL SELECT DISTINCT l_returnflag, 'commodity', 'lineitem' FROM lineitem) u"""
 register("upsert_symbol", CAT + f""", n AS ({UPD_SQL}) SELECT coalesce(o.symbol_id, n.symbol_id) AS symbol_id,
-  coalesce(o.symbol, n.symbol) AS symbol, coalesce(n.asset_type, o.asset_type) AS asset_type,
-  coalesce(n.vendor, o.vendor) AS vendor, coalesce(n.description, o.description) AS description,
-  coalesce(o.created_at, n.created_at) AS created_at, coalesce(n.updated_at, o.updated_at) AS updated_at
+  coalesce(o.symbol, n.symbol) AS symbol, CASE WHEN n.symbol IS NULL THEN o.asset_type ELSE n.asset_type END AS asset_type,
+  CASE WHEN n.symbol IS NULL THEN o.vendor ELSE n.vendor END AS vendor,
+  CASE WHEN n.symbol IS NULL THEN o.description ELSE n.description END AS description,
+  coalesce(o.created_at, n.created_at) AS created_at, CASE WHEN n.symbol IS NULL THEN o.updated_at ELSE n.updated_at END AS updated_at
   FROM symbols o FULL OUTER JOIN n ON o.symbol = n.symbol""")(
     lambda spark, sf: finalize(C.upsert_symbols(_cat(spark, sf)[0], _updates(spark, sf))))
 
 
 def _new_datasets(spark, sf):
     """A second batch: lineitem ship dates per (return flag, year) as '1d'
-    plus a re-registration of the existing 1995 order datasets."""
+    (those of 'N' given twice, under a second id) plus a re-registration of
+    the existing 1995 order datasets."""
     li = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("symbol"), F.col("l_shipdate").alias("ts"))
     g = li.groupBy("symbol", F.year("ts").alias("part")).agg(F.min("ts").alias("t0"), F.max("ts").alias("t1"),
                                                              F.count(F.lit(1)).alias("row_count"))
     start, end = F.date_format("t0", "yyyy-MM-dd"), F.date_format("t1", "yyyy-MM-dd")
-    fresh = g.select((symbol_id_expr("symbol") * F.lit(100000) + F.col("part") * F.lit(10) + F.lit(3)).alias("dataset_id"),
+    fresh = g.select(dataset_id_expr("symbol", F.lit("1d"), F.col("part")).alias("dataset_id"),
                      symbol_id_expr("symbol").alias("symbol_id"), F.lit("1d").alias("timeframe"),
                      start.alias("start_date"), end.alias("end_date"), F.col("row_count").cast("long").alias("row_count"),
                      F.concat(F.lit("bars/"), F.col("symbol"), F.lit("_1d_"), start, F.lit("_"), end,
@@ -203,10 +207,11 @@ def _new_datasets(spark, sf):
                      (F.col("row_count") * F.lit(48) + F.lit(4096)).cast("long").alias("file_size_bytes"),
                      ts_lit(UPD_TS).alias("created_at"))
     again = catalog_datasets(spark, sf).filter(F.col("start_date").startswith("1995"))
-    return fresh.unionByName(again)
+    twice = fresh.where(F.col("symbol_id") == text_id(F.lit("N"))).withColumn("dataset_id", F.lit(1 << 52))
+    return fresh.unionByName(twice).unionByName(again)
 
 
-NEW_DS_SQL = f"""SELECT {_sid('symbol')} * 100000 + part * 10 + 3 AS dataset_id, {_sid('symbol')} AS symbol_id,
+NEW_DS_SQL = f"""SELECT {_did('symbol', "'1d'", 'part')} AS dataset_id, {_sid('symbol')} AS symbol_id,
   '1d' AS timeframe, strftime(t0, '%Y-%m-%d') AS start_date, strftime(t1, '%Y-%m-%d') AS end_date, row_count,
   'bars/' || symbol || '_1d_' || strftime(t0, '%Y-%m-%d') || '_' || strftime(t1, '%Y-%m-%d') || '.parquet' AS file_path,
   row_count * 48 + 4096 AS file_size_bytes, TIMESTAMP '{UPD_TS}' AS created_at FROM (
@@ -224,12 +229,17 @@ register("delete_dataset", CAT + """ SELECT * FROM datasets WHERE dataset_id NOT
 
 
 # --- stored bars (2.3) ---------------------------------------------------------------
-def store(spark, sf):
+def _store_bars(spark, sf):
     d = daily_bars(spark, sf).withColumn("timeframe", F.lit("1d"))
     m = resample_seconds(ticks_events(spark, sf), 60).withColumn("timeframe", F.lit("1min"))
     return d.unionByName(m)
 
 
+def store(spark, sf):
+    """The stored table: Parquet partitioned by symbol and timeframe."""
+    return files.scan_parquet_bars(spark, _store_path(spark, sf))
+
+
 STORE_SQL = f"SELECT *, '1d' AS timeframe FROM ({DAILY}) a UNION ALL SELECT *, '1min' FROM ({MINUTE}) b"
 MIN_RANGE = ("2024-01-03", "2024-01-15")
 
@@ -307,7 +317,7 @@ register("scan_blackout_dates", "SELECT strftime(CAST(o_orderdate AS DATE), '%Y-
 
 
 def _store_path(spark, sf):
-    return memo(spark, ("store", sf), lambda: files.sink_parquet_bars(store(spark, sf), files.scratch(spark, "store")))
+    return memo(spark, ("store", sf), lambda: files.sink_parquet_bars(_store_bars(spark, sf), files.scratch(spark, "store")))
 
 
 STORE6 = f"SELECT symbol, timeframe, ts, {_cols6(BAR6)} FROM ({STORE_SQL}) s"
@@ -391,14 +401,6 @@ register("file_fingerprint")(
     lambda spark, sf: files.file_fingerprint(spark, _daily_csv(spark, sf) + "/*.csv"))
 
 
-@register("synthetic_bars")
-def q_synthetic(spark, sf):
-    """Seeded random walks, one per order priority, as long as its order count."""
-    from .sources.synthetic import synthetic_bars
-    n = table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
-    return synthetic_bars(n)
-
-
 # --- exports (formatted, written, read back) ------------------------------------------
 def _roundtrip(spark, df, name):
     path = files.write_csv(df, files.scratch(spark, name))

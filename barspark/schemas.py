@@ -1,4 +1,4 @@
-"""Explicit schemas (never inferred)."""
+"""Column names and schemas of the inputs."""
 
 from pyspark.sql import types as T
 
@@ -7,48 +7,3 @@ REQUIRED_BACKTEST = ["timestamp", "open", "high", "low", "close", "vwap"]
 REQUIRED_CATALOG = ["timestamp", "open", "high", "low", "close", "volume"]
 
 BLACKOUT = T.StructType([T.StructField("event_date", T.DateType())])
-
-BARS = T.StructType([
-    T.StructField("symbol", T.StringType()),
-    T.StructField("ts", T.TimestampNTZType()),
-    *[T.StructField(c, T.DoubleType()) for c in BAR_COLUMNS],
-    T.StructField("volume", T.DoubleType()),
-])
-
-SYMBOLS = T.StructType([
-    T.StructField("symbol_id", T.LongType()),
-    T.StructField("symbol", T.StringType()),
-    T.StructField("asset_type", T.StringType()),
-    T.StructField("vendor", T.StringType()),
-    T.StructField("description", T.StringType()),
-    T.StructField("created_at", T.TimestampNTZType()),
-    T.StructField("updated_at", T.TimestampNTZType()),
-])
-
-DATASETS = T.StructType([
-    T.StructField("dataset_id", T.LongType()),
-    T.StructField("symbol_id", T.LongType()),
-    T.StructField("timeframe", T.StringType()),
-    T.StructField("start_date", T.StringType()),
-    T.StructField("end_date", T.StringType()),
-    T.StructField("row_count", T.LongType()),
-    T.StructField("file_path", T.StringType()),
-    T.StructField("file_size_bytes", T.LongType()),
-    T.StructField("created_at", T.TimestampNTZType()),
-])
-
-TRADE_STORE = T.StructType([
-    T.StructField("trade_id", T.LongType()),
-    T.StructField("run_id", T.StringType()),
-    T.StructField("entry_date", T.TimestampNTZType()),
-    T.StructField("exit_date", T.TimestampNTZType()),
-    T.StructField("days_held", T.LongType()),
-    T.StructField("pnl", T.DoubleType()),
-    T.StructField("pnl_pct", T.DoubleType()),
-    T.StructField("status", T.StringType()),
-    T.StructField("entry_reason", T.StringType()),
-    T.StructField("exit_reason", T.StringType()),
-    T.StructField("strike_width", T.DoubleType()),
-    T.StructField("distance", T.DoubleType()),
-    T.StructField("iv_rank", T.DoubleType()),
-])

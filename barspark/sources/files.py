@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.quality import parse_ts
+from ..operators.quality import number, parse_ts
 from ..session import checkpoint_dir
 
 BAR_FIELDS = ["open", "high", "low", "close", "vwap", "volume"]
@@ -40,22 +40,22 @@ def scan_csv_bars(spark: SparkSession, path: str, columns: Sequence[str] | None
         if c == "timestamp":
             out.append(parse_ts(c).alias("timestamp"))
         elif c in BAR_FIELDS:
-            out.append(F.col(c).try_cast("double").alias(c))
+            out.append(number(F.col(c)).alias(c))
         else:
             out.append(F.col(c))
     return raw.select(*out)
 
 
-# Date formats accepted in a blackout-dates text file.
-BLACKOUT_FORMATS = ["yyyy-MM-dd", "MM/dd/yyyy", "yyyy/MM/dd", "yyyy-MM-dd HH:mm:ss", "dd MMM yyyy"]
+# Date formats accepted in a blackout-dates text file besides timestamps.
+BLACKOUT_FORMATS = ["d MMM yyyy", "d-MMM-yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy", "yyyyMMdd"]
 
 
 def scan_blackout_dates(spark: SparkSession, path: str) -> DataFrame:
     """One date per line; blank lines and '#' comments skipped; lines that do
     not parse are dropped silently; duplicates kept; day precision."""
-    lines = spark.read.text(path).select(F.trim("value").alias("v"))
+    lines = spark.read.text(path).select(F.trim(F.translate("value", "\ufeff", "")).alias("v"))
     lines = lines.filter((F.col("v") != "") & ~F.col("v").startswith("#"))
-    d = F.coalesce(*[F.try_to_timestamp(F.col("v"), F.lit(f)) for f in BLACKOUT_FORMATS])
+    d = F.coalesce(parse_ts("v"), *[F.try_to_timestamp(F.col("v"), F.lit(f)).cast("timestamp_ntz") for f in BLACKOUT_FORMATS])
     return lines.select(F.to_date(d).alias("event_date")).filter(F.col("event_date").isNotNull())
 
 

@@ -97,16 +97,17 @@ def catalog_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def text_id(c: F.Column) -> F.Column:
+    """Deterministic id of a text: the first 52 bits of its MD5 digest."""
+    return F.conv(F.substring(F.md5(c), 1, 13), 16, 10).cast("long")
+
+
 def symbol_id_expr(symbol: str) -> F.Column:
-    """Deterministic id from the symbol text (same rule in SQL): sum of the
-    code points of its first four characters times a position weight."""
-    c = F.col(symbol)
-    parts = [F.coalesce(F.ascii(F.substring(c, i, 1)), F.lit(0)).cast("long") * F.lit(1000 ** (3 - (i - 1)))
-             for i in range(1, 5)]
-    total = parts[0]
-    for p in parts[1:]:
-        total = total + p
-    return total + F.length(c).cast("long")
+    return text_id(F.col(symbol))
+
+
+def dataset_id_expr(symbol: str, timeframe: F.Column, part: F.Column) -> F.Column:
+    return text_id(F.concat(F.col(symbol), F.lit("|"), timeframe, F.lit("|"), part.cast("string")))
 
 
 def catalog_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,8 +124,7 @@ def catalog_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = F.date_format("t1", "yyyy-MM-dd")
     safe = F.translate(F.translate(F.col("symbol"), "/", "_"), ":", "_")
     return g.select(
-        (symbol_id_expr("symbol") * F.lit(100000) + F.col("part") * F.lit(10)
-         + F.when(F.col("timeframe") == "1d", F.lit(1)).otherwise(F.lit(2))).alias("dataset_id"),
+        dataset_id_expr("symbol", F.col("timeframe"), F.col("part")).alias("dataset_id"),
         symbol_id_expr("symbol").alias("symbol_id"),
         "timeframe",
         start.alias("start_date"), end.alias("end_date"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.quality import parse_ts
+from ..operators.quality import number, parse_ts
 
 CSV_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in
                            ("symbol", "timestamp", "open", "high", "low", "close", "vwap", "volume")])
@@ -22,7 +22,7 @@ CSV_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in
 def ingest_incremental(spark: SparkSession, source: str, table: str, checkpoint: str) -> DataFrame:
     stream = spark.readStream.schema(CSV_SCHEMA).option("header", True).csv(source)
     typed = stream.select("symbol", parse_ts("timestamp").alias("ts"),
-                          *[F.col(c).try_cast("double").alias(c)
+                          *[number(F.col(c)).alias(c)
                             for c in ("open", "high", "low", "close", "vwap", "volume")])
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="session")
 def spark():
     from barspark.session import checkpoint_dir, get_spark
-    s = get_spark("local[*]", shuffle_partitions=8)
+    s = get_spark(f"local[{os.environ.get('TEST_CPUS', '*')}]", shuffle_partitions=8)
     checkpoint_dir(s)          # tests set their own folder only because none is configured
     yield s
 

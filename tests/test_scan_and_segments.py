@@ -19,12 +19,34 @@ def test_ewm_matches_pandas_with_gaps(spark):
     x[:5] = np.nan                    # leading gap
     x[1000:1040] = np.nan             # a 40-row gap
     pdf = pd.DataFrame({"k": "a", "idx": np.arange(n), "x": x})
-    df = ordered.segment(spark.createDataFrame(pdf.astype({"x": "float64"})).withColumn(
-        "x", F.when(~F.isnan("x"), F.col("x"))), "idx", 1 << 16)
-    out = with_ewm(df, ["k", ordered.SEG], {"y": "x"}, 1 / 14).orderBy("idx").toPandas()
+    x[1100:2650] = np.nan             # a gap longer than two blocks
+    pdf["x"] = x
+    df = spark.createDataFrame(pdf.astype({"x": "float64"})).withColumn("x", F.when(~F.isnan("x"), F.col("x")))
     ref = pd.Series(x).ewm(alpha=1 / 14, adjust=False).mean()
-    assert out["y"].isna().tolist() == ref.isna().tolist()
-    assert np.nanmax(np.abs(out["y"].to_numpy(dtype=float) - ref.to_numpy())) < 1e-10
+    for block_rows, fan in ((512, 128), (32, 4), (7, 3)):
+        out = with_ewm(df, ["k"], {"y": "x"}, 1 / 14, block_rows=block_rows, fan=fan).orderBy("idx").toPandas()
+        assert out["y"].isna().tolist() == ref.isna().tolist()
+        assert np.nanmax(np.abs(out["y"].to_numpy(dtype=float) - ref.to_numpy())) < 1e-10
+
+
+def test_rsi_keeps_its_history_over_a_flat_stretch(spark):
+    rng = np.random.default_rng(5)
+    close = np.concatenate([100 + rng.normal(size=600).cumsum(), np.zeros(2100), rng.normal(size=50).cumsum()])
+    close[600:2700] = close[599]
+    close[2700:] += close[599]
+    n = len(close)
+    pdf = pd.DataFrame({"symbol": "a", "ts": pd.date_range("2000-01-01", periods=n), "close": close})
+    for c in ("open", "vwap"):
+        pdf[c] = close
+    pdf["high"], pdf["low"], pdf["volume"] = close + 0.5, close - 0.5, 1.0
+    bars = spark.createDataFrame(pdf).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    got = I.compute_indicators(bars, fill="none").orderBy("ts").toPandas()["rsi"].to_numpy(dtype=float)
+    diff = pd.Series(close).diff()
+    up = diff.clip(lower=0).ewm(alpha=1 / 14, adjust=False).mean()
+    down = (-diff.clip(upper=0)).ewm(alpha=1 / 14, adjust=False).mean()
+    ref = (100 - 100 / (1 + up / down)).to_numpy()
+    assert np.nanmax(np.abs(got - ref)) < 1e-6
+    assert abs(got[2690] - got[610]) < 1e-6
 
 
 def test_indicators_invariant_to_segment_size(spark, sf):

@@ -58,15 +58,23 @@ def date_range_summary(symbols: DataFrame, datasets: DataFrame, start: str | Non
                   mb(F.sum("file_size_bytes")).alias("total_size_mb")))
 
 
-def orphans(symbols: DataFrame, datasets: DataFrame) -> DataFrame:
-    """Integrity audit the declared foreign keys would have enforced."""
+def orphans(symbols: DataFrame, datasets: DataFrame, runs: DataFrame | None = None, trades: DataFrame | None = None) -> DataFrame:
+    """Integrity audit the declared foreign keys would have enforced; with the
+    run store's tables also runs without dataset and trades without run (ids are
+    text there, so ``id`` is NULL and ``name`` holds the run id)."""
     no_sym = (datasets.join(symbols, "symbol_id", "left_anti")
                       .select(F.lit("dataset_without_symbol").alias("kind"), F.col("dataset_id").alias("id"),
                               F.col("file_path").alias("name")))
     no_data = (symbols.join(datasets, "symbol_id", "left_anti")
                       .select(F.lit("symbol_without_dataset").alias("kind"), F.col("symbol_id").alias("id"),
                               F.col("symbol").alias("name")))
-    return no_sym.unionByName(no_data)
+    out = no_sym.unionByName(no_data)
+    named = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.lit(None).cast("long").alias("id"), F.col("run_id").alias("name")).distinct()
+    if runs is not None:
+        out = out.unionByName(named(runs.join(datasets, "dataset_id", "left_anti"), "run_without_dataset"))
+        if trades is not None:
+            out = out.unionByName(named(trades.join(runs, "run_id", "left_anti"), "trade_without_run"))
+    return out
 
 
 def upsert_symbols(symbols: DataFrame, updates: DataFrame) -> DataFrame:

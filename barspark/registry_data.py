@@ -3,6 +3,8 @@ files and streams, the run store, and the presentation-side metric views."""
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from . import oracle as O
@@ -474,35 +476,35 @@ def _dataset_of(spark, sf):
     return d.groupBy("symbol").agg(F.max_by("dataset_id", "end_date").alias("dataset_id"))
 
 
+STORED_AT = [dt.datetime(2024, 1, 1) + dt.timedelta(seconds=order) for _, order in RUN_SETS]
+
+
 def run_store(spark, sf):
-    """Both parameter sets are resolved in ONE grid job, then stored."""
+    """Path of a store to which both parameter sets were appended, resolved in ONE grid job."""
     from .registry_core import grid_result
 
     def build():
-        bars = daily_bars(spark, sf)
-        ds = _dataset_of(spark, sf)
+        path = files.scratch(spark, "run-store")
         g = grid_result(spark, sf, tuple(p for p, _ in RUN_SETS))
-        rr, tt = None, None
-        for p, order in RUN_SETS:
-            tr = g.trades.filter(F.col("run_id") == p.run_id).drop("run_id")
-            dd = g.drawdown.filter(F.col("run_id") == p.run_id).drop("run_id")
-            a = runs.run_rows(p, order, tr, dd, bars, ds)
-            t = runs.trade_rows(p, tr)
-            rr = a if rr is None else rr.unionByName(a)
-            tt = t if tt is None else tt.unionByName(t)
-        return cut_lineage(rr), cut_lineage(tt)
+        runs.save_runs(path, [(p, f"{p.run_id} filters", at) for (p, _), at in zip(RUN_SETS, STORED_AT)], g.trades, g.drawdown,
+                       daily_bars(spark, sf), _dataset_of(spark, sf))
+        return path
     return memo(spark, ("runs", sf), build)
 
 
+def _store_tables(spark, sf):
+    return runs.stored_runs(spark, run_store(spark, sf)), catalog_datasets(spark, sf), catalog_symbols(spark, sf)
+
+
 def _run_ctes(p, order, sfx):
     body = O.suffix_ctes(O.signal_ctes(p) + "," + O.position_ctes(p), sfx)
     cfg = runs.config_json(p).replace("'", "''")
     return body + f""",
-runs{sfx} AS (SELECT '{p.run_id}:' || r.symbol AS run_id, r.symbol, ds.dataset_id,
+runs{sfx} AS (SELECT '{p.run_id}:' || r.symbol AS run_id, '{p.run_id} filters' AS run_name, ds.dataset_id,
     TIMESTAMP '2024-01-01 00:00:00' + INTERVAL {order} SECOND AS created_at, '{cfg}' AS config,
     strftime(r.t0, '%Y-%m-%d') AS start_date, strftime(r.t1, '%Y-%m-%d') AS end_date,
     coalesce(t.n, 0) AS total_trades, coalesce(t.wr, 0.0) AS win_rate, coalesce(t.tp, 0.0) AS total_pnl,
-    coalesce(t.ap, 0.0) AS avg_pnl, CAST(NULL AS DOUBLE) AS sharpe_ratio, coalesce(d.md, 0.0) AS max_drawdown
+    coalesce(t.ap, 0.0) AS avg_pnl, CAST(NULL AS DOUBLE) AS sharpe_ratio, coalesce(d.md, 0.0) AS max_drawdown, CAST(NULL AS DOUBLE) AS runtime_seconds
   FROM (SELECT symbol, min(ts) AS t0, max(ts) AS t1 FROM ib GROUP BY symbol) r
   LEFT JOIN (SELECT symbol, count(*) AS n, count(*) FILTER (WHERE pnl > 0) / count(*) AS wr, sum(pnl) AS tp,
              avg(pnl) AS ap FROM trades{sfx} GROUP BY symbol) t USING (symbol)
@@ -521,10 +523,12 @@ dsof AS (SELECT symbol, arg_max(dataset_id, end_date) AS dataset_id FROM dataset
          WHERE timeframe = '1d' GROUP BY symbol),"""
              + ",".join(_run_ctes(p, o, f"_{i}") for i, (p, o) in enumerate(RUN_SETS))
              + ", allruns AS (" + " UNION ALL ".join(f"SELECT * FROM runs_{i}" for i in range(len(RUN_SETS)))
-             + "), alltrades AS (" + " UNION ALL ".join(f"SELECT * FROM st_{i}" for i in range(len(RUN_SETS))) + ")")
-RUN_COLS = ["run_id", "symbol", "dataset_id", "created_at", "config", "start_date", "end_date", "total_trades",
-            "win_rate", "total_pnl", "avg_pnl", "sharpe_ratio", "max_drawdown"]
-_RUN_D = {"win_rate", "total_pnl", "avg_pnl", "sharpe_ratio", "max_drawdown"}
+             + "), alltrades AS (" + " UNION ALL ".join(f"SELECT * FROM st_{i}" for i in range(len(RUN_SETS)))
+             + "), cataloged AS (SELECT r.*, d.file_path, s.symbol, d.timeframe FROM allruns r JOIN datasets d USING (dataset_id) "
+               "JOIN symbols s USING (symbol_id))")
+RUN_COLS = ["run_id", "run_name", "dataset_id", "config", "start_date", "end_date", "total_trades", "win_rate", "avg_pnl",
+            "total_pnl", "sharpe_ratio", "max_drawdown", "runtime_seconds", "created_at"]
+_RUN_D = {"win_rate", "total_pnl", "avg_pnl", "sharpe_ratio", "max_drawdown", "runtime_seconds"}
 
 
 def _runsel(cols, src="allruns"):
@@ -532,50 +536,73 @@ def _runsel(cols, src="allruns"):
 
 
 register("save_run", RUNS_WITH + " SELECT " + _runsel(RUN_COLS))(
-    lambda spark, sf: finalize(run_store(spark, sf)[0].select(*RUN_COLS)))
+    lambda spark, sf: finalize(_store_tables(spark, sf)[0].select(*RUN_COLS)))
 
 ST_COLS = ["trade_id", "run_id", "entry_date", "exit_date", "days_held", "pnl", "pnl_pct", "status", "entry_reason",
            "exit_reason", "strike_width", "distance", "iv_rank"]
 register("append_trades", RUNS_WITH + " SELECT " + ", ".join(
     f"{r6(c)} AS {c}" if c in {"pnl", "pnl_pct", "strike_width", "distance", "iv_rank"} else c for c in ST_COLS)
-    + " FROM alltrades")(lambda spark, sf: finalize(run_store(spark, sf)[1].select(*ST_COLS)))
-
-register("load_run", RUNS_WITH + f""" SELECT run_id, s.symbol, d.timeframe, d.file_path, total_trades,
-  {r6('total_pnl')} AS total_pnl, {r6("CAST(json_extract(config, '$.hv_min') AS DOUBLE)")} AS hv_min,
-  {r6("CAST(json_extract(config, '$.hv_max') AS DOUBLE)")} AS hv_max,
-  CAST(json_extract(config, '$.bb_window') AS BIGINT) AS bb_window
-  FROM allruns r LEFT JOIN datasets d USING (dataset_id) LEFT JOIN symbols s ON s.symbol_id = d.symbol_id""")(
-    lambda spark, sf: finalize(runs.load_run(run_store(spark, sf)[0], catalog_datasets(spark, sf),
-                                             catalog_symbols(spark, sf))))
-
-register("compare_runs", RUNS_WITH + f""" SELECT run_id, symbol, created_at, total_trades,
-  {r6('win_rate * 100')} AS win_rate_pct, {r6('total_pnl')} AS total_pnl, {r6('avg_pnl')} AS avg_pnl,
-  {r6('max_drawdown * 100')} AS max_drawdown_x100 FROM allruns WHERE symbol IN ('1-URGENT', '3-MEDIUM')""")(
-    lambda spark, sf: finalize(runs.compare_runs(
-        run_store(spark, sf)[0],
-        run_store(spark, sf)[0].filter(F.col("symbol").isin("1-URGENT", "3-MEDIUM")))))
-
-LIST_COLS = ["run_id", "symbol", "created_at", "total_trades", "win_rate", "total_pnl", "max_drawdown"]
-register("list_runs", RUNS_WITH + " SELECT " + _runsel(LIST_COLS)
-         + " ORDER BY created_at DESC, run_id DESC LIMIT 6")(
-    lambda spark, sf: finalize(runs.latest_runs(run_store(spark, sf)[0], 6, LIST_COLS)))
-register("run_history", RUNS_WITH + " SELECT " + _runsel(RUN_COLS)
+    + " FROM alltrades")(lambda spark, sf: finalize(runs.stored_trades(spark, run_store(spark, sf)).select(*ST_COLS)))
+
+ONE_RUN = f"{WIDE.run_id}:1-URGENT"
+
+
+@register("load_run", RUNS_WITH + f""" SELECT c.run_id, c.run_name, c.symbol, c.timeframe, c.file_path, c.total_trades,
+  json_extract_string(c.config, '$.hv_min') AS hv_min, json_extract_string(c.config, '$.bb_window') AS bb_window,
+  t.trade_id, t.entry_date, t.exit_date, t.exit_reason, {r6('t.pnl')} AS pnl
+  FROM cataloged c JOIN alltrades t USING (run_id) WHERE c.run_id = '{ONE_RUN}'""")
+def q_load_run(spark, sf):
+    """One run by id with its parsed parameters and ordered trades."""
+    _, datasets, symbols = _store_tables(spark, sf)
+    run, trades = runs.load_run(spark, run_store(spark, sf), ONE_RUN, datasets, symbols)
+    head = run.select("run_id", "run_name", "symbol", "timeframe", "file_path", "total_trades",
+                      F.col("config")["hv_min"].alias("hv_min"), F.col("config")["bb_window"].alias("bb_window"))
+    return finalize(head.join(trades.select("run_id", "trade_id", "entry_date", "exit_date", "exit_reason", "pnl"), "run_id"))
+
+
+COMPARED = [f"{p.run_id}:{s}" for p, _ in RUN_SETS for s in ("1-URGENT", "3-MEDIUM")]
+_PCT = "round(win_rate * 100, 2) AS win_rate_pct"
+register("compare_runs", RUNS_WITH + f""" SELECT run_id, run_name, symbol, timeframe, start_date, end_date, total_trades, {_PCT},
+  round(avg_pnl, 2) AS avg_pnl, round(total_pnl, 2) AS total_pnl, round(sharpe_ratio, 3) AS sharpe_ratio,
+  round(max_drawdown * 100, 2) AS max_drawdown_pct, round(runtime_seconds, 2) AS runtime_sec, created_at
+  FROM cataloged WHERE run_id IN ({", ".join(f"'{r}'" for r in COMPARED)})""")(
+    lambda spark, sf: finalize(runs.compare_runs(_store_tables(spark, sf)[0], COMPARED, *_store_tables(spark, sf)[1:])))
+
+register("list_runs", RUNS_WITH + f""" SELECT run_id, run_name, symbol, timeframe, start_date, end_date, total_trades, {_PCT},
+  round(total_pnl, 2) AS total_pnl, round(sharpe_ratio, 3) AS sharpe, created_at FROM cataloged
+  WHERE symbol <> '' ORDER BY created_at DESC, run_id DESC LIMIT 6""")(
+    lambda spark, sf: finalize(runs.list_runs(*_store_tables(spark, sf), limit=6)))
+register("list_runs_symbol", RUNS_WITH + f""" SELECT run_id, run_name, symbol, timeframe, start_date, end_date, total_trades, {_PCT},
+  round(total_pnl, 2) AS total_pnl, round(sharpe_ratio, 3) AS sharpe, created_at FROM cataloged WHERE symbol = '2-HIGH'""")(
+    lambda spark, sf: finalize(runs.list_runs(*_store_tables(spark, sf), symbol="2-HIGH")))
+register("run_history", RUNS_WITH + " SELECT " + _runsel([*RUN_COLS, "file_path", "symbol", "timeframe"], "cataloged")
          + " ORDER BY created_at DESC, run_id DESC LIMIT 8")(
-    lambda spark, sf: finalize(runs.latest_runs(run_store(spark, sf)[0], 8, RUN_COLS)))
+    lambda spark, sf: finalize(runs.run_history(*_store_tables(spark, sf), limit=8)))
 
 
-@register("export_stored_run_json")
+@register("export_stored_run_json", RUNS_WITH + " SELECT " + _runsel(["run_id", "run_name", "dataset_id", "start_date", "end_date",
+          "total_trades", "win_rate", "avg_pnl", "total_pnl", "max_drawdown"]) + " WHERE run_id = '" + ONE_RUN + "'")
 def q_export_stored_run(spark, sf):
-    r = run_store(spark, sf)[0]
+    """A stored run as a JSON document with its trades as JSON lines beside it, parsed back."""
+    _, datasets, symbols = _store_tables(spark, sf)
+    run, trades = runs.load_run(spark, run_store(spark, sf), ONE_RUN, datasets, symbols)
     path = files.scratch(spark, "stored-run-json")
-    r.write.mode("overwrite").json(path)
-    return spark.read.json(path)
+    runs.export_json(run, trades, path)
+    back = spark.read.schema(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.RUNS if f.name != "config")).json(f"{path}/run")
+    sums = spark.read.schema("run_id string, pnl double").json(f"{path}/trades").groupBy("run_id").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("s"))
+    same = (F.col("n") == F.col("total_trades")) & (F.abs(F.col("s") - F.col("total_pnl")) < 1e-6)
+    return finalize(back.join(sums, "run_id").where(same).select(
+        "run_id", "run_name", "dataset_id", "start_date", "end_date", "total_trades", "win_rate", "avg_pnl", "total_pnl", "max_drawdown"))
 
 
-@register("export_stored_trades_csv")
+@register("export_stored_trades_csv", RUNS_WITH + f""" SELECT trade_id, run_id, strftime(entry_date, '%Y-%m-%dT%H:%M:%S') AS entry_date,
+  days_held, {r6('pnl')} AS pnl, exit_reason FROM alltrades""")
 def q_export_stored_trades(spark, sf):
-    t = run_store(spark, sf)[1]
-    return _roundtrip(spark, t, "stored-trades-csv")
+    t = runs.stored_trades(spark, run_store(spark, sf)).withColumn("entry_date", F.date_format("entry_date", "yyyy-MM-dd'T'HH:mm:ss"))
+    back = _roundtrip(spark, t, "stored-trades-csv")
+    return finalize(back.select(F.col("trade_id").cast("long").alias("trade_id"), "run_id", "entry_date",
+                                F.col("days_held").cast("long").alias("days_held"), F.col("pnl").cast("double").alias("pnl"), "exit_reason"))
 
 
 # --- presentation-side metric views (2.7) -------------------------------------------

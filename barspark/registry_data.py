@@ -366,7 +366,7 @@ register("ingest_frame", INGEST_SQL)(lambda spark, sf: finalize(ingest_frame(spa
 @register("ingest_csv", INGEST_SQL)
 def q_ingest_csv(spark, sf):
     b = files.scan_csv_bars(spark, _daily_csv(spark, sf)).withColumnRenamed("timestamp", "ts")
-    return finalize(ingest_frame(spark, b.filter(F.col("ts").isNotNull()).orderBy("symbol", "ts")))
+    return finalize(ingest_frame(spark, b.filter(F.col("ts").isNotNull())))
 
 
 def _ingest_dir(spark, sf):
@@ -393,9 +393,15 @@ register("ingest_directory", f"""SELECT regexp_replace(symbol, '[^A-Za-z0-9-]',
 
 @register("ingest_incremental", DAILY6.replace("ts AS timestamp", "ts"))
 def q_incremental(spark, sf):
-    src = _daily_csv(spark, sf, odd_headers=False)
+    """Two calls with one checkpoint: the second finds only the files added since."""
     out = files.scratch(spark, "incremental")
-    t = ingest_incremental(spark, src, out + "/table", out + "/checkpoint")
+    src, args = out + "/in", (out + "/table", out + "/checkpoint")
+    rows = _daily_csv_frame(spark, sf, odd_headers=False)
+    early = F.col("timestamp") < "1996"
+    rows.where(early).write.option("header", True).csv(src)
+    ingest_incremental(spark, src, *args)
+    rows.where(~early).select("timestamp", "symbol", *BAR6[::-1]).write.mode("append").option("header", True).csv(src)
+    t = ingest_incremental(spark, src, *args)
     return finalize(t.select("symbol", "ts", *BAR6))
 
 

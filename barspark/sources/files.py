@@ -8,9 +8,11 @@ with ``try_cast``), never inferred.
 
 from __future__ import annotations
 
+import csv
 import uuid
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,20 +32,52 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def scan_csv_bars(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """CSV with header -> typed bars. Header names are lower-cased and trimmed;
-    text that does not parse becomes NULL (``try_cast``)."""
-    raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
-    raw = raw.toDF(*[c.strip().lower() for c in raw.columns])
-    out = []
-    for c in raw.columns:
-        if c == "timestamp":
-            out.append(parse_ts(c).alias("timestamp"))
-        elif c in BAR_FIELDS:
-            out.append(number(F.col(c)).alias(c))
-        else:
-            out.append(F.col(c))
-    return raw.select(*out)
+def csv_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """(file, header): the first line of each CSV file.
+
+    A file's first split starts at byte 0 and its rows keep their order inside a
+    task, so the first line has the least row number of that split."""
+    paths = [paths] if isinstance(paths, str) else list(paths)
+    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
+    return (lines.withColumn("n", F.monotonically_increasing_id()).where("at = 0")
+                 .groupBy("file").agg(F.min_by("value", "n").alias("header")))
+
+
+def _column_names(header: str) -> list[str]:
+    return [c.strip().strip('"').strip().lower() for c in next(csv.reader([header.lstrip("\ufeff")]))]
+
+
+def csv_groups(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[list[str], list[str]]]:
+    """(column names, files) for each distinct header; a listing, so it is small."""
+    groups: dict[str, list[str]] = {}
+    for r in csv_headers(spark, paths).collect():
+        groups.setdefault(r.header, []).append(r.file)
+    return [(_column_names(h), sorted(f)) for h, f in sorted(groups.items())]
+
+
+def _typed(raw: DataFrame) -> DataFrame:
+    kinds = {"timestamp": lambda c: parse_ts(c), **{c: lambda x: number(F.col(x)) for c in BAR_FIELDS}}
+    return raw.select(*[(kinds[c](c).alias(c) if c in kinds else F.col(c)) for c in raw.columns])
+
+
+def _read_group(spark: SparkSession, names: list[str], files: list[str]) -> DataFrame:
+    """Files that share a header, every column as text; repeated or empty names get their position."""
+    unique = [n if n and names.index(n) == k else f"{n or 'column'}_{k}" for k, n in enumerate(names)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in unique])
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(files)
+
+
+def scan_csv_bars(spark: SparkSession, path: str | Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """CSV with header -> typed bars. Header names are lower-cased and trimmed, and
+    columns go by name in every file, whatever their order; text that does not
+    parse and NaN become NULL. Files without a column get NULL there."""
+    out = None
+    for names, files in csv_groups(spark, path):
+        part = _typed(_read_group(spark, names, files))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no CSV file under {path}")
+    return out.select(*columns) if columns else out
 
 
 # Date formats accepted in a blackout-dates text file besides timestamps.
@@ -86,7 +120,7 @@ def scan_parquet_bars(spark: SparkSession, path: str, columns: Sequence[str] | N
 
 
 def file_fingerprint(spark: SparkSession, path_glob: str) -> DataFrame:
-    """SHA-256 of each file's bytes (and the 16-hex cache key)."""
+    """SHA-256 of each file's bytes (and the 16-hex cache key); files of up to 2 GB."""
     b = spark.read.format("binaryFile").load(path_glob)
     h = F.sha2(F.col("content"), 256)
     return b.select(F.col("path"), F.col("length"), h.alias("sha256"), F.substring(h, 1, 16).alias("cache_key"))
@@ -94,34 +128,41 @@ def file_fingerprint(spark: SparkSession, path_glob: str) -> DataFrame:
 
 def ingest_directory(spark: SparkSession, root: str, pattern: str = "*",
                      required: Sequence[str] = ("timestamp", "open", "high", "low", "close", "volume")) -> tuple:
-    """All CSV data sets in the folders ``root/{pattern}`` in ONE job.
-
-    A data set is a folder of CSV part files (``<stem>`` or ``<col>=<stem>``).
-    Lines are read as text with their file path; each file's header row gives
-    that file's column positions (a small per-file table), a data set missing
-    a required column is routed to the rejects, the rest are parsed
-    positionally. Symbol = stem up to the first '_'. Returns (bars, report).
-    """
-    lines = (spark.read.text(f"{root}/{pattern}/*.csv")
-                  .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line")))
-    stem = F.element_at(F.split(F.col("file"), "/"), -2)          # .../<stem>/part-*.csv
-    stem = F.regexp_replace(F.regexp_replace(stem, "^[^=]*=", ""), r"\.csv$", "")
-    lines = lines.withColumn("symbol", F.split(stem, "_").getItem(0))
-    fields = F.split(F.col("line"), ",")
-    is_header = F.lower(F.trim(fields.getItem(0))) == "timestamp"
-    headers = (lines.filter(is_header).groupBy("file")
-                    .agg(F.first(F.transform(F.split("line", ","), lambda x: F.lower(F.trim(x)))).alias("cols")))
-    miss = F.array_except(F.array(*[F.lit(c) for c in required]), F.col("cols"))
-    headers = headers.withColumn("missing", miss)
-    data = lines.filter(~is_header).join(headers, "file")
-    ok = data.filter(F.size("missing") == 0)
-    pos = lambda c: F.array_position(F.col("cols"), c).cast("int")
-    get = lambda c: F.try_element_at(fields, pos(c))
-    bars = ok.select("symbol", parse_ts(get("timestamp")).alias("ts"),
-                     *[F.when(pos(c) > 0, get(c)).try_cast("double").alias(c) for c in BAR_FIELDS])
-    folder = F.regexp_replace(F.col("file"), "/[^/]*$", "")     # one CSV "file" = one folder of parts
-    report = (data.groupBy(folder.alias("folder"), "symbol", "missing").agg(F.count(F.lit(1)).alias("rows"))
-                  .select("symbol", "rows",
-                          F.when(F.size("missing") == 0, F.lit("ok"))
-                           .otherwise(F.concat(F.lit("missing: "), F.array_join("missing", ", "))).alias("status")))
-    return bars, report
+    """All CSV files ``root/{pattern}.csv`` and all CSV parts of folders ``root/{pattern}``.
+
+    The symbol is the file's (or folder's, ``<col>=<stem>`` included) stem up to
+    the first '_'. Files are read by their own header; a file that lacks a required
+    column, headers included, is in the report with what is missing, so each
+    file is either in the bars or in the rejects. Returns (bars, report)."""
+    found = []
+    for glob in (f"{root}/{pattern}.csv", f"{root}/{pattern}/*.csv"):
+        try:
+            found += csv_groups(spark, glob)
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+    if not found:
+        raise ValueError(f"no CSV file under {root}")
+    bars = counts = None
+    listing = []
+    place = F.regexp_replace(F.col("_metadata.file_path"), r"/part-[^/]*$", "")
+    stem = F.regexp_replace(F.regexp_replace(F.element_at(F.split(place, "/"), -1), "^[^=]*=", ""), r"\.csv$", "")
+    symbol = F.split(stem, "_").getItem(0)
+    for names, files in found:
+        raw = _read_group(spark, names, files)
+        missing = [c for c in required if c not in names]
+        listing += [(f, f"missing: {', '.join(missing)}" if missing else "ok") for f in files]
+        part = raw.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+        counts = part if counts is None else counts.unionByName(part)
+        if not missing:
+            own = _typed(raw.select(*[F.col(f"`{c}`") for c in raw.columns], symbol.alias("_symbol")))
+            own = own.select(F.col("_symbol").alias("symbol"), F.col("timestamp").alias("ts"),
+                             *[(F.col(c) if c in names else F.lit(None).cast("double")).alias(c) for c in BAR_FIELDS])
+            bars = own if bars is None else bars.unionByName(own)
+    if bars is None:
+        bars = spark.createDataFrame([], "symbol string, ts timestamp_ntz, " + ", ".join(f"{c} double" for c in BAR_FIELDS))
+    files = spark.createDataFrame(listing, "file string, status string").join(counts, "file", "left")
+    named = files.select("status", "n", F.struct(F.col("file").alias("file_path")).alias("_metadata"))
+    report = named.select(place.alias("place"), symbol.alias("symbol"), "status", "n").groupBy("place", "symbol", "status").agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
+    return bars, report.select("symbol", "rows", "status")

@@ -37,8 +37,8 @@ def _nullif0(c):
     return F.when(c != 0, c)
 
 
-def _rolling_gated(x, w, n, min_count=None):
-    mean, std, cnt = ordered.rolling_mean_std(x, w, n)
+def _rolling_gated(x, keys, n, min_count=None):
+    mean, std, cnt = ordered.rolling_mean_std(x, keys, n)
     ok = cnt >= F.lit(n if min_count is None else min_count)
     return F.when(ok, mean), F.when(ok, std)
 
@@ -60,8 +60,6 @@ def compute_raw(bars: DataFrame, keys: Sequence[str] = ("symbol",), bb_window: i
     keys = list(keys)
     b = indexed_bars(bars, keys, bar_seconds)
     h = ordered.halo(b, back=indicator_lookback(bb_window), seg_rows=seg_rows)
-    w = ordered.seg_window(keys)
-
     W = f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in [*keys, ordered.SEG])} ORDER BY `idx`"
     h = h.selectExpr("*", f"lag(close) {W}) AS _pc", f"lag(high) {W}) AS _ph", f"lag(low) {W}) AS _pl",
                      f"lag(vwap) {W}) AS _pvw")
@@ -76,9 +74,9 @@ def compute_raw(bars: DataFrame, keys: Sequence[str] = ("symbol",), bb_window: i
         "ln(close) - ln(_pc) AS _lr",
         "vwap - _pvw AS vwap_delta")
 
-    mid, std = _rolling_gated("vwap", w, bb_window)
-    sma, _ = _rolling_gated("vwap", w, P.VWAP_SMA_WINDOW)
-    _, lr_std = _rolling_gated("_lr", w, P.HV_WINDOW)
+    mid, std = _rolling_gated("vwap", keys, bb_window)
+    sma, _ = _rolling_gated("vwap", keys, P.VWAP_SMA_WINDOW)
+    _, lr_std = _rolling_gated("_lr", keys, P.HV_WINDOW)
     h = h.select("*", mid.alias("bb_mid"), std.alias("_bstd"), sma.alias("vwap_sma20"),
                  (lr_std * F.lit(P.ANNUALIZATION_FACTOR ** 0.5) * F.lit(100.0)).alias("_hv"))
     k = f"{P.BB_STD_MULTIPLIER!r}D"
@@ -186,7 +184,7 @@ def bollinger(bars: DataFrame, keys: Sequence[str] = ("symbol",), column: str =
     """Bands on any column (the fallback form uses ``close``)."""
     keys = list(keys)
     h = ordered.halo(indexed_bars(bars, keys, bar_seconds), back=window, seg_rows=seg_rows)
-    mid, std = _rolling_gated(column, ordered.seg_window(keys), window)
+    mid, std = _rolling_gated(column, keys, window)
     h = ordered.home(h.select("*", mid.alias("bb_mid"), std.alias("_s")))
     k = F.lit(P.BB_STD_MULTIPLIER)
     return h.select(*keys, "ts", "idx", "bb_mid", (F.col("bb_mid") + k * F.col("_s")).alias("bb_upper"),

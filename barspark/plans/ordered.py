@@ -155,28 +155,41 @@ def rolling(x: str | Column, w: Window, n: int, fn: str) -> Column:
             "max": F.max, "min": F.min}[fn](c).over(frame)
 
 
-def rolling_mean_std(x: str | Column, w: Window, n: int, prefix_over: int = 400):
-    """(mean, population std, non-null count) over the last ``n`` rows.
-
-    Short windows use frames. Long windows use running sums of ``x`` centred
-    by the segment's first value, differenced ``n`` rows apart: a frame costs
-    O(rows * n) in Spark, the running form O(rows).
+def rolling_mean_std(x: str | Column, keys: Sequence[str], n: int, framed_to: int = 400, idx: str = "idx", seg: str = SEG):
+    """(mean, population std, non-null count) over the last ``n`` rows of a segment.
+
+    Windows of up to ``framed_to`` rows are frames. A frame costs O(rows * n) in
+    Spark, so a longer window is put together of two runs that cost O(rows): rows
+    are cut into blocks of ``n``; the window is the run from its block's start to
+    the row, and the run from the window's first row to the end of the block
+    before. Each run keeps count, mean and squared deviations (Spark's central
+    moments), and the two are merged by the pairwise formula, so nothing is taken
+    as a difference of large sums. The runs keep the least and largest value too: a
+    flat window is its value, with exactly no deviation.
     """
-    c = F.col(x) if isinstance(x, str) else x
-    if n <= prefix_over:
+    c, n = (F.col(x) if isinstance(x, str) else x).cast("double"), int(n)
+    w = seg_window(keys, idx, seg)
+    if n <= framed_to:
         return rolling(c, w, n, "avg"), rolling(c, w, n, "std"), rolling(c, w, n, "count")
-    run = w.rowsBetween(UNB, 0)
-    # Centre: the partition's first non-null value so far. It is constant once
-    # it exists and rows before it are null, so differences of the running
-    # sums are differences of sums of one centred series.
-    centre = F.first(c, ignorenulls=True).over(run)
-    z = c - centre
-    s1 = F.sum(z).over(run)
-    s2 = F.sum(z * z).over(run)
-    cn = F.count(c).over(run)
-    d1 = F.coalesce(s1, F.lit(0.0)) - F.coalesce(F.lag(s1, int(n)).over(w), F.lit(0.0))
-    d2 = F.coalesce(s2, F.lit(0.0)) - F.coalesce(F.lag(s2, int(n)).over(w), F.lit(0.0))
-    dc = cn - F.coalesce(F.lag(cn, int(n)).over(w), F.lit(0))
-    mean_z = F.try_divide(d1, dc)
-    var = F.greatest(F.try_divide(d2, dc) - mean_z * mean_z, F.lit(0.0))
-    return mean_z + centre, F.sqrt(var), dc
+    block = Window.partitionBy(*keys, seg, F.floor(F.col(idx) / F.lit(n)))
+    head = block.orderBy(idx).rowsBetween(UNB, 0)
+    tail = block.orderBy(F.col(idx).desc()).rowsBetween(UNB, 0)
+    whole = F.col(idx) % n == n - 1          # the last row of a block: its run is the window
+    none = F.lit(0)
+
+    def part(fn, frame):
+        return fn(c).over(frame)
+
+    def before(value):
+        return F.when(~whole, F.lag(value, n - 1).over(w))
+
+    n1, n2 = part(F.count, head), F.coalesce(before(part(F.count, tail)), none)
+    m1, m2 = F.coalesce(part(F.avg, head), none), F.coalesce(before(part(F.avg, tail)), none)
+    s1, s2 = F.coalesce(part(F.var_pop, head), none) * n1, F.coalesce(before(part(F.var_pop, tail) * part(F.count, tail)), none)
+    count, gap = n1 + n2, m2 - m1
+    mean = F.when(n1 == 0, F.when(n2 > 0, m2)).otherwise(m1 + F.when(n2 > 0, gap * n2 / F.nullif(count, none)).otherwise(0.0))
+    between = F.when((n1 > 0) & (n2 > 0), gap * gap * (n1 * n2) / F.nullif(count, none)).otherwise(0.0)
+    low = F.least(part(F.min, head), before(part(F.min, tail)))
+    flat = low == F.greatest(part(F.max, head), before(part(F.max, tail)))
+    std = F.sqrt((s1 + s2 + between) / F.nullif(count, none))
+    return F.when(flat, low).otherwise(mean), F.when(flat, 0.0).otherwise(std), count

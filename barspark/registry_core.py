@@ -263,26 +263,31 @@ register("invalid_positions", _bt_sql(f""" SELECT symbol, idx AS entry_idx, ts A
     lambda spark, sf: finalize(positions.invalid_positions(result(spark, sf).bars)))
 
 
-# --- intraday (F2): hourly bars from events, Hourly Bollinger window (130) ----------
-HOURLY_BB = P.bb_window("Hourly")
+# --- intraday (F2): bars from events, each timeframe's Bollinger window --------------
+INTRADAY = {"hourly": "Hourly", "30min": "30-minute", "15min": "15-minute", "1min": "1-minute"}
 
 
-def hourly_indicators(spark, sf):
+def intraday_indicators(spark, sf, timeframe):
     def build():
-        bars = resample_bars(ticks_events(spark, sf), "Hourly")
-        return I.compute_indicators(bars, ["symbol"], bb_window=HOURLY_BB, trend_method="VWAP Slope",
-                                    bar_seconds=P.timeframe_seconds("Hourly"))
-    return memo(spark, ("ind-h", sf), build)
+        bars = resample_bars(ticks_events(spark, sf), timeframe)
+        return I.compute_indicators(bars, ["symbol"], bb_window=P.bb_window(timeframe), trend_method="VWAP Slope",
+                                    bar_seconds=P.timeframe_seconds(timeframe))
+    return memo(spark, ("ind", timeframe, sf), build)
 
 
 _H_COLS = ["bb_mid", "bb_upper", "bb_lower", "rsi", "atr", "plus_di", "minus_di", "adx", "vwap_sma20", "bb_width",
            "bb_tightening", "hv", "trend_up", "trend_down"]
-register("indicators_hourly", "WITH RECURSIVE " + O.indicator_ctes(O.bars_sql(O.ticks_events_sql(), 3600), HOURLY_BB,
-                                                                   "VWAP Slope")
-         + " SELECT symbol, ts, idx, " + ", ".join(
-             c if c in ("bb_tightening", "trend_up", "trend_down") else f"{r6(c)} AS {c}" for c in _H_COLS)
-         + " FROM ind")(
-    lambda spark, sf: finalize(hourly_indicators(spark, sf).select("symbol", "ts", "idx", *_H_COLS)))
+
+
+def _intraday_sql(timeframe):
+    bars = O.bars_sql(O.ticks_events_sql(), P.timeframe_seconds(timeframe))
+    return "WITH RECURSIVE " + O.indicator_ctes(bars, P.bb_window(timeframe), "VWAP Slope") + " SELECT symbol, ts, idx, " + ", ".join(
+        c if c in ("bb_tightening", "trend_up", "trend_down") else f"{r6(c)} AS {c}" for c in _H_COLS) + " FROM ind"
+
+
+for _name, _timeframe in INTRADAY.items():
+    register(f"indicators_{_name}", _intraday_sql(_timeframe))(
+        lambda spark, sf, t=_timeframe: finalize(intraday_indicators(spark, sf, t).select("symbol", "ts", "idx", *_H_COLS)))
 
 
 # --- many runs in one job ---------------------------------------------------------

@@ -93,16 +93,17 @@ def test_long_window_prefix_sums_match_frames(spark):
     n = 3000
     v = 100 + rng.normal(size=n).cumsum()
     v[rng.random(n) < 0.02] = np.nan
+    v[1500:2600] = 104.123             # fully flat windows
     df = spark.createDataFrame(pd.DataFrame({"k": "a", "idx": np.arange(n), "v": v})) \
         .withColumn("v", F.when(~F.isnan("v"), F.col("v")))
     df = ordered.segment(df, "idx", 1 << 16)
-    w = ordered.seg_window(["k"])
-    m1, s1, c1 = ordered.rolling_mean_std("v", w, 450, prefix_over=400)     # running-sum form
-    m2, s2, c2 = ordered.rolling_mean_std("v", w, 450, prefix_over=10_000)  # framed form
+    m1, s1, c1 = ordered.rolling_mean_std("v", ["k"], 450)                       # two runs
+    m2, s2, c2 = ordered.rolling_mean_std("v", ["k"], 450, framed_to=10_000)  # frames
     out = df.select("idx", m1.alias("m1"), s1.alias("s1"), c1.alias("c1"),
                     m2.alias("m2"), s2.alias("s2"), c2.alias("c2")).orderBy("idx").toPandas()
     assert (out["c1"] == out["c2"]).all()
     assert np.nanmax(np.abs(out["m1"] - out["m2"])) < 1e-8
-    assert np.nanmax(np.abs(out["s1"] - out["s2"])) < 1e-6
+    assert np.nanmax(np.abs(out["s1"] - out["s2"])) < 1e-11
+    assert (out["s1"][1500 + 449:2600] == 0).all() and (out["s2"][1500 + 449:2600] == 0).all()
     ref = pd.Series(v).rolling(450, min_periods=1).std(ddof=0)
     assert np.nanmax(np.abs(out["s2"].to_numpy() - ref.to_numpy())) < 1e-8

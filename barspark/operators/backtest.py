@@ -116,6 +116,6 @@ def run_grid(bars: DataFrame | None, events: DataFrame | None, runs: list, keys:
     x = I.trend_flags(x, F.col("p_trend"))
     sig = signals.with_blackout_runs(x, events, runs)
     sig = signals.with_eligibility(sig, F.col("p_hv_min"), F.col("p_hv_max"))
-    res = positions.resolve(sig, rkeys, F.col("p_adx_exit"), F.col("p_vwap_k"), F.col("p_use_bias"),
-                            F.col("p_bias"), F.col("p_wing_ext"), seg_rows=seg_rows)
+    res = positions.resolve(sig, rkeys, "p_adx_exit", "p_vwap_k", "p_use_bias",
+                            "p_bias", "p_wing_ext", seg_rows=seg_rows)
     return ledger_outputs(res, rkeys, seg_rows)

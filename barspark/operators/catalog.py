@@ -5,7 +5,8 @@ of an ingest, written after the data."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -101,6 +102,38 @@ def register_datasets(datasets: DataFrame, new: DataFrame) -> DataFrame:
     return datasets.unionByName(fresh.select(*datasets.columns))
 
 
+SYMBOLS = ("symbol_id bigint, symbol string, asset_type string, vendor string, description string, created_at timestamp_ntz, "
+           "updated_at timestamp_ntz")
+DATASETS = ("dataset_id bigint, symbol_id bigint, timeframe string, start_date string, end_date string, row_count bigint, "
+            "file_path string, file_size_bytes bigint, checksum string, created_at timestamp_ntz")
+
+
+def snapshot(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The newest snapshot of a stored catalog table; empty before the first commit."""
+    schema = {"symbols": SYMBOLS, "datasets": DATASETS}[name]
+    try:
+        stored = spark.read.schema(f"{schema}, v bigint").parquet(f"{path}/{name}")
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], schema)
+    newest = stored.agg(F.max("v")).first()[0]
+    return stored.where(F.col("v") == F.lit(newest)).drop("v")
+
+
+def commit(spark: SparkSession, path: str, symbols: DataFrame, datasets: DataFrame) -> None:
+    """Upsert symbols and register datasets: each table gets a new snapshot folder
+    ``v=<n>``; datasets come last and make the ingest visible. One writer at a time."""
+    for name, merge, new in (("symbols", upsert_symbols, symbols), ("datasets", register_datasets, datasets)):
+        old = snapshot(spark, path, name)
+        merged = merge(old, new.select(*old.columns)).select(*old.columns)
+        try:
+            last = spark.read.schema("v bigint").parquet(f"{path}/{name}").agg(F.max("v")).first()[0] or 0
+        except AnalysisException:
+            last = 0
+        merged.coalesce(1).write.parquet(f"{path}/{name}/v={last + 1}")
+
+
 def delete_datasets(datasets: DataFrame, ids: DataFrame) -> DataFrame:
     """Remove catalog rows by id; the data files stay where they are."""
     return datasets.join(ids.select("dataset_id"), "dataset_id", "left_anti")

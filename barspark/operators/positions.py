@@ -32,9 +32,9 @@ def condor_pnl(price: Column, sp: Column, lp: Column, sc: Column, lc: Column, cr
 
 
 def _sql(v) -> str:
-    """SQL text of a parameter: a column reference or a typed literal."""
-    if isinstance(v, Column):
-        return f"({v._jc.toString()})"
+    """SQL text of a parameter: a column given by name, or a typed literal."""
+    if isinstance(v, str):
+        return f"`{v}`"
     if isinstance(v, bool):
         return "true" if v else "false"
     return f"CAST({float(v)!r} AS DOUBLE)"
@@ -42,7 +42,7 @@ def _sql(v) -> str:
 
 def strikes_sql(use_bias, bias_strength, wing_ext_pct) -> dict[str, str]:
     """Short strikes (half-even rounding ``rint``) and wings as SQL expressions.
-    Parameters may be Python values or per-run columns."""
+    Parameters may be Python values or names of per-run columns."""
     if isinstance(use_bias, bool) and not use_bias:
         sp, sc = "rint(bb_lower)", "rint(bb_upper)"
     else:
@@ -51,7 +51,7 @@ def strikes_sql(use_bias, bias_strength, wing_ext_pct) -> dict[str, str]:
               f"WHEN {ub} AND trend_down THEN rint(bb_lower - {b}) ELSE rint(bb_lower) END")
         sc = (f"CASE WHEN {ub} AND trend_up THEN rint(bb_upper + {b}) "
               f"WHEN {ub} AND trend_down THEN rint(bb_upper - 0.5D * {b}) ELSE rint(bb_upper) END")
-    if isinstance(wing_ext_pct, Column):
+    if isinstance(wing_ext_pct, str):
         wide = f"({P.DEFAULT_WING_WIDTH!r}D * (1.0D + greatest(CAST({_sql(wing_ext_pct)} AS DOUBLE), 0.0D) / 100.0D))"
     else:
         wide = f"{P.DEFAULT_WING_WIDTH * (1.0 + max(0.0, float(wing_ext_pct)) / 100.0)!r}D"
@@ -114,15 +114,10 @@ def resolve(sig: DataFrame, keys: Sequence[str] = ("symbol",), adx_exit_threshol
     h = h.selectExpr("*", f"{pick_c} AS exit_close", f"{pick_t} AS exit_ts",
                      "coalesce(long_put < short_put AND short_put < short_call AND short_call < long_call "
                      "AND net_credit > 0, false) AS strikes_ok")
-    win = "exit_close >= short_put AND exit_close <= short_call"
-    fees = f"{FEES!r}D"
-    width = "CASE WHEN exit_close > short_call THEN long_call - short_call ELSE short_put - long_put END"
-    pnl = (f"CASE WHEN {win} THEN net_credit * {P.CONTRACT_MULTIPLIER} - {fees} "
-           f"ELSE -(({width}) - net_credit) * {P.CONTRACT_MULTIPLIER} - {fees} END")
-    h = h.selectExpr("*", f"CASE WHEN exit_off IS NOT NULL THEN {pnl} END AS pnl",
-                     f"CASE WHEN _rr IS NOT NULL THEN _rr WHEN exit_off IS NOT NULL THEN "
-                     f"(CASE WHEN {win} THEN 'win' ELSE 'loss' END) END AS outcome",
-                     "_rk IS NOT NULL AS rule_exit")
+    pnl, result = condor_pnl(*[F.col(c) for c in ("exit_close", "short_put", "long_put", "short_call", "long_call", "net_credit")])
+    closed = F.col("exit_off").isNotNull()
+    h = h.select("*", F.when(closed, pnl).alias("pnl"), F.coalesce("_rr", F.when(closed, result)).alias("outcome"),
+                 F.col("_rk").isNotNull().alias("rule_exit"))
     closes = "eligible AND strikes_ok AND exit_off IS NOT NULL"
     h = h.selectExpr("*", f"CASE WHEN {closes} THEN pnl END AS _closing_pnl",
                      f"CASE WHEN {closes} THEN exit_off END AS _closing_off")

@@ -336,37 +336,34 @@ register("profile_dataset", f"""SELECT symbol, timeframe, strftime(min(ts), '%Y-
         F.date_format(F.min("ts"), "yyyy-MM-dd").alias("start_date"),
         F.date_format(F.max("ts"), "yyyy-MM-dd").alias("end_date"), F.count(F.lit(1)).alias("row_count"))))
 
-INGEST_SQL = f"""SELECT symbol, '1d' AS timeframe, strftime(min(ts), '%Y-%m-%d') AS start_date,
-  strftime(max(ts), '%Y-%m-%d') AS end_date, count(*) AS row_count,
-  'bars/' || replace(replace(symbol, '/', '_'), ':', '_') || '_1d_' || strftime(min(ts), '%Y-%m-%d') || '_' ||
-  strftime(max(ts), '%Y-%m-%d') || '.parquet' AS file_path FROM ({DAILY}) b GROUP BY symbol"""
+INGEST_SQL = f"""SELECT symbol, 'equity' AS asset_type, 'csv_import' AS vendor, '1d' AS timeframe, strftime(min(ts), '%Y-%m-%d') AS start_date,
+  strftime(max(ts), '%Y-%m-%d') AS end_date, count(*) AS row_count, 'symbol=' || symbol || '/timeframe=1d' AS folder,
+  true AS complete FROM ({DAILY}) b GROUP BY symbol"""
 
 
-def ingest_frame(spark, bars, timeframe="1d"):
-    """Frame -> required columns -> profile -> Parquet -> catalog rows (written last)."""
-    missing = quality.missing_columns(bars.withColumnRenamed("ts", "timestamp"),
-                                      ["timestamp", "open", "high", "low", "close", "volume"])
-    if missing:
-        raise ValueError(f"Missing required columns: {missing}")
-    bars = bars.withColumn("timeframe", F.lit(timeframe))
-    path = files.sink_parquet_bars(bars, files.scratch(spark, "ingest"))
-    stored = files.scan_parquet_bars(spark, path)
-    start, end = F.date_format(F.min("ts"), "yyyy-MM-dd"), F.date_format(F.max("ts"), "yyyy-MM-dd")
-    safe = F.translate(F.translate(F.col("symbol"), "/", "_"), ":", "_")
-    return (stored.groupBy("symbol", "timeframe")
-                  .agg(start.alias("start_date"), end.alias("end_date"), F.count(F.lit(1)).alias("row_count"))
-                  .withColumn("file_path", F.concat(F.lit("bars/"), safe, F.lit("_"), F.col("timeframe"), F.lit("_"),
-                                                    F.col("start_date"), F.lit("_"), F.col("end_date"),
-                                                    F.lit(".parquet"))))
+def ingest_query(spark, bars, **kw):
+    """Ingest, then read the committed catalog back; ``complete``: the registered folder
+    exists with the registered size and checksum and holds the registered rows."""
+    from .sources import ingest
+    root, catalog_path = files.scratch(spark, "ingest"), files.scratch(spark, "catalog")
+    ingest.ingest_frame(spark, bars, "1d", root, catalog_path, **kw)
+    ingest.ingest_frame(spark, bars, "1d", root, catalog_path, write=False, **kw)     # known files: no second row
+    d, s = C.snapshot(spark, catalog_path, "datasets"), C.snapshot(spark, catalog_path, "symbols")
+    found = ingest.stored_folders(spark, root).select(F.col("file_path"), F.col("file_size_bytes").alias("size"), F.col("checksum").alias("sum"))
+    rows = files.scan_parquet_bars(spark, root).groupBy("symbol", "timeframe").agg(F.count(F.lit(1)).alias("n"))
+    j = d.join(s.select("symbol_id", "symbol", "asset_type", "vendor"), "symbol_id").join(found, "file_path", "left").join(rows, ["symbol", "timeframe"], "left")
+    ok = (F.col("size") == F.col("file_size_bytes")) & (F.col("sum") == F.col("checksum")) & (F.col("n") == F.col("row_count"))
+    return finalize(j.select("symbol", "asset_type", "vendor", "timeframe", "start_date", "end_date", "row_count",
+                             F.regexp_extract("file_path", "([^/]*/[^/]*)$", 1).alias("folder"), F.coalesce(ok, F.lit(False)).alias("complete")))
 
 
-register("ingest_frame", INGEST_SQL)(lambda spark, sf: finalize(ingest_frame(spark, daily_bars(spark, sf))))
+register("ingest_frame", INGEST_SQL)(lambda spark, sf: ingest_query(spark, daily_bars(spark, sf)))
 
 
 @register("ingest_csv", INGEST_SQL)
 def q_ingest_csv(spark, sf):
     b = files.scan_csv_bars(spark, _daily_csv(spark, sf)).withColumnRenamed("timestamp", "ts")
-    return finalize(ingest_frame(spark, b.filter(F.col("ts").isNotNull())))
+    return ingest_query(spark, b.filter(F.col("ts").isNotNull()))
 
 
 def _ingest_dir(spark, sf):
@@ -686,10 +683,8 @@ def q_spans(spark, sf):
                                    DEFAULT.days_after))
 
 
-@register("ingest_upload", INGEST_SQL.replace("SELECT symbol, '1d' AS timeframe", "SELECT upper(symbol) AS symbol, "
-                                                "'streamlit_upload' AS vendor, '1d' AS timeframe")
-          .replace("replace(replace(symbol,", "replace(replace(upper(symbol),"))
+@register("ingest_upload", INGEST_SQL.replace("SELECT symbol,", "SELECT upper(symbol) AS symbol,").replace("'csv_import'", "'streamlit_upload'")
+          .replace("'symbol=' || symbol", "'symbol=' || upper(symbol)"))
 def q_ingest_upload(spark, sf):
     """Upload path: symbol upper-cased, vendor recorded as the upload source."""
-    b = daily_bars(spark, sf).withColumn("symbol", F.upper("symbol"))
-    return finalize(ingest_frame(spark, b).withColumn("vendor", F.lit("streamlit_upload")))
+    return ingest_query(spark, daily_bars(spark, sf).withColumn("symbol", F.upper("symbol")), vendor="streamlit_upload")

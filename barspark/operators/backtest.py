@@ -37,7 +37,7 @@ class BacktestResult:
 
 
 def resolve_bars(bars: DataFrame, events: DataFrame | None = None, p: P.RunParams = P.RunParams(),
-                 keys: Sequence[str] = ("symbol",), bar_seconds: int = 86400,
+                 keys: Sequence[str] = ("symbol",), bar_seconds: int = P.SMALLEST_BAR_SECONDS,
                  seg_rows: int = ordered.SEG_ROWS) -> DataFrame:
     keys = list(keys)
     ind = I.compute_indicators(bars, keys, bb_window=p.bb_window, trend_method=None,
@@ -57,7 +57,7 @@ def resolve_indicators(ind: DataFrame, events: DataFrame | None = None, p: P.Run
 
 
 def run_backtest(bars: DataFrame, events: DataFrame | None = None, p: P.RunParams = P.RunParams(),
-                 keys: Sequence[str] = ("symbol",), bar_seconds: int = 86400,
+                 keys: Sequence[str] = ("symbol",), bar_seconds: int = P.SMALLEST_BAR_SECONDS,
                  seg_rows: int = ordered.SEG_ROWS, persist: bool = True) -> BacktestResult:
     keys = list(keys)
     res = resolve_bars(bars, events, p, keys, bar_seconds, seg_rows)
@@ -84,7 +84,7 @@ def equity_view(eq: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
 
 
 def run_grid(bars: DataFrame | None, events: DataFrame | None, runs: list, keys: Sequence[str] = ("symbol",),
-             bar_seconds: int = 86400, seg_rows: int = ordered.SEG_ROWS,
+             bar_seconds: int = P.SMALLEST_BAR_SECONDS, seg_rows: int = ordered.SEG_ROWS,
              indicators: dict | None = None) -> BacktestResult:
     """Many parameter sets in one job, keyed by (run_id, *keys).
 

@@ -43,7 +43,7 @@ def _rolling_gated(x, keys, n, min_count=None):
     return F.when(ok, mean), F.when(ok, std)
 
 
-def indexed_bars(bars: DataFrame, keys: Sequence[str] = ("symbol",), bar_seconds: int = 86400) -> DataFrame:
+def indexed_bars(bars: DataFrame, keys: Sequence[str] = ("symbol",), bar_seconds: int = P.SMALLEST_BAR_SECONDS) -> DataFrame:
     """Bars with a per-key 0-based ``idx`` in time order.
 
     The bars (already the reduced table) are materialised first: the row
@@ -55,7 +55,7 @@ def indexed_bars(bars: DataFrame, keys: Sequence[str] = ("symbol",), bar_seconds
 
 
 def compute_raw(bars: DataFrame, keys: Sequence[str] = ("symbol",), bb_window: int = P.BB_BASE_WINDOW,
-                bar_seconds: int = 86400, seg_rows: int = ordered.SEG_ROWS) -> DataFrame:
+                bar_seconds: int = P.SMALLEST_BAR_SECONDS, seg_rows: int = ordered.SEG_ROWS) -> DataFrame:
     """All indicators before fills; output keeps ``_seg`` (home rows only)."""
     keys = list(keys)
     b = indexed_bars(bars, keys, bar_seconds)
@@ -130,7 +130,7 @@ def trend_flags(df: DataFrame, method=P.DEFAULT_TREND_METHOD) -> DataFrame:
 
 
 def compute_indicators(bars: DataFrame, keys: Sequence[str] = ("symbol",), bb_window: int = P.BB_BASE_WINDOW,
-                       trend_method: str | None = P.DEFAULT_TREND_METHOD, bar_seconds: int = 86400,
+                       trend_method: str | None = P.DEFAULT_TREND_METHOD, bar_seconds: int = P.SMALLEST_BAR_SECONDS,
                        fill: str = "both", seg_rows: int = ordered.SEG_ROWS, keep_seg: bool = False,
                        materialize: bool = True) -> DataFrame:
     """Indicators + trend flags. ``fill='both'`` reproduces the back-then-forward
@@ -179,7 +179,7 @@ def validate_indicators(ind: DataFrame, keys: Sequence[str] = ("symbol",)) -> Da
 
 
 def bollinger(bars: DataFrame, keys: Sequence[str] = ("symbol",), column: str = "vwap",
-              window: int = P.BB_BASE_WINDOW, bar_seconds: int = 86400,
+              window: int = P.BB_BASE_WINDOW, bar_seconds: int = P.SMALLEST_BAR_SECONDS,
               seg_rows: int = ordered.SEG_ROWS) -> DataFrame:
     """Bands on any column (the fallback form uses ``close``)."""
     keys = list(keys)
@@ -192,7 +192,7 @@ def bollinger(bars: DataFrame, keys: Sequence[str] = ("symbol",), column: str =
 
 
 def ewm_series(bars: DataFrame, keys: Sequence[str] = ("symbol",), column: str = "close", alpha: float = ALPHA,
-               out: str = "ewm", bar_seconds: int = 86400) -> DataFrame:
+               out: str = "ewm", bar_seconds: int = P.SMALLEST_BAR_SECONDS) -> DataFrame:
     """The shared exponentially weighted mean as an operator of its own."""
     keys = list(keys)
     h = with_ewm(indexed_bars(bars, keys, bar_seconds), keys, {out: column}, alpha)

@@ -79,6 +79,10 @@ VERSION = "2.0.0"
 # ---------------------------------------------------------------------------
 
 
+#: Bars are at least this far apart; the safe default where no timeframe is given.
+SMALLEST_BAR_SECONDS = min(TIMEFRAME_SECONDS.values())
+
+
 def timeframe_seconds(timeframe: str) -> int:
     """Bucket width of a strategy timeframe; unknown names fall back to daily."""
     return TIMEFRAME_SECONDS.get(timeframe, TIMEFRAME_SECONDS["Daily"])

@@ -26,10 +26,11 @@ DEFAULT_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.timestampType": "TIMESTAMP_NTZ",
-    # Window groups are bounded by construction (segment of 65,536 rows plus
-    # halo), so keep a whole group in the in-memory buffer instead of the
-    # disk-backed one Spark switches to after 4,096 rows.
-    "spark.sql.windowExec.buffer.in.memory.threshold": str(1 << 17),
+    # Window groups are bounded (segment of 65,536 rows plus halo); beyond this
+    # many rows Spark's spillable buffer takes over.
+    "spark.sql.windowExec.buffer.in.memory.threshold": str(1 << 14),
+    # lineage cuts are deleted when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 
 
@@ -50,7 +51,7 @@ RUNTIME_CONF = {
     "spark.sql.ansi.enabled": "true",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16KB",
-    "spark.sql.windowExec.buffer.in.memory.threshold": str(1 << 17),
+    "spark.sql.windowExec.buffer.in.memory.threshold": str(1 << 14),
 }
 
 
@@ -90,7 +91,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(d)
         return d
-    if not sc.master.startswith("local"):
+    if sc.master != "local" and not sc.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage")
     d = tempfile.mkdtemp(prefix="barspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(d)

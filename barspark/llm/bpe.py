@@ -180,8 +180,6 @@ class Codec:
 
     def learn(self, pieces: set[str]) -> None:
         """Put the packed ids of ``pieces`` into the memo."""
-        if len(self.memo) + len(pieces) > MEMO:
-            self.old, self.memo = self.memo, {}
         short: list[tuple[str, bytes]] = []
         for p in pieces:
             ids = self.old.get(p)
@@ -200,6 +198,8 @@ class Codec:
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Token ids of each text as little-endian unsigned 32-bit integers."""
+        if len(self.memo) > MEMO:
+            self.old, self.memo = self.memo, {}
         cut = [self.find(t) for t in texts]
         new: set[str] = set()
         for pieces in cut:
@@ -266,8 +266,8 @@ def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str
         for b in batches:
             n, ids_sha, bytes_sha, intact, lists = [], [], [], [], []
             for text, packed in _encoded(codec, b.column(1)):
-                ids = np.frombuffer(packed, "<u4").tolist()
-                back = codec.decode(ids)
+                ids = np.frombuffer(packed, "<u4")
+                back = codec.decode(ids.tolist())
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(packed).hexdigest())
                 bytes_sha.append(hashlib.sha256(back).hexdigest())
@@ -275,6 +275,10 @@ def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str
                 if tokens:
                     lists.append(ids)
             cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string()), pa.array(intact, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(lists, pa.list_(pa.int64()))] * tokens, names=names)
+            if tokens:
+                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                flat = np.concatenate([np.empty(0, np.uint32), *lists]).astype(np.int64)
+                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

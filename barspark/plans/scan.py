@@ -5,22 +5,24 @@ The first valid value seeds the average; a missing value repeats the last
 average; after ``g`` missing rows the next valid ``x`` gives
 ``y = (d^(g+1) * y_prev + alpha * x) / (d^(g+1) + alpha)`` with ``d = 1 - alpha``.
 
-Every row is an affine map ``y -> A*y + b`` (seed: ``A = 1, b = x`` on ``y = 0``;
-missing: ``A = 1, b = 0``) and the average at a row is the composition of all
-maps up to it. It is taken exactly, in three levels:
-
-* inside a block of ``BLOCK_ROWS`` rows by two running window aggregates,
-  ``P = prod(A)`` and ``Q = sum(b / P)``: the average is ``P * (start + Q)``. A
-  block is short enough that ``P`` stays far from underflow;
-* ``FAN`` blocks make a segment: one row a block, folded in an array of at most
-  ``FAN`` elements;
-* one row a segment (65,536 rows) is folded along the key.
-
-The fold's result, the average before each block, is joined back on
-(key, block). The rows are exchanged once; only the summaries move again, and no
-task holds more of a key than a block of rows or one number a segment. Ratios of
-two averages (RSI, DI, ADX) stay right however long a flat stretch or gap lasts,
-because nothing old is cut off.
+Every valid row after the first of its block is an affine map ``y -> A*y + b``; the
+average at a row is the composition of all maps up to it. It is taken exactly, in
+three levels:
+
+* inside a block of ``BLOCK_ROWS`` rows by running window aggregates: with the
+  average ``y1`` at the block's first valid row, ``P = prod(A)`` and ``Q = sum(b / P)``,
+  the average is ``P * (y1 + Q)``. A block is short enough that ``P`` stays far from
+  underflow;
+* a block is summed up by its first valid position and value, its last valid
+  position and its map from ``y1`` to its end; ``FAN`` such summaries compose, in an
+  array of at most ``FAN`` elements, to the summary of a segment;
+* one summary a segment (65,536 rows) is folded along the key.
+
+The fold's result, the state before each block, is joined back on (key, block).
+The rows are exchanged once; only the summaries move again, and no task holds more
+of a key than a block of rows or one summary a segment. Ratios of two averages (RSI,
+DI, ADX) stay right however long a flat stretch or gap lasts, because nothing old
+is cut off.
 """
 
 from __future__ import annotations
@@ -39,67 +41,70 @@ LEAST = 1e-30
 UNB = Window.unboundedPreceding
 
 
-def _starts(items, first, a: str, b: str):
-    """Value before each element when the maps ``y -> a*y + b`` of ``items`` act in turn on ``first``."""
-    zero = F.struct(F.array().cast("array<double>").alias("ys"), first.alias("y"))
-    step = lambda acc, x: F.struct(F.concat(acc["ys"], F.array(acc["y"])).alias("ys"), (x[a] * acc["y"] + x[b]).alias("y"))
-    return F.aggregate(items, zero, step)["ys"]
-
-
-def _composed(items, a: str, b: str):
-    """One map (a, b) that equals the maps of ``items`` in turn."""
-    unit = F.struct(F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
-    return F.aggregate(items, unit, lambda acc, x: F.struct((acc["a"] * x[a]).alias("a"), (x[a] * acc["b"] + x[b]).alias("b")))
-
-
 def with_ewm(df: DataFrame, keys: Sequence[str], cols: dict[str, str], alpha: float,
              idx: str = "idx", block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
     """Add ``out = ewm(src)`` for each ``out: src`` in ``cols``, evaluated together.
 
-    ``idx`` is the 0-based position of a row inside its key (``keys``).
+    ``idx`` is the 0-based position of a row inside its key (``keys``). The
+    projections are SQL text: one call each instead of thousands of Column objects.
     """
-    keys, outs = list(keys), list(cols)
-    ln_d = math.log(1.0 - alpha)
-    by_block = [*keys, BLK]
-    rows = df.withColumn(BLK, F.floor(F.col(idx) / F.lit(int(block_rows)))).repartition(*by_block)
-    valid = {o: F.when(F.col(src).isNotNull(), F.col(idx)) for o, src in cols.items()}
-
-    # last valid row before each row: inside the block, else of an earlier block
-    w = Window.partitionBy(*by_block).orderBy(idx)
-    local = rows.select("*", *[F.max(valid[o]).over(w.rowsBetween(UNB, -1)).alias(f"_pv_{o}") for o in outs])
-    last = rows.groupBy(*by_block).agg(*[F.max(valid[o]).alias(f"_m_{o}") for o in outs])
-    earlier = Window.partitionBy(*keys).orderBy(BLK).rowsBetween(UNB, -1)
-    last = last.select(*by_block, *[F.max(f"_m_{o}").over(earlier).alias(f"_q_{o}") for o in outs])
-    cur = local.join(last, by_block)
+    outs, al = list(cols), f"{float(alpha)!r}D"
+    k = ", ".join(f"`{c}`" for c in keys)
+    names = [f"`{c}`" for c in df.columns]
+    over = f"OVER (PARTITION BY {k}, {BLK} ORDER BY `{idx}` ROWS BETWEEN UNBOUNDED PRECEDING AND"
+
+    def past(steps: str) -> str:
+        return f"greatest(exp(CAST({steps} AS DOUBLE) * {math.log(1.0 - alpha)!r}D), {LEAST!r}D)"
 
+    # rows: position of the last valid row of the block before each, then P and Q
+    cur = df.selectExpr("*", f"floor(`{idx}` / {int(block_rows)}) AS {BLK}").repartition(*keys, BLK)
+    cur = cur.selectExpr("*", *[f"max(CASE WHEN `{src}` IS NOT NULL THEN `{idx}` END) {over} 1 PRECEDING) AS `_pv_{o}`" for o, src in cols.items()])
     maps = []
     for o, src in cols.items():
-        x, pv = F.col(src).cast("double"), F.coalesce(f"_pv_{o}", f"_q_{o}")
-        past = F.greatest(F.exp((F.col(idx) - pv).cast("double") * F.lit(ln_d)), F.lit(LEAST))
-        maps += [F.when(x.isNull() | pv.isNull(), F.lit(1.0)).otherwise(past / (past + F.lit(alpha))).alias(f"_A_{o}"),
-                 F.when(x.isNull(), F.lit(0.0)).when(pv.isNull(), x).otherwise(F.lit(alpha) * x / (past + F.lit(alpha))).alias(f"_b_{o}"),
-                 (x.isNotNull() | pv.isNotNull()).alias(f"_has_{o}")]
-    upto = w.rowsBetween(UNB, 0)
-    cur = cur.select(*df.columns, BLK, *maps)
-    cur = cur.select("*", *[F.product(f"_A_{o}").over(upto).alias(f"_P_{o}") for o in outs])
-    cur = cur.select("*", *[F.sum(F.col(f"_b_{o}") / F.col(f"_P_{o}")).over(upto).alias(f"_Q_{o}") for o in outs])
-
-    # maps of whole blocks, of whole segments, and the averages before them
-    p, q = (lambda o: F.min(f"_P_{o}")), (lambda o: F.max_by(f"_Q_{o}", idx))
-    block = cur.groupBy(*by_block).agg(*[p(o).alias(f"a_{o}") for o in outs], *[(p(o) * q(o)).alias(f"b_{o}") for o in outs])
-    parts = [f"{t}_{o}" for o in outs for t in "ab"]
-    segs = block.withColumn(SG, F.floor(F.col(BLK) / F.lit(int(fan)))).groupBy(*keys, SG).agg(
-        F.array_sort(F.collect_list(F.struct(BLK, *parts))).alias("_blocks"))
-    whole = []
-    for o in outs:
-        done = _composed(F.col("_blocks"), f"a_{o}", f"b_{o}")
-        whole += [done["a"].alias(f"a_{o}"), done["b"].alias(f"b_{o}")]
-    line = segs.select(*keys, SG, *whole).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(SG, *parts))).alias("_segs"))
-    at_seg = F.explode(F.arrays_zip(F.col("_segs")[SG].alias(SG), *[_starts(F.col("_segs"), F.lit(0.0), f"a_{o}", f"b_{o}").alias(f"y_{o}") for o in outs]))
-    line = line.select(*keys, at_seg.alias("_s")).select(*keys, f"_s.{SG}", *[f"_s.y_{o}" for o in outs])
-    at_block = F.explode(F.arrays_zip(F.col("_blocks")[BLK].alias(BLK), *[_starts(F.col("_blocks"), F.col(f"y_{o}"), f"a_{o}", f"b_{o}").alias(f"y_{o}") for o in outs]))
-    starts = segs.join(line, [*keys, SG]).select(*keys, at_block.alias("_s")).select(*keys, f"_s.{BLK}", *[f"_s.y_{o}" for o in outs])
-
-    out = cur.join(starts, by_block)
-    return out.select(*df.columns, *[
-        F.when(F.col(f"_has_{o}"), F.col(f"_P_{o}") * (F.col(f"y_{o}") + F.col(f"_Q_{o}"))).alias(o) for o in outs])
+        still, p = f"`{src}` IS NULL OR `_pv_{o}` IS NULL", past(f"`{idx}` - `_pv_{o}`")
+        maps += [f"CASE WHEN {still} THEN 1.0D ELSE {p} / ({p} + {al}) END AS `_A_{o}`", f"CASE WHEN {still} THEN 0.0D ELSE {al} * `{src}` / ({p} + {al}) END AS `_b_{o}`"]
+    cur = cur.selectExpr("*", *maps)
+    cur = cur.selectExpr("*", *[f"exp(sum(ln(`_A_{o}`)) {over} CURRENT ROW)) AS `_P_{o}`" for o in outs])
+    kept = [*names, BLK, *[f"`_pv_{o}`" for o in outs], *[f"`_P_{o}`" for o in outs]]
+    cur = cur.selectExpr(*kept, *[f"sum(`_b_{o}` / `_P_{o}`) {over} CURRENT ROW) AS `_Q_{o}`" for o in outs])
+
+    # summaries (f, fx: first valid position and value; l: last valid position; a, b: map from there to the end)
+    def valid(src: str) -> str:
+        return f"CASE WHEN `{src}` IS NOT NULL THEN `{idx}` END"
+
+    kind = "STRUCT<f: BIGINT, fx: DOUBLE, l: BIGINT, a: DOUBLE, b: DOUBLE>"
+    parts = [f"CAST(struct(min({valid(src)}), min_by(`{src}`, {valid(src)}), max({valid(src)}), min(`_P_{o}`), min(`_P_{o}`) * max_by(`_Q_{o}`, `{idx}`)) AS {kind}) AS `{o}`"
+             for o, src in cols.items()]
+    blocks = cur.groupBy(*keys, BLK).agg(*map(F.expr, parts)).selectExpr("*", f"floor({BLK} / {int(fan)}) AS {SG}")
+    fields = ", ".join(f"`{o}`" for o in outs)
+
+    def composed(o: str) -> str:
+        x, p = f"x.`{o}`", past(f"x.`{o}`.f - acc.l")
+        both = (f"CAST(struct(acc.f, acc.fx, {x}.l, {x}.a * {p} / ({p} + {al}) * acc.a, "
+                f"{x}.a * ({p} / ({p} + {al}) * acc.b + {al} * {x}.fx / ({p} + {al})) + {x}.b) AS {kind})")
+        return (f"aggregate(_blocks, CAST(struct(NULL, NULL, NULL, 1.0D, 0.0D) AS {kind}), "
+                f"(acc, x) -> CASE WHEN {x}.f IS NULL THEN acc WHEN acc.f IS NULL THEN {x} ELSE {both} END) AS `{o}`")
+
+    def first(y: str, last: str, x: str) -> str:
+        """Average at a summary's first valid row, from the state (y, last) before it."""
+        p = past(f"{x}.f - {last}")
+        return f"CASE WHEN {last} IS NULL THEN {x}.fx ELSE ({p} * {y} + {al} * {x}.fx) / ({p} + {al}) END"
+
+    def states(items: str, o: str, y: str, last: str) -> str:
+        """State (y, l) before each item."""
+        s, end = "STRUCT<y: DOUBLE, l: BIGINT>", f"x.`{o}`.a * {first('acc.s.y', 'acc.s.l', f'x.`{o}`')} + x.`{o}`.b"
+        kinds = f"STRUCT<seen: ARRAY<{s}>, s: {s}>"
+        return (f"aggregate({items}, CAST(struct(array(), struct({y}, {last})) AS {kinds}), (acc, x) -> CAST(struct(concat(acc.seen, array(acc.s)), "
+                f"CASE WHEN x.`{o}`.f IS NULL THEN acc.s ELSE CAST(struct({end}, x.`{o}`.l) AS {s}) END) AS {kinds})).seen")
+
+    segs = blocks.groupBy(*keys, SG).agg(F.expr(f"array_sort(collect_list(struct({BLK}, {fields}))) AS _blocks"))
+    line = segs.selectExpr(*[f"`{c}`" for c in keys], SG, *map(composed, outs)).groupBy(*keys).agg(F.expr(f"array_sort(collect_list(struct({SG}, {fields}))) AS _segs"))
+    ks, zipped = [f"`{c}`" for c in keys], ", ".join(f"`_s_{o}`" for o in outs)
+    line = line.selectExpr("*", *[f"{states('_segs', o, 'NULL', 'NULL')} AS `_s_{o}`" for o in outs])
+    line = line.selectExpr(*ks, f"explode(arrays_zip(_segs, {zipped})) AS _z").selectExpr(*ks, f"_z._segs.{SG} AS {SG}", *[f"_z.`_s_{o}` AS `_i_{o}`" for o in outs])
+    starts = segs.join(line, [*keys, SG]).selectExpr("*", *[states("_blocks", o, f"`_i_{o}`.y", f"`_i_{o}`.l") + f" AS `_s_{o}`" for o in outs])
+    starts = starts.selectExpr(*ks, f"explode(arrays_zip(_blocks, {zipped})) AS _z").selectExpr(*ks, f"_z._blocks.{BLK} AS {BLK}", *[e for o in outs for e in (
+        f"_z.`_s_{o}`.y AS `_y0_{o}`", f"{first(f'_z.`_s_{o}`.y', f'_z.`_s_{o}`.l', f'_z._blocks.`{o}`')} AS `_y1_{o}`")])
+
+    return cur.join(starts, [*keys, BLK]).selectExpr(*names, *[
+        f"CASE WHEN `_pv_{o}` IS NULL AND `{src}` IS NULL THEN `_y0_{o}` ELSE `_P_{o}` * (`_y1_{o}` + `_Q_{o}`) END AS `{o}`" for o, src in cols.items()])

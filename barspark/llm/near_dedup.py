@@ -8,16 +8,28 @@ are linked when ``|A n B| / |A u B| >= 0.75``; components are over all links.
 * ``sketch``: one pass over whole texts gives each document its set size, a
   128-bit digest of the set and the ``K`` smallest shingle hashes.
 * Equal sets collapse to one class (aggregation, so copies never meet in a task).
-* Inverted lists: two sets with similarity >= 0.75 share at least ``MIN_SHARED``
-  retained values (for sets up to ``0.75 K`` this is exact, beyond it fails with
-  probability below 1e-7 a pair). So they also share one of each side's
-  ``|S| - MIN_SHARED + 1`` retained values that are rarest in the corpus; only
-  those enter the lists. Passages common to many documents are frequent values
-  and drop out.
-* A list does not emit all its pairs: every member meets the list's leader;
-  after linking, members still outside the leader's component meet a new leader,
-  and after ``STAR_ROUNDS`` the members left outside meet all members of other
-  components. Pairs of one component never need a check, so no component is lost.
+* Inverted lists: two sets with similarity >= 0.75 share at least ``m`` of their
+  ``k`` retained values (exact for sets up to ``0.75 k``; beyond it the bound fails
+  with probability below 1e-7 a pair). First, with ``K`` = 48, a document stays a
+  candidate only when ``m`` = 20 of its values occur in other documents; nearly
+  all documents go here. The candidates are sketched again from their full sets,
+  with ``K2`` = 256 and ``m`` = 144, and enter the lists of only those values that
+  are rarest among candidates, ``k - m + 1`` less the ones nobody shares: two
+  similar sets meet in at least one of them. A passage that many otherwise
+  different documents share is frequent and, unless it makes up more than half
+  of a document, never becomes a list.
+* A list does not emit all its pairs. Its most central member (the one whose
+  values are shared most) is its hub, and every document is checked exactly
+  against the hub ``L`` that it meets in most of its lists. Documents similar to
+  their hub are one component. For a document ``x`` that is not, with ``c = |x n L|``,
+  a similar ``y`` either shares with ``x`` a shingle outside ``L``, or has
+  ``3 |y| <= 7 c - 3 |x|``: otherwise ``|x n y| <= c`` and the similarity stays below
+  0.75. So within a hub's documents the shingles outside the hub are matched, all of
+  them, and the few pairs small enough are added. Lists whose members have different
+  hubs (a passage that makes up most of many short documents) go through the same
+  a second time, now with the most central hub of all their lists; what shares
+  neither hub meets in the lists. No pair that could be a link is left out, and a
+  group of near copies costs about its size, not its square.
 * The union sketch of a pair estimates its similarity; far pairs go, and the
   full sets of the rest are intersected.
 
@@ -38,17 +50,18 @@ from pyspark.sql import types as T
 
 from .common import bloom_split, drop, shingle_hashes, signed, stored, word_hashes, words
 
-K = 48
-#: Retained values that two similar sets share at least, if both are larger than 0.75 K.
-MIN_SHARED = 20
-STAR_ROUNDS = 3
+#: Retained values, and how many of them two similar sets share at least when both
+#: are larger than 0.75 times that; for all documents and for candidates.
+K, MIN_SHARED = 48, 20
+K2, MIN_SHARED2 = 256, 144
 NUM, DEN = 75, 100
-#: Union-sketch estimates below this are dropped (0.75 less over five standard errors).
-EST_FLOOR = 0.40
+#: Union-sketch estimates below this are dropped (0.75 less five standard errors).
+EST_FLOOR = 0.61
 
 
 def shingle_set(text: str | None) -> np.ndarray:
-    return np.unique(shingle_hashes(word_hashes(words(text))))
+    """Sorted hashes below 2^63, so that signed and unsigned order agree."""
+    return np.unique(shingle_hashes(word_hashes(words(text))) >> np.uint64(1))
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -81,23 +94,35 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: i
         run, f"doc_id {kind}, n_shingles bigint, cls binary, sk array<bigint>")
 
 
-def _min_shared() -> "F.Column":
+def _least_shared(k: int, shared: int) -> "F.Column":
     n = F.col("n")
-    return F.when(n <= int(K * NUM / DEN), F.ceil(n * NUM / DEN).cast("int")).otherwise(MIN_SHARED)
+    return F.when(n <= int(k * NUM / DEN), F.ceil(n * NUM / DEN).cast("int")).otherwise(shared)
 
 
-def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(value, cls, n) of every retained value that can prove a link (see module text)."""
+def _shared_values(classes: DataFrame) -> DataFrame:
+    """(value, cls, n, df) of the retained values that occur in several classes."""
     values = classes.select("cls", "n", F.explode("sk").alias("value"))
     counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = values.join(counts, "value")
+    return values.join(counts, "value")
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """(cls) of classes that share enough retained values with others to be linked at all."""
+    found = _shared_values(classes).groupBy("cls", "n").agg(F.count(F.lit(1)).alias("shared"))
+    return found.where(F.col("shared") >= _least_shared(K, MIN_SHARED)).select("cls")
+
+
+def inverted_lists(classes: DataFrame) -> DataFrame:
+    """(value, cls, n, weight) of every retained value that can prove a link (see module
+    text); ``weight`` sums over a class's values how many classes share each."""
     own = Window.partitionBy("cls")
-    return (shared
+    least = _least_shared(K2, MIN_SHARED2)
+    return (_shared_values(classes)
             .withColumn("rarity", F.row_number().over(own.orderBy("df", "value")))
-            .withColumn("in_lists", F.count(F.lit(1)).over(own))
-            .where(F.col("in_lists") >= _min_shared())
-            .where(F.col("rarity") <= F.col("in_lists") - _min_shared() + 1)
-            .select("value", "cls", "n"))
+            .withColumn("shared", F.count(F.lit(1)).over(own))
+            .withColumn("weight", F.sum("df").over(own))
+            .where((F.col("shared") >= least) & (F.col("rarity") <= F.col("shared") - least + 1))
+            .select("value", "cls", "n", "weight"))
 
 
 def _sized(a: str, b: str) -> "F.Column":
@@ -107,21 +132,83 @@ def _sized(a: str, b: str) -> "F.Column":
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Keep pairs whose union sketch (K smallest of both) lies mostly in both."""
+    """Keep pairs whose union sketch (K2 smallest of both) lies mostly in both."""
     s = classes.select("cls", "sk")
     a, b = s.toDF("a", "sa"), s.toDF("b", "sb")
-    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K)
+    union = F.slice(F.array_sort(F.array_union("sa", "sb")), 1, K2)
     both = F.array_intersect(F.array_intersect("sa", "sb"), F.col("u"))
     return (pairs.join(a, "a").join(b, "b").withColumn("u", union)
             .where(F.size(both) >= F.lit(EST_FLOOR) * F.size("u")).select("a", "b"))
 
 
+def _similar(common, a, b) -> "F.Column":
+    return common * DEN >= (a + b - common) * NUM
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Exact Jaccard on full sets."""
     a, b = sets.select(F.col("cls").alias("a"), F.col("full").alias("fa")), sets.select(F.col("cls").alias("b"), F.col("full").alias("fb"))
     common = F.size(F.array_intersect("fa", "fb"))
-    return (pairs.join(a, "a").join(b, "b")
-            .where(common * DEN >= (F.size("fa") + F.size("fb") - common) * NUM).select("a", "b"))
+    return pairs.join(a, "a").join(b, "b").where(_similar(common, F.size("fa"), F.size("fb"))).select("a", "b")
+
+
+def hubs(lists: DataFrame, widest: bool = False) -> DataFrame:
+    """(cls, n, hub): of the hubs of its lists, the one that a class meets most often, or
+    (``widest``) the most central one; ties go to the largest digest."""
+    heads = lists.groupBy("value").agg(F.max(F.struct("weight", "cls")).alias("h")).select("value", F.col("h.weight").alias("hw"), F.col("h.cls").alias("hub"))
+    met = lists.join(heads, "value").groupBy("cls", "n", "hub", "hw").agg(F.count(F.lit(1)).alias("times"))
+    best = F.struct("hw", "hub") if widest else F.struct("times", "hub")
+    return met.groupBy("cls", "n").agg(F.max(best).alias("h")).select("cls", "n", F.col("h.hub").alias("hub"))
+
+
+def compared_with_hubs(chosen: DataFrame, sets: DataFrame) -> DataFrame:
+    """(cls, n, hub, common, linked, rest): ``rest`` holds the shingles that the hub lacks."""
+    x = sets.select("cls", F.col("full").alias("fx"))
+    h = sets.select(F.col("cls").alias("hub"), F.col("full").alias("fh"))
+    both = chosen.join(x, "cls").join(h, "hub").select("cls", "n", "hub", F.size("fh").alias("hn"), F.array_except("fx", "fh").alias("rest"))
+    common = F.col("n") - F.size("rest")
+    return both.withColumn("common", common).withColumn("linked", _similar(common, F.col("n"), F.col("hn"))).drop("hn")
+
+
+def same_hub_pairs(rows: DataFrame) -> DataFrame:
+    """(x, y) of all pairs of one hub but of different components (``root``) that may still be links."""
+    slim = rows.select("cls", "n", "hub", "common", "linked", "root")
+    x = slim.where(~F.col("linked")).select(F.col("cls").alias("x"), F.col("n").alias("xn"), "hub", F.col("common").alias("xc"), F.col("root").alias("xr"))
+    y = slim.select(F.col("cls").alias("y"), F.col("n").alias("yn"), "hub", F.col("common").alias("yc"), F.col("linked").alias("yl"), F.col("root").alias("yr"))
+    apart = (F.col("xr") != F.col("yr")) & _sized("xn", "yn")
+    # a shared shingle that the hub lacks
+    rest = rows.select("cls", "hub", F.explode("rest").alias("value"))
+    shared = rest.join(rest.groupBy("hub", "value").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("hub", "value"), ["hub", "value"]).select("cls", "value")
+    by_rest = x.join(shared.withColumnRenamed("cls", "x"), "x").join(
+        y.join(shared.withColumnRenamed("cls", "y"), "y"), ["hub", "value"]).where(apart).select("x", "y")
+    # small enough to lie inside the hub's part
+    small = 3 * F.col("yn") <= 7 * F.col("xc") - 3 * F.col("xn")
+    back = F.col("yl") | (3 * F.col("xn") <= 7 * F.col("yc") - 3 * F.col("yn"))
+    wide = x.where(7 * F.col("xc") * DEN >= 3 * F.col("xn") * (DEN + NUM))
+    return by_rest.union(wide.join(y, "hub").where(apart & small & back).select("x", "y"))
+
+
+def mixed_lists(lists: DataFrame, rows: DataFrame) -> DataFrame:
+    """The lists whose members have different hubs, with ``hub1``, the hub of each member."""
+    listed = lists.join(rows.select("cls", F.col("hub").alias("hub1")), "cls")
+    return listed.join(listed.groupBy("value").agg(F.min("hub1").alias("h0"), F.max("hub1").alias("h1")).where("h0 <> h1").select("value"), "value")
+
+
+def list_pairs(mixed: DataFrame, second: DataFrame) -> DataFrame:
+    """(x, y) that share a list but neither their first nor their second hub."""
+    listed = mixed.select("value", "cls", "hub1").join(second.select("cls", "n", "hub", "root"), "cls")
+    p = listed.select("value", F.col("cls").alias("x"), F.col("n").alias("xn"), F.col("hub1").alias("x1"), F.col("hub").alias("x2"), F.col("root").alias("xr"))
+    q = listed.select("value", F.col("cls").alias("y"), F.col("n").alias("yn"), F.col("hub1").alias("y1"), F.col("hub").alias("y2"), F.col("root").alias("yr"))
+    apart = (F.col("x1") != F.col("y1")) & (F.col("x2") != F.col("y2")) & (F.col("xr") != F.col("yr"))
+    return p.join(q, "value").where((F.col("x") < F.col("y")) & apart & _sized("xn", "yn")).select("x", "y")
+
+
+def _rooted(rows: DataFrame, comp: DataFrame) -> DataFrame:
+    return stored(rows.join(comp.toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+
+
+def _close(rows: DataFrame) -> DataFrame:
+    return rows.where(F.col("linked") & (F.col("cls") != F.col("hub"))).select(F.col("cls").alias("a"), F.col("hub").alias("b"))
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -165,53 +252,30 @@ def components(edges: DataFrame) -> DataFrame:
         seen = state
 
 
-def links(docs: DataFrame, sketches: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
-    """(cls, root) of classes linked with another class; None when there is no candidate."""
+def links(docs: DataFrame, sketches: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(cls, root) of classes linked with a smaller class."""
     classes = stored(sketches.where(F.col("cls").isNotNull()).groupBy("cls").agg(
         F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("sk").alias("sk")))
-    lists = stored(inverted_lists(classes))
-    shared = classes.join(lists.select("cls").distinct(), "cls", "left_semi")
-    sets = stored(full_sets(docs, shared.select("cls", "first_id"), id_col, text_col))
-    found: DataFrame | None = None
-    comp: DataFrame | None = None
-    try:
-        for turn in range(STAR_ROUNDS + 1):
-            named = lists if comp is None else stored(
-                lists.join(comp.toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls")))
-            if comp is None:
-                named = named.withColumn("root", F.col("cls"))
-            first = F.min_by(F.struct("cls", "n", "root"), "cls").alias("lead")
-            heads = named.groupBy("value").agg(first, F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1")
-            if turn == 0:
-                met = named.join(heads.select("value", "lead"), "value").where(F.col("cls") != F.col("lead.cls"))
-            else:
-                outside = named.join(heads.select("value", "lead"), "value").where(F.col("root") != F.col("lead.root"))
-                if turn < STAR_ROUNDS:
-                    new = outside.groupBy("value").agg(F.min_by(F.struct("cls", "n", "root"), "cls").alias("lead"))
-                else:
-                    new = outside.select("value", F.struct("cls", "n", "root").alias("lead"))
-                met = named.join(new, "value").where(F.col("root") != F.col("lead.root"))
-            pairs = met.withColumn("ln", F.col("lead.n")).where(_sized("n", "ln")).select(
-                F.least("cls", "lead.cls").alias("a"), F.greatest("cls", "lead.cls").alias("b")).distinct()
-            new = stored(_verified(_estimated(pairs, shared), sets))
-            if comp is not None:
-                drop(named)
-            if new.isEmpty():
-                drop(new)
-                continue
-            edges = new if found is None else found.union(new)
-            fresh = components(edges)
-            if found is not None:
-                drop(found)
-            if comp is not None:
-                drop(comp)
-            comp = fresh
-            found = comp.toDF("a", "b")
-        return comp
-    finally:
-        drop(sets)
-        drop(lists)
-        drop(classes)
+    wanted = stored(classes.join(candidates(classes), "cls", "left_semi").select("cls", "first_id"))
+    drop(classes)
+    sets = stored(full_sets(docs, wanted, id_col, text_col))
+    shared = sets.select("cls", F.size("full").alias("n"), F.slice("full", 1, K2).alias("sk"))
+    lists = stored(inverted_lists(shared))
+    first = stored(compared_with_hubs(hubs(lists), sets))
+    mixed = stored(mixed_lists(lists, first))
+    again = stored(compared_with_hubs(hubs(mixed, widest=True), sets))
+    comp = components(_close(first).union(_close(again)))
+    one, two = _rooted(first, comp), _rooted(again, comp)
+    pairs = same_hub_pairs(one).union(same_hub_pairs(two)).union(list_pairs(mixed, two))
+    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    late = stored(_verified(_estimated(pairs, shared), sets))
+    if not late.isEmpty():
+        comp, early = components(comp.toDF("a", "b").union(late)), comp
+        drop(early)
+    drop(late)
+    for used in (first, again, one, two, mixed, sets, lists, wanted):
+        drop(used)
+    return comp
 
 
 def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -220,8 +284,6 @@ def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     comp = links(docs, rows, id_col, text_col)
     rows = rows.select("doc_id", "n_shingles", "cls")
     classes = rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("component_id"))
-    if comp is None:
-        return rows, classes.select("cls", F.col("cls").alias("root"), "component_id")
     classes = classes.join(comp.toDF("cls", "root"), "cls", "left").withColumn("root", F.coalesce("root", "cls"))
     least = classes.groupBy("root").agg(F.min("component_id").alias("component_id"))
     return rows, classes.select("cls", "root").join(least, "root").select("cls", "root", "component_id")

@@ -192,8 +192,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = _inputs(docs, id_col, text_col, chars_col)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(
         (F.avg(label_col) >= 0.5).cast("int").alias("label"))
-    known = rows.join(marks, "doc_id")
-    x, y = _collect(by_label(known, "label", LABELLED, ["doc_id", "text"], 2), F.col("label"))
+    # the labels are sampled, not the texts: a few thousand ids are broadcast and no text moves
+    known = rows.join(F.broadcast(by_label(marks, "label", LABELLED, ["doc_id"], 2)), "doc_id")
+    x, y = _collect(known, F.col("label"))
     total = max(1, rows.count())
     draw = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     pool, _ = _collect(rows.where(draw < min(1.0, SLACK * POOL / total)), F.lit(None))

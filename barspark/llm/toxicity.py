@@ -137,9 +137,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(
         (F.avg(label_col) >= 0.5).cast("int").alias("label"))
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(
-        F.char_length("text") <= SAMPLE_CHARS).join(marks, "doc_id")
-    rows = by_label(known.where("label = 1"), "label", TOXIC, ["doc_id", "text"]).unionByName(
-        by_label(known.where("label = 0"), "label", ORDINARY, ["doc_id", "text"])).select("label", "text").collect()
+        F.char_length("text") <= SAMPLE_CHARS)
+    # the labels are sampled, not the texts: a few thousand ids are broadcast and no text moves
+    picked = by_label(marks.where("label = 1"), "label", TOXIC, ["doc_id"]).unionByName(
+        by_label(marks.where("label = 0"), "label", ORDINARY, ["doc_id"]))
+    rows = known.join(F.broadcast(picked), "doc_id").select("label", "text").collect()
     return train([t for l, t in rows if l == 1], [t for l, t in rows if l == 0])
 
 

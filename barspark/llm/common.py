@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 import xxhash
@@ -98,6 +101,20 @@ def _drop_all() -> None:
             _delete(spark, path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the Python workers this package, as ``--py-files`` would; once a context."""
+    context = spark.sparkContext
+    if getattr(context, "_barspark_shipped", False):
+        return
+    root = Path(__file__).resolve().parent.parent
+    target = Path(tempfile.mkdtemp(prefix="barspark-code-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, str(p.relative_to(root.parent)))
+    context.addPyFile(str(target))
+    context._barspark_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE_WORDS, shingle_hashes, word_hashes, words
+from .common import SHINGLE_WORDS, shingle_hashes, ship, word_hashes, words
 
 RADIUS = 3
 BLOCKS = RADIUS + 1
@@ -206,6 +206,7 @@ def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: s
 
 def _passes(items: DataFrame, item_col: str, item_text: str) -> list:
     """Broadcast lists of (id, text), each of about ``ITEMS_PER_PASS`` items."""
+    ship(items.sparkSession)
     queries = items.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
     passes = max(1, -(-queries.count() // ITEMS_PER_PASS))
     share = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))

@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
 from .samples import by_label
 
 DIMS = 1 << 14
@@ -98,6 +99,7 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Model from a bounded sample of rows with a language."""
+    ship(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     n_langs = max(1, rows.where("lang is not null").select("lang").distinct().count())
     per = max(8, min(PER_LANGUAGE, SAMPLE // n_langs))
@@ -139,6 +141,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
     """All columns of ``docs`` and the three new ones (which replace columns so named)."""
+    ship(docs.sparkSession)
     new = names
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in new]

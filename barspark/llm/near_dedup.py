@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bloom_split, drop, shingle_hashes, signed, stored, word_hashes, words
+from .common import bloom_split, drop, shingle_hashes, ship, signed, stored, word_hashes, words
 
 #: Retained values, and how many of them two similar sets share at least when both
 #: are larger than 0.75 times that; for all documents and for candidates.
@@ -280,6 +280,7 @@ def links(docs: DataFrame, sketches: DataFrame, id_col: str = "doc_id", text_col
 
 def resolve(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n_shingles, cls; classes: cls, root, component_id)."""
+    ship(docs.sparkSession)
     rows = stored(sketch(docs, id_col, text_col))
     comp = links(docs, rows, id_col, text_col)
     rows = rows.select("doc_id", "n_shingles", "cls")

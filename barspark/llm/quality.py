@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, word_hashes
+from .common import shingle_hashes, ship, word_hashes
 from .samples import SLACK, by_label
 
 LABELLED = 1500
@@ -189,6 +189,7 @@ def _inputs(docs: DataFrame, id_col: str, text_col: str, chars_col: str | None)
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
         chars_col: str | None = "n_chars") -> Model:
+    ship(docs.sparkSession)
     rows = _inputs(docs, id_col, text_col, chars_col)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(
         (F.avg(label_col) >= 0.5).cast("int").alias("label"))
@@ -204,6 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def score(docs: DataFrame, model: Model, text_col: str = "text", chars_col: str | None = "n_chars",
           names: tuple[str, str] = ("quality_score", "good")) -> DataFrame:
     """All columns of ``docs`` and the two new ones (which replace columns so named)."""
+    ship(docs.sparkSession)
     new = names
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in new]

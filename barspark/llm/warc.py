@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom_split, scratch_path
+from .common import bloom_split, scratch_path, ship
 
 ARCHIVE_BYTES = 8 << 20
 REVISIT_BYTES = 100
@@ -188,6 +188,7 @@ def _dictionary(pages: DataFrame, rows: int, id_col: str, payload_col: str) -> b
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
     """Write ``pages`` as archives under ``path``."""
+    ship(pages.sparkSession)
     total, count = pages.agg(F.sum(F.octet_length(F.col(payload_col).cast("binary"))), F.count(F.lit(1))).first()
     files = max(1, -(-int(total or 0) // ARCHIVE_BYTES))
     dictionary = pages.sparkSession.sparkContext.broadcast(_dictionary(pages, count, id_col, payload_col))
@@ -215,6 +216,8 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
 
 def read(archives: DataFrame) -> DataFrame:
     """The records of a (path, content) table of archives, in ``RECORD`` rows."""
+    ship(archives.sparkSession)
+
     def run(batches):
         for b in batches:
             for content in b.column(0):

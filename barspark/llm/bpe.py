@@ -31,9 +31,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import ship
+
 LEAF = 24
 #: Distinct pieces (of up to ``MEMO_CHARS`` characters) a worker remembers, twice.
-MEMO, MEMO_CHARS = 250_000, 64
+MEMO, MEMO_CHARS = 100_000, 64
 #: Characters of the texts that are cut into pieces and encoded together.
 CHUNK_CHARS = 1 << 18
 
@@ -237,16 +239,17 @@ def _codec(vocabulary: bytes, pattern: str) -> Codec:
     return _CODECS[key]
 
 
-def _encoded(codec: Codec, texts: pa.Array):
-    """(text, packed ids) of each text, null as empty, encoded in chunks."""
-    group, size = [], 0
-    for t in texts:
+def _chunks(texts: pa.Array):
+    """(first row, texts) of runs of about ``CHUNK_CHARS`` characters, null as empty; one output batch each."""
+    group, size, first = [], 0, 0
+    for k, t in enumerate(texts):
         group.append(t.as_py() or "")
         size += len(group[-1])
         if size >= CHUNK_CHARS:
-            yield from zip(group, codec.encode_all(group), strict=True)
-            group, size = [], 0
-    yield from zip(group, codec.encode_all(group), strict=True)
+            yield first, group
+            group, size, first = [], 0, k + 1
+    if group:
+        yield first, group
 
 
 def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
@@ -255,30 +258,32 @@ def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str
 
     The rank file (under 1 MB) is read once and sent to the workers.
     """
+    ship(docs.sparkSession)
     with open(vocabulary_path, "rb") as f:
         vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "intact"] + ["token_ids"] * tokens
-    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, intact boolean" + ", token_ids array<bigint>" * tokens
+    schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string, intact boolean" + ", token_ids array<int>" * tokens
 
     def run(batches):
         codec = _codec(vocabulary.value, pattern)
         for b in batches:
-            n, ids_sha, bytes_sha, intact, lists = [], [], [], [], []
-            for text, packed in _encoded(codec, b.column(1)):
-                ids = np.frombuffer(packed, "<u4")
-                back = codec.decode(ids.tolist())
-                n.append(len(ids))
-                ids_sha.append(hashlib.sha256(packed).hexdigest())
-                bytes_sha.append(hashlib.sha256(back).hexdigest())
-                intact.append(back == text.encode("utf-8", "surrogatepass"))
+            for at, texts in _chunks(b.column(1)):
+                n, ids_sha, bytes_sha, intact, lists = [], [], [], [], []
+                for text, packed in zip(texts, codec.encode_all(texts), strict=True):
+                    ids = np.frombuffer(packed, "<u4")
+                    back = codec.decode(ids.tolist())
+                    n.append(len(ids))
+                    ids_sha.append(hashlib.sha256(packed).hexdigest())
+                    bytes_sha.append(hashlib.sha256(back).hexdigest())
+                    intact.append(back == text.encode("utf-8", "surrogatepass"))
+                    if tokens:
+                        lists.append(ids)
+                cols = [b.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string()), pa.array(intact, pa.bool_())]
                 if tokens:
-                    lists.append(ids)
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(bytes_sha, pa.string()), pa.array(intact, pa.bool_())]
-            if tokens:
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                flat = np.concatenate([np.empty(0, np.uint32), *lists]).astype(np.int64)
-                cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                    offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                    flat = np.concatenate([np.empty(0, np.uint32), *lists]).astype(np.int32)
+                    cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

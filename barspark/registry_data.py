@@ -342,11 +342,14 @@ INGEST_SQL = f"""SELECT symbol, 'equity' AS asset_type, 'csv_import' AS vendor,
 
 
 def ingest_query(spark, bars, **kw):
-    """Ingest, then read the committed catalog back; ``complete``: the registered folder
-    exists with the registered size and checksum and holds the registered rows."""
+    """Ingest two batches of different symbols into one root, then read the committed catalog
+    back; ``complete``: the registered folder exists with the registered size and checksum
+    and holds the registered rows."""
     from .sources import ingest
     root, catalog_path = files.scratch(spark, "ingest"), files.scratch(spark, "catalog")
-    ingest.ingest_frame(spark, bars, "1d", root, catalog_path, **kw)
+    first = F.pmod(F.xxhash64("symbol"), F.lit(2)) == 0
+    for batch in (bars.where(first), bars.where(first.isNull() | ~first)):
+        ingest.ingest_frame(spark, batch, "1d", root, catalog_path, **kw)
     ingest.ingest_frame(spark, bars, "1d", root, catalog_path, write=False, **kw)     # known files: no second row
     d, s = C.snapshot(spark, catalog_path, "datasets"), C.snapshot(spark, catalog_path, "symbols")
     found = ingest.stored_folders(spark, root).select(F.col("file_path"), F.col("file_size_bytes").alias("size"), F.col("checksum").alias("sum"))

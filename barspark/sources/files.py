@@ -93,15 +93,17 @@ def scan_blackout_dates(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.to_date(d).alias("event_date")).filter(F.col("event_date").isNotNull())
 
 
-def sink_parquet_bars(bars: DataFrame, path: str, timeframe_col: str = "timeframe") -> str:
+def sink_parquet_bars(bars: DataFrame, path: str, timeframe_col: str = "timeframe", keep_others: bool = False) -> str:
     """Partitioned by (symbol, timeframe), sorted by time inside files, zstd,
     dictionary encoding and statistics (so later range filters prune files
     and row groups). A range repartition on (symbol, timeframe, ts) gives each
     writer a contiguous time slice, so one huge symbol is written by many
-    tasks."""
+    tasks. The whole store is replaced, with ``keep_others`` only the
+    (symbol, timeframe) folders that ``bars`` has rows for."""
     (bars.repartitionByRange("symbol", timeframe_col, "ts")
          .sortWithinPartitions("symbol", timeframe_col, "ts")
          .write.mode("overwrite").partitionBy("symbol", timeframe_col)
+         .option("partitionOverwriteMode", "dynamic" if keep_others else "static")
          .option("compression", "zstd").parquet(path))
     return path
 

@@ -34,6 +34,7 @@ def ingest_frame(spark: SparkSession, bars: DataFrame, timeframe: str, root: str
                  vendor: str = "csv_import", write: bool = True, at: dt.datetime | None = None) -> None:
     """Store bars (symbol, ts, prices) under ``root`` and commit one dataset row a symbol.
 
+    Data sets of other symbols or timeframes under ``root`` stay as they are.
     Only ``ts`` (and the symbol) are required; other bar columns may be missing.
     ``write=False`` registers what is there already."""
     if "ts" not in bars.columns:
@@ -42,7 +43,7 @@ def ingest_frame(spark: SparkSession, bars: DataFrame, timeframe: str, root: str
     if write:
         kinds = {f.name: f.dataType for f in files.STORE_SCHEMA}
         cols = [F.col(c) if c in bars.columns else F.lit(None).cast(kinds[c]).alias(c) for c in files.BAR_FIELDS]
-        files.sink_parquet_bars(bars.select("symbol", F.lit(timeframe).alias("timeframe"), "ts", *cols), root)
+        files.sink_parquet_bars(bars.select("symbol", F.lit(timeframe).alias("timeframe"), "ts", *cols), root, keep_others=True)
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     # this column, unlike a path, is URL-encoded
     folder = _local(F.url_decode(F.regexp_replace(F.regexp_replace("_metadata.file_path", "/[^/]*$", ""), "[+]", "%2B")))

@@ -6,7 +6,8 @@ import datetime as dt
 
 import pytest
 
-from barspark.sources import files
+from barspark.operators import catalog
+from barspark.sources import files, ingest
 from barspark.streaming.incremental import ingest_incremental
 
 
@@ -44,3 +45,17 @@ def test_incremental_second_call_reads_new_files_only(spark, tmp_path):
     got = ingest_incremental(spark, src, *args)
     assert {(r.symbol, r.open) for r in got.collect()} == {("A", 1.0), ("B", 2.0)}
     assert ingest_incremental(spark, src, *args).count() == 2
+
+
+def test_second_ingest_keeps_other_data_sets(spark, tmp_path):
+    root, cat = f"file://{tmp_path}/bars", f"file://{tmp_path}/catalog"
+    bars = lambda symbol, n: spark.createDataFrame([(symbol, dt.datetime(2024, 1, k + 1), 1.0) for k in range(n)], "symbol string, ts timestamp_ntz, close double")
+    ingest.ingest_frame(spark, bars("A", 3), "1d", root, cat)
+    ingest.ingest_frame(spark, bars("B", 2), "1d", root, cat)
+    ingest.ingest_frame(spark, bars("A", 4), "1h", root, cat)
+    rows = lambda: {(r.symbol, r.timeframe): r["count"] for r in files.scan_parquet_bars(spark, root).groupBy("symbol", "timeframe").count().collect()}
+    assert rows() == {("A", "1d"): 3, ("B", "1d"): 2, ("A", "1h"): 4}
+    known = {r.file_path: (r.file_size_bytes, r.checksum) for r in catalog.snapshot(spark, cat, "datasets").collect()}
+    assert known == {r.file_path: (r.file_size_bytes, r.checksum) for r in ingest.stored_folders(spark, root).collect()} and len(known) == 3
+    ingest.ingest_frame(spark, bars("B", 1), "1d", root, cat)
+    assert rows() == {("A", "1d"): 3, ("B", "1d"): 1, ("A", "1h"): 4}

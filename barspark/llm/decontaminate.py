@@ -1,7 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact check.
 
-A document is contaminated by an item when some run of its words is similar to
-the item: ``sum(min) / sum(max) >= 0.75`` over 5-word shingles weighted by their
+A document is contaminated by an item when some run of as many words (the whole
+document if it is shorter) is similar to the item: ``sum(min) / sum(max) >= 0.75`` over 5-word shingles weighted by their
 number of occurrences (A-Z lower-cased words; items under five words are one
 shingle). All windows of all whole texts are fingerprinted, one step a word.
 
@@ -14,7 +14,8 @@ surviving run contains a window with the item's own fingerprint: distance 0.
 
 Fingerprints within ``RADIUS`` = 3 bits are all found: 64 bits are cut into four
 blocks, and two words that differ in at most three bits agree in one block.
-Every candidate is aligned with its item and verified on exact shingles.
+Every candidate is verified on exact shingles at all starts from which the run can
+cover a window that hit, whatever the order of its parts, with running counts.
 
 The benchmark is the stated query set: it is read in passes of ``ITEMS_PER_PASS``
 items, so the table each task gets is bounded whatever its size.
@@ -131,41 +132,65 @@ class Items:
             self.ids.append(item_id)
             self.hashes.append(h)
             by_size.setdefault(size, []).append((fp, np.full(len(fp), k), np.arange(len(fp))))
+        self.lengths = np.fromiter(map(len, self.hashes), np.int64, len(self.hashes))
         self.index = {s: Index(*(np.concatenate(x) for x in zip(*v, strict=True))) for s, v in sorted(by_size.items())}
 
-    def similarity(self, doc: np.ndarray, start: int, item: int) -> float:
-        """Weighted Jaccard of the item and as many words of the document from ``start``."""
+    def similarities(self, doc: np.ndarray, item: int, first: int, last: int) -> tuple[int, np.ndarray]:
+        """(start, weighted Jaccard of the item and as many words of the document from there on).
+
+        All starts from ``first`` to ``last`` that the document has are tried."""
         h = self.hashes[item]
         q = min(SHINGLE_WORDS, len(h))
+        first, last = max(0, first), max(0, min(last, len(doc) - len(h)))
+        first = min(first, last)
         a, na = np.unique(shingle_hashes(h, q), return_counts=True)
-        b, nb = np.unique(shingle_hashes(doc[start:start + len(h)], q), return_counts=True)
-        _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-        low = int(np.minimum(na[i], nb[j]).sum())
-        return low / (int(na.sum()) + int(nb.sum()) - low)
+        b = shingle_hashes(doc[first:last + len(h)], q)
+        run = min(len(h) - q + 1, len(b))
+        k = np.minimum(np.searchsorted(a, b), len(a) - 1)
+        at = np.flatnonzero(a[k] == b)
+        # an occurrence counts in the runs that hold it and fewer than na earlier ones of its shingle
+        order = np.argsort(k[at], kind="stable")
+        at, kind = at[order], k[at][order]
+        back = np.arange(len(at)) - na[kind]
+        same = (back >= 0) & (kind[back] == kind)
+        low_start = np.maximum(np.where(same, at[back] + 1, 0), at - run + 1).clip(0)
+        starts = last - first + 1
+        step = np.bincount(low_start, minlength=len(b) + 1) - np.bincount(at + 1, minlength=len(b) + 1)
+        low = np.cumsum(step)[:starts]
+        return first, low / (int(na.sum()) + run - low)
 
     def matches(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int, float]]:
         """(doc number, item number, start word, words, similarity), best start of each pair."""
         sizes = np.fromiter(map(len, docs), np.int64, len(docs))
         ends = np.cumsum(sizes)
         flat = np.concatenate(docs) if docs else np.empty(0, np.uint64)
-        cand: set[tuple[int, int, int]] = set()
+        out = []
         for size, index in self.index.items():
             pos, entry = index.probe(window_fingerprints(flat, size))
-            if len(pos):
-                doc = np.searchsorted(ends, pos, side="right")
-                inside = pos + size <= ends[doc]  # windows across two documents are none
-                doc, pos, entry = doc[inside], pos[inside], entry[inside]
-                begin = ends[doc] - sizes[doc]
-                item = index.item[entry]
-                length = np.fromiter((len(self.hashes[i]) for i in item), np.int64, len(item))
-                start = np.clip(pos - begin - index.offset[entry], 0, np.maximum(sizes[doc] - length, 0))
-                cand.update(zip(doc.tolist(), item.tolist(), start.tolist(), strict=True))
-        best: dict[tuple[int, int], tuple[float, int]] = {}
-        for d, i, s in sorted(cand):
-            sim = self.similarity(docs[d], s, i)
-            if sim >= SIMILARITY and sim > best.get((d, i), (0.0, 0))[0]:
-                best[d, i] = sim, s
-        return [(d, i, s, len(self.hashes[i]), sim) for (d, i), (sim, s) in sorted(best.items())]
+            if not len(pos):
+                continue
+            doc = np.searchsorted(ends, pos, side="right")
+            inside = pos + size <= ends[doc]  # windows across two documents are none
+            doc, pos, item = doc[inside], pos[inside], index.item[entry[inside]]
+            at = pos - (ends[doc] - sizes[doc])
+            order = np.lexsort((at, item, doc))
+            doc, item, at = doc[order], item[order], at[order]
+            # an item has one window size, so a pair's hits are all here; distant ones are tried apart
+            length = self.lengths[item]
+            new = np.r_[True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(at) > length[1:])] if len(at) else np.empty(0, bool)
+            begin = np.flatnonzero(new)
+            until = np.r_[begin[1:], len(at)] - 1 if len(at) else begin
+            for x, y in zip(begin.tolist(), until.tolist(), strict=True):
+                d, i = int(doc[x]), int(item[x])
+                s, sim = self.similarities(docs[d], i, int(at[x]) + size - int(length[x]), int(at[y]))
+                k = int(np.argmax(sim))
+                if sim[k] >= SIMILARITY:
+                    out.append((d, i, s + k, int(length[x]), float(sim[k])))
+        best: dict[tuple[int, int], tuple] = {}
+        for m in out:
+            if m[:2] not in best or m[4] > best[m[:2]][4]:
+                best[m[:2]] = m
+        return [best[k] for k in sorted(best)]
 
 
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",

@@ -152,6 +152,31 @@ def test_decontamination_equals_brute_force(spark, edge, none):
     assert decontaminate.clean(edge, i).columns == edge.columns
 
 
+def test_decontamination_finds_reordered_and_changed_leaks(spark):
+    rnd = random.Random(15)
+    items = [(k, prose(n, rnd)) for k, n in enumerate([30, 50, 50, 64, 80, 110])] + [(6, " ".join(["x", "y", "x", "z"] * 12))]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        h, third = len(w) // 2, len(w) // 3
+        kinds = [w[h:] + w[:h], w[third:] + w[:third], w[:h] + ["new"] * 3 + w[h:], w[:h] + w[h + 3:], w[:third] + w[:0] + w[third + 1:],
+                 w[:h] + w[h - 4:], w[::-1], w[:third] + ["new"] + w[third:]]
+        for part in kinds:
+            at = rnd.randint(0, 60)
+            docs.append((len(docs), " ".join(prose(60, rnd).split()[:at] + part + prose(rnd.randint(0, 90), rnd).split())))
+    d, i = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    got = decontaminate.matches(d, i).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == brute_leaks(docs, items)
+    swapped = next(r for r in got if (r.doc_id, r.item_id) == (8, 1))   # both halves of 50 words, in the other order
+    assert swapped.similarity == 42 / 50
+    texts = dict(docs)
+    for r in got:
+        item = collections.Counter(tuple(x) for x in zip(*(dict(items)[r.item_id].split()[k:] for k in range(5))))
+        run = texts[r.doc_id].split()[r.start_word:r.start_word + r.n_words]
+        own = collections.Counter(tuple(x) for x in zip(*(run[k:] for k in range(5))))
+        assert r.similarity == sum((item & own).values()) / sum((item | own).values())
+
+
 def test_blocks_find_all_fingerprints_within_radius():
     rnd = np.random.default_rng(1)
     prints = rnd.integers(0, 1 << 63, 50, dtype=np.uint64)

@@ -10,7 +10,8 @@ margin is its length compressed with the ordinary dictionary less its length
 compressed with ordinary plus toxic dictionary. The margins' maximum, means of
 the largest and shares beyond fixed byte thresholds go through a logistic
 calibration, fitted on labelled texts that trained no dictionary; its probability
-is the score and 0.5 the threshold.
+is the score and 0.5 the threshold. The calibration weighs both kinds evenly and is
+then shifted to the share of toxic among all labels, not among the sample.
 
 Fitted on a bounded sample: about ``TOXIC`` and ``ORDINARY`` labelled texts of at
 most ``SAMPLE_CHARS`` characters each. Scoring covers all rows and whole texts.
@@ -111,8 +112,10 @@ class Model:
         return _sigmoid(self.calibration.logit(np.array([self.features(t) for t in texts])))
 
 
-def train(toxic: list[str], ordinary: list[str]) -> Model:
-    """Model from labelled texts; a quarter of each kind only calibrates."""
+def train(toxic: list[str], ordinary: list[str], odds: float | None = None) -> Model:
+    """Model from labelled texts; a quarter of each kind only calibrates.
+
+    ``odds``: toxic to ordinary texts where the samples come from; theirs if not given."""
     if len(toxic) < 8 or len(ordinary) < 8:
         return Model(b"", b"")
     toxic, ordinary = sorted(toxic), sorted(ordinary)
@@ -129,8 +132,8 @@ def train(toxic: list[str], ordinary: list[str]) -> Model:
     x = np.array([model.features(t) for t in t_cal + o_cal])
     y = np.array([1] * len(t_cal) + [0] * len(o_cal))
     model.calibration = Logistic().fit(x, y, ridge=RIDGE)
-    # the fit weighs both kinds evenly; the sample is what a threshold of 0.5 is meant for
-    model.calibration.w[0] += float(np.log(len(t_cal) / len(o_cal)))
+    # the fit weighs both kinds evenly; a threshold of 0.5 is meant for the labels' own shares, which the sample's caps change
+    model.calibration.w[0] += float(np.log(len(toxic) / len(ordinary) if odds is None else odds))
     return model
 
 
@@ -143,7 +146,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     picked = by_label(marks.where("label = 1"), "label", TOXIC, ["doc_id"]).unionByName(
         by_label(marks.where("label = 0"), "label", ORDINARY, ["doc_id"]))
     rows = known.join(F.broadcast(picked), "doc_id").select("label", "text").collect()
-    return train([t for l, t in rows if l == 1], [t for l, t in rows if l == 0])
+    n = {r.label: r["count"] for r in marks.groupBy("label").count().collect()}
+    return train([t for l, t in rows if l == 1], [t for l, t in rows if l == 0], n[1] / n[0] if n.get(0) and n.get(1) else None)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

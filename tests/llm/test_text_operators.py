@@ -325,6 +325,27 @@ def test_toxicity(spark, edge, none):
     assert {r.score for r in toxicity.score(edge, untaught).collect()} == {0.0}
 
 
+def test_toxicity_prior_does_not_follow_the_sample_caps(spark, monkeypatch):
+    rnd = random.Random(18)
+    rows = []
+    for k in range(900):
+        w = prose(rnd.randint(20, 60), rnd).split()
+        if k % 5 == 0:
+            w[rnd.randrange(len(w))] = rnd.choice(["vilething", "nastyword"])
+        rows.append((k, " ".join(w), int(k % 5 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    shifts = []
+    for toxic, ordinary in ((1500, 4000), (1500, 200), (60, 4000)):   # no cap binds, each one binds
+        monkeypatch.setattr(toxicity, "TOXIC", toxic)
+        monkeypatch.setattr(toxicity, "ORDINARY", ordinary)
+        even = []
+        fit = toxicity.Logistic.fit
+        with monkeypatch.context() as m:
+            m.setattr(toxicity.Logistic, "fit", lambda *a, **k: even.append(fit(*a, **k).w[0]) or a[0])
+            shifts.append(toxicity.fit(docs, docs.drop("text")).calibration.w[0] - even[0])
+    assert shifts == pytest.approx([np.log(180 / 720)] * 3)
+
+
 def brute_measures(text):
     import re
     t = text or ""

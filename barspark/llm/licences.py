@@ -3,14 +3,18 @@
 Every line of a file that holds a template term is a sparse vector of its terms
 (``[a-z0-9.-]+`` of the lower-cased line, dots and hyphens trimmed), weighted
 ``tf * (1 + ln((1 + lines) / (1 + occurrences of lines with the term)))``; the counts cover all
-lines of all files that hold a template term. A line has the licence of the
+lines of all files that hold any term. A line has the licence of the
 template with the largest cosine when that reaches ``THRESHOLD``; a file has the
 licence of its best line (ties: first name). A file without one inherits from
 the nearest ancestor directory whose licence file (base name LICENSE, LICENCE or
 COPYING, any extension) has one.
 
-Vectors meet templates by an equi-join on terms, aggregated before the shuffle;
-templates and term weights are small, bounded tables. Directories are resolved
+No line is left out by its wording: a first pass counts the lines with each template
+term, and a line is scored when the weight of a template that it holds can reach the
+threshold at all (the cosine is at most the root of that share). Vectors of those
+lines meet templates by an equi-join on terms, aggregated before the shuffle; templates
+and their term weights are small, bounded tables, and other terms are counted over
+all lines only if such a line holds them. Directories are resolved
 once each: every directory that holds files lists its ancestors (at most
 ``DEPTH``), meets the licensed directories by path and keeps the nearest.
 
@@ -22,10 +26,12 @@ ignored; empty tables give no rows.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import bloom_split, stored
 
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -41,8 +47,8 @@ TEMPLATES = {
 THRESHOLD = 0.8
 #: Directories above a file that are searched; paths deeper than this keep their last ones.
 DEPTH = 64
-#: Terms that make a line a candidate: each template holds at least one.
-MARKERS = ("license", "licensed", "licence", "copyright", "redistribution", "cc")
+#: Of the bound on the cosine: far above the error of its sums.
+SLACK = 1e-6
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying)(\.[^.]*)?$"
 
 
@@ -52,29 +58,52 @@ def terms(text: Column) -> Column:
 
 
 def _lines(files: DataFrame) -> DataFrame:
-    """(path, line, terms) of every distinct line with a marker; a path's equal lines count once."""
-    text = F.explode(F.array_distinct(F.filter(F.split("text", "\n"), lambda x: F.lower(x).rlike(r"(?<![a-z])(" + "|".join(MARKERS) + r")(?![a-z])"))))
-    return files.where("text is not null").select("path", text.alias("line"))
+    """(path, line) of every distinct line; a row's equal lines count once."""
+    return files.where("text is not null").select("path", F.explode(F.array_distinct(F.split("text", "\n"))).alias("line"))
+
+
+def _line_counts(lines: DataFrame, found: Column) -> DataFrame:
+    """(term, df) of the array ``found`` of each line's distinct terms."""
+    return lines.select(F.explode(found).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def own_licences(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(path, licence, cosine) of files with a line like a template."""
     spark: SparkSession = files.sparkSession
     templates = TEMPLATES if templates is None else templates
-    # equal lines of many files are one vector: counted by number, scored once
-    lines = stored(_lines(files))
-    kinds = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
-    vectors = kinds.select("line", "n", F.explode(terms(F.col("line"))).alias("term")).groupBy("line", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
-    total = lines.count()
     known = spark.createDataFrame(sorted(templates.items()), "licence string, text string").select(
-        "licence", F.explode(terms(F.col("text"))).alias("term")).groupBy("licence", "term").agg(F.count(F.lit(1)).alias("k"))
-    wanted = known.select("term").distinct()
-    counts = vectors.groupBy("term").agg(F.sum("n").alias("df"))
-    idf = F.log((1.0 + total) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    weights = wanted.join(counts, "term", "left").select("term", idf.alias("idf"))
-    t = known.join(weights, "term").select("licence", "term", (F.col("k") * F.col("idf")).alias("tw"))
+        "licence", F.explode(terms(F.col("text"))).alias("term")).groupBy("licence", "term").agg(F.count(F.lit(1)).alias("k")).collect()
+    every = _lines(files)
+    wanted = F.array(*[F.lit(t) for t in sorted({r.term for r in known})]).cast("array<string>")
+    held = terms(F.col("line"))
+    # the empty term stands for the line itself
+    met = {r.term: r.df for r in _line_counts(every, F.when(F.size(held) > 0, F.concat(F.array_intersect(held, wanted), F.array(F.lit(""))))).collect()}
+    total = met.pop("", 0)
+    weight = {r.term: math.log((1.0 + total) / (1 + met.get(r.term, 0))) + 1 for r in known}
+    t = [(r.licence, r.term, r.k * weight[r.term]) for r in known]
+    norm: dict[str, float] = {}
+    for licence, _, w in t:
+        norm[licence] = norm.get(licence, 0.0) + w * w
+    least = max(0.0, threshold - SLACK) ** 2
+
+    def reachable(hits: Column) -> Column:
+        out = F.lit(False)
+        for licence, n in norm.items():
+            out = out | (sum((F.when(F.array_contains(hits, term), w * w).otherwise(0.0) for k, term, w in t if k == licence), F.lit(0.0)) >= least * n)
+        return out
+
+    # equal lines of many files are one vector: counted by number, scored once
+    lines = stored(every.where(F.exists(F.array(F.array_intersect(held, wanted)), lambda hits: (F.size(hits) > 0) & reachable(hits))))
+    kinds = lines.select("line").distinct()
+    vectors = kinds.select("line", F.explode(held).alias("term")).groupBy("line", "term").agg(F.count(F.lit(1)).alias("tf"))
+    counts = spark.createDataFrame(sorted((term, met.get(term, 0)) for term in weight), "term string, df bigint")
+    others = stored(vectors.select("term").distinct().where(~F.array_contains(wanted, F.col("term"))))
+    if not others.isEmpty():
+        may, _ = bloom_split(every.select(F.explode(F.array_except(held, wanted)).alias("term")), "term", others)
+        counts = counts.union(others.join(may.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "term"))
+    all_weights = counts.select("term", (F.log((1.0 + total) / (1 + F.col("df"))) + 1).alias("idf"))
+    t = spark.createDataFrame(t, "licence string, term string, tw double")
     t_norm = t.groupBy("licence").agg(F.sqrt(F.sum(F.col("tw") * F.col("tw"))).alias("tn"))
-    all_weights = counts.select("term", idf.alias("idf"))
     v = vectors.join(all_weights, "term").select("line", "term", (F.col("tf") * F.col("idf")).alias("w"))
     v_norm = v.groupBy("line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("ln"))
     dots = v.join(F.broadcast(t), "term").groupBy("line", "licence").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))

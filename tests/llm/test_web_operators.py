@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import collections
 import hashlib
+import math
+import random
+import re
 import struct
 
 import pytest
@@ -123,6 +127,37 @@ def test_licences(spark):
     assert licences.scan(df.limit(0)).count() == 0
 
 
+def test_licence_lines_need_no_marker(spark):
+    """All lines against brute force: no wording is asked for, and the counts cover all lines."""
+    rnd = random.Random(21)
+    vocab = ["the", "of", "to", "in", "and", "with", "under", "this", "version", "2.0", "work", "all"] + [f"w{k}" for k in range(30)]
+    texts = ["\n".join(" ".join(rnd.choice(vocab) for _ in range(rnd.randint(0, 9))) for _ in range(12)) for _ in range(40)]
+    odd = ["Redistributions in source and binary forms, with or without modification, are permitted",
+           "The author has waived all rights to this work, to the extent possible under law.", "released under the MIT", "MIT MIT license under released",
+           "work under the terms of the GNU General Public, version 3", "Licensed under the Apache License, Version 2.0 w3", "w1 w2\nlicense of w7"]
+    files = [(f"d/{k}", t) for k, t in enumerate(texts + [a + "\n" + b for a, b in zip(odd, texts, strict=False)])]
+
+    def split(line):
+        return collections.Counter(x for x in (y.strip(".-") for y in re.findall("[a-z0-9.-]+", line.lower())) if x)
+
+    lines = [(p, split(x)) for p, t in files for x in set(t.split("\n")) if split(x)]
+    df = collections.Counter(x for _, w in lines for x in w)
+    vector = lambda w: {x: n * (math.log((1 + len(lines)) / (1 + df[x])) + 1) for x, n in w.items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {}
+    for p, w in lines:
+        v = vector(w)
+        for name, text in licences.TEMPLATES.items():
+            t = vector(split(text))
+            c = sum(x * t.get(k, 0) for k, x in v.items()) / norm(v) / norm(t)
+            if c >= licences.THRESHOLD:
+                want[p] = min(want.get(p, (0, "")), (-c, name))
+    got = {r.path: (-r.cosine, r.licence) for r in licences.own_licences(spark.createDataFrame(files, "path string, text string")).collect()}
+    assert {p: x[1] for p, x in got.items()} == {p: x[1] for p, x in want.items()}
+    assert {p: x[0] for p, x in got.items()} == pytest.approx({p: x[0] for p, x in want.items()}, abs=1e-8)
+    assert got["d/40"][1] == "BSD-3-Clause" and len(got) >= 4
+
+
 def test_pipeline(spark, sf, tmp_path):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality", "near_dedup", "decontaminate", "tokenize"]
     docs = spark.read.parquet(f"{sf}/documents.parquet")

@@ -9,6 +9,8 @@ import zipfile
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 from ..session import checkpoint_dir
 
 SHINGLE_WORDS = 5
-#: Rows in one Arrow batch sent to Python; texts may be long.
+#: Bytes of the texts that a task works on at a time; Arrow batches may hold many more.
+SLICE_BYTES = 1 << 20
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
 
@@ -29,6 +32,23 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
+def text_slices(batches, column: int = -1, most: int = SLICE_BYTES):
+    """The rows of Arrow batches in slices of about ``most`` bytes of the string or binary column; a longer text is a slice of its own.
+
+    Whoever yields one output batch a slice holds no more than a slice's results.
+    """
+    for b in batches:
+        texts = b.column(column % b.num_columns)
+        sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends = np.cumsum(sizes)
+        first, done = 0, 0
+        while first < len(sizes):
+            stop = max(first + 1, int(np.searchsorted(ends, done + most, side="right")))
+            yield b.slice(first, stop - first)
+            first, done = stop, int(ends[stop - 1])
+    pa.default_memory_pool().release_unused()
+
+
 def word_hashes(tokens: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, tokens), np.uint64, len(tokens))
 

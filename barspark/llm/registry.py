@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, licences, near_dedup, quality, quality_rules, toxicity, url_filter, warc
+from . import bpe, decontaminate, language_id, licences, near_dedup, periodic, quality, quality_rules, toxicity, url_filter, warc
 from .oracle import ORACLES
 from .common import fold, table
 
@@ -75,6 +75,30 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text", "n_chars"), model).select("doc_id", "quality_score", F.col("good").alias("kept"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts, every tenth (by its id's crc32) with a periodic end, and digests of their runs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def looped(w):
+        """Every word from a on becomes word a + (i - a) % p."""
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        again = F.transform(F.sequence(F.lit(0), n - a - 1), lambda i: F.get(w, a + i % p))
+        return F.when(n > 0, F.concat_ws(" ", F.slice(w, 1, a), again))
+
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    text = F.when(h % 10 == 0, F.get(F.transform(F.array(words), looped), F.lit(0))).otherwise(F.col("text"))
+    found = periodic.detect(docs.select("doc_id", text.alias("text")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best_run.start", "best_run.length", "best_run.period",
+        F.expr("1000 * best_run.length div best_run.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -82,4 +106,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_warc, op2_decontamination, op3_quality_rules, op4_url_filter, op5_minhash, op6_toxicity, op7_bpe, op8_licences, op9_language,
-    op10_quality, pipeline)}
+    op10_quality, op12_periodic_runs, pipeline)}

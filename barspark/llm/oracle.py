@@ -102,4 +102,26 @@ SELECT doc_id, path, coalesce(licence, dir_licence) AS licence, round(cosine, 6)
 FROM g LEFT JOIN own USING (path) LEFT JOIN near ON near.dir = g.dir
 """
 
-ORACLES: dict[str, str] = {"op1_warc": OP1, "op3_quality_rules": OP3, "op4_url_filter": OP4, "op5_minhash": OP5, "op8_licences": OP8}
+_CRC_TABLE = ("(SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, _: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) ORDER BY i) AS tab "
+              "FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS i))")
+_CRC = ("xor(list_reduce([4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), "
+        "lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1])), 4294967295)")
+
+OP11 = f"""
+WITH raw AS (SELECT conv_id, turn, length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS t, strlen(coalesce(text, '')) AS b
+             FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({{t: t, b: b}} ORDER BY turn NULLS FIRST, md5(t)) AS ts FROM raw GROUP BY conv_id),
+heads AS (SELECT own.*, CAST({_CRC} % 9 AS BIGINT) AS h FROM own, {_CRC_TABLE}),
+c AS (SELECT a.conv_id, list_concat(coalesce(b.ts[:a.h], []), a.ts[a.h + 1:]) AS ts FROM heads a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 5),
+m AS (SELECT conv_id, d AS depth, ts[:d] AS k, len(ts) = d AS ends FROM c, unnest(range(len(ts) + 1)) AS u(d)),
+n AS (SELECT k, depth, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256,
+             CASE WHEN depth = 0 THEN 0 ELSE (count(*) - 1) * any_value(k[depth].b) END AS saved FROM m GROUP BY k, depth),
+kids AS (SELECT k[:depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+full_n AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN kids USING (k)),
+sums AS (SELECT k[:d] AS k, sum(saved) AS saved_tokens, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves FROM full_n, unnest(range(depth + 1)) AS u(d) GROUP BY 1)
+SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, a.n_convs, CAST(a.n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, a.ends_sha256
+FROM full_n a JOIN sums USING (k) LEFT JOIN full_n p ON p.k = a.k[:a.depth - 1] AND a.depth > 0
+"""
+
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op3_quality_rules": OP3, "op4_url_filter": OP4, "op5_minhash": OP5, "op8_licences": OP8, "op11_prefix_trie": OP11}

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, licences, near_dedup, periodic, quality, quality_rules, toxicity, url_filter, warc
+from . import bpe, decontaminate, language_id, licences, near_dedup, periodic, prefix_trie, quality, quality_rules, repeats, toxicity, url_filter, warc
 from .oracle import ORACLES
 from .common import fold, table
 
@@ -75,6 +75,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs.select("doc_id", "text", "n_chars"), model).select("doc_id", "quality_score", F.col("good").alias("kept"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of conversations that begin with up to eight turns of the first one of their five."""
+    rows = prefix_trie.turns(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv_id")
+    taken = F.crc32(conv.cast("string").cast("binary")) % 9
+    return prefix_trie.peel(*prefix_trie.spliced(rows, conv - conv % 5, taken, 8))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The texts, every tenth (by its id's crc32) with a periodic end, and digests of their runs."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -99,6 +107,11 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
 
 
+def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeats.remove(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", F.floor(F.size("spans") / 2).cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
     return corpus_pipeline.run(spark, sf_dir)
@@ -106,4 +119,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_warc, op2_decontamination, op3_quality_rules, op4_url_filter, op5_minhash, op6_toxicity, op7_bpe, op8_licences, op9_language,
-    op10_quality, op12_periodic_runs, pipeline)}
+    op10_quality, op11_prefix_trie, op12_periodic_runs, op13_repeats, pipeline)}

@@ -5,7 +5,6 @@ of an ingest, written after the data."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,13 +92,20 @@ def upsert_symbols(symbols: DataFrame, updates: DataFrame) -> DataFrame:
 
 
 def register_datasets(datasets: DataFrame, new: DataFrame) -> DataFrame:
-    """Append datasets whose file_path is not registered yet (re-registration
-    of a known file is a no-op instead of a constraint error). A path given
+    """Add datasets whose file_path is not registered yet; a known path keeps its id and creation
+    time and takes the new facts (dates, rows, size, checksum), as its file was replaced. A path given
     twice in one batch is registered once, with the smallest dataset_id."""
     rest = [c for c in datasets.columns if c != "file_path"]
     once = new.groupBy("file_path").agg(F.min_by(F.struct(*rest), F.col("dataset_id")).alias("_r")).select("file_path", "_r.*")
-    fresh = once.join(datasets.select("file_path"), "file_path", "left_anti")
-    return datasets.unionByName(fresh.select(*datasets.columns))
+    o, n = datasets.alias("o"), once.alias("n")
+    j = o.join(n, F.col("o.file_path") == F.col("n.file_path"), "full")
+    given = F.col("n.file_path").isNotNull()
+    pick = lambda c: F.when(given, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
+    return j.select(*[(pick(c) if c in FACTS else F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}"))).alias(c) for c in datasets.columns])
+
+
+#: Columns that describe a dataset's file as it is now.
+FACTS = ("start_date", "end_date", "row_count", "file_size_bytes", "checksum")
 
 
 SYMBOLS = ("symbol_id bigint, symbol string, asset_type string, vendor string, description string, created_at timestamp_ntz, "
@@ -108,30 +114,37 @@ DATASETS = ("dataset_id bigint, symbol_id bigint, timeframe string, start_date s
             "file_path string, file_size_bytes bigint, checksum string, created_at timestamp_ntz")
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete snapshots: the datasets of a version are written last."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(root)]
+    return sorted(int(n[2:]) for n in names if n.startswith("v=") and n[2:].isdigit()
+                  and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/datasets/_SUCCESS")))
+
+
 def snapshot(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """The newest snapshot of a stored catalog table; empty before the first commit."""
+    """A stored catalog table as of the newest complete commit; empty before the first."""
     schema = {"symbols": SYMBOLS, "datasets": DATASETS}[name]
-    try:
-        stored = spark.read.schema(f"{schema}, v bigint").parquet(f"{path}/{name}")
-    except AnalysisException as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    versions = _versions(spark, path)
+    if not versions:
         return spark.createDataFrame([], schema)
-    newest = stored.agg(F.max("v")).first()[0]
-    return stored.where(F.col("v") == F.lit(newest)).drop("v")
+    return spark.read.schema(schema).parquet(f"{path}/v={versions[-1]}/{name}")
 
 
 def commit(spark: SparkSession, path: str, symbols: DataFrame, datasets: DataFrame) -> None:
-    """Upsert symbols and register datasets: each table gets a new snapshot folder
-    ``v=<n>``; datasets come last and make the ingest visible. One writer at a time."""
+    """Upsert symbols and register datasets in one new version folder ``v=<n>``.
+
+    Its datasets are written last and make both tables visible together; what a failed commit left
+    behind is overwritten by the next. One writer at a time."""
+    versions = _versions(spark, path)
+    at = f"{path}/v={versions[-1] + 1 if versions else 1}"
     for name, merge, new in (("symbols", upsert_symbols, symbols), ("datasets", register_datasets, datasets)):
         old = snapshot(spark, path, name)
-        merged = merge(old, new.select(*old.columns)).select(*old.columns)
-        try:
-            last = spark.read.schema("v bigint").parquet(f"{path}/{name}").agg(F.max("v")).first()[0] or 0
-        except AnalysisException:
-            last = 0
-        merged.coalesce(1).write.parquet(f"{path}/{name}/v={last + 1}")
+        merge(old, new.select(*old.columns)).select(*old.columns).coalesce(1).write.mode("overwrite").parquet(f"{at}/{name}")
 
 
 def delete_datasets(datasets: DataFrame, ids: DataFrame) -> DataFrame:

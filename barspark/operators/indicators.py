@@ -56,10 +56,21 @@ def indexed_bars(bars: DataFrame, keys: Sequence[str] = ("symbol",), bar_seconds
 
 def compute_raw(bars: DataFrame, keys: Sequence[str] = ("symbol",), bb_window: int = P.BB_BASE_WINDOW,
                 bar_seconds: int = P.SMALLEST_BAR_SECONDS, seg_rows: int = ordered.SEG_ROWS) -> DataFrame:
-    """All indicators before fills; output keeps ``_seg`` (home rows only)."""
+    """All indicators before fills; output keeps ``_seg`` (home rows only).
+
+    Two exchanges of bar rows: the row index and the halo. The rows with their window
+    columns are written once, as dealt by (keys, segment): the averages read them several
+    times and move none."""
     keys = list(keys)
     b = indexed_bars(bars, keys, bar_seconds)
     h = ordered.halo(b, back=indicator_lookback(bb_window), seg_rows=seg_rows)
+    h = averages(cut_lineage(ordered.home(windows(h, keys, bb_window))), keys)
+    return h.select(*[c for c in bars.columns if c != "idx"], "idx", ordered.SEG, *RAW_COLUMNS)
+
+
+def windows(h: DataFrame, keys: Sequence[str], bb_window: int = P.BB_BASE_WINDOW) -> DataFrame:
+    """Columns of bounded look-back, on rows that hold their halo."""
+    keys = list(keys)
     W = f"OVER (PARTITION BY {', '.join(f'`{c}`' for c in [*keys, ordered.SEG])} ORDER BY `idx`"
     h = h.selectExpr("*", f"lag(close) {W}) AS _pc", f"lag(high) {W}) AS _ph", f"lag(low) {W}) AS _pl",
                      f"lag(vwap) {W}) AS _pvw")
@@ -70,7 +81,7 @@ def compute_raw(bars: DataFrame, keys: Sequence[str] = ("symbol",), bb_window: i
         "CASE WHEN (close - _pc) IS NOT NULL THEN -least(close - _pc, 0.0D) END AS _loss",
         f"CASE WHEN {up} IS NULL THEN NULL WHEN {up} > {dn} AND {up} > 0 THEN {up} ELSE 0.0D END AS _pdm",
         f"CASE WHEN {dn} IS NULL THEN NULL WHEN {dn} > {up} AND {dn} > 0 THEN {dn} ELSE 0.0D END AS _mdm",
-        "greatest(high - low, abs(high - _pc), abs(low - _pc)) AS _tr",
+        "greatest(high - low, abs(high - _pc), abs(low - _pc)) AS tr",
         "ln(close) - ln(_pc) AS _lr",
         "vwap - _pvw AS vwap_delta")
 
@@ -78,31 +89,33 @@ def compute_raw(bars: DataFrame, keys: Sequence[str] = ("symbol",), bb_window: i
     sma, _ = _rolling_gated("vwap", keys, P.VWAP_SMA_WINDOW)
     _, lr_std = _rolling_gated("_lr", keys, P.HV_WINDOW)
     h = h.select("*", mid.alias("bb_mid"), std.alias("_bstd"), sma.alias("vwap_sma20"),
-                 (lr_std * F.lit(P.ANNUALIZATION_FACTOR ** 0.5) * F.lit(100.0)).alias("_hv"))
+                 (lr_std * F.lit(P.ANNUALIZATION_FACTOR ** 0.5) * F.lit(100.0)).alias("hv"))
     k = f"{P.BB_STD_MULTIPLIER!r}D"
     h = h.selectExpr("*", f"bb_mid + {k} * _bstd AS bb_upper", f"bb_mid - {k} * _bstd AS bb_lower")
     h = h.selectExpr("*", "bb_upper - bb_lower AS bb_width")
     tw = f"{W} ROWS BETWEEN {P.BB_TIGHTENING_WINDOW - 1} PRECEDING AND CURRENT ROW)"
-    h = h.selectExpr("*", f"coalesce(bb_width < lag(bb_width) {W}) AND bb_width < CASE WHEN count(bb_width) {tw} "
-                          f">= {P.BB_TIGHTENING_MIN_PERIODS} THEN percentile(bb_width, 0.5) {tw} END, false) "
-                          f"AS bb_tightening")
+    return h.selectExpr("*", f"coalesce(bb_width < lag(bb_width) {W}) AND bb_width < CASE WHEN count(bb_width) {tw} "
+                             f">= {P.BB_TIGHTENING_MIN_PERIODS} THEN percentile(bb_width, 0.5) {tw} END, false) "
+                             f"AS bb_tightening")
+
+
+#: Averages (out: source column) by round; the second round needs the first.
+AVERAGES = ({"_ag": "_gain", "_al": "_loss", "atr": "tr", "_pde": "_pdm", "_mde": "_mdm"}, {"adx": "_dx"})
+RAW_COLUMNS = ["bb_mid", "bb_upper", "bb_lower", "rsi", "atr", "plus_di", "minus_di", "adx", "vwap_sma20", "bb_width",
+               "bb_tightening", "hv", "vwap_delta", "tr"]
+
 
-    h = ordered.home(h)
-    h = with_ewm(h, keys, {"_ag": "_gain", "_al": "_loss", "atr": "_tr", "_pde": "_pdm", "_mde": "_mdm"}, ALPHA)
+def averages(h: DataFrame, keys: Sequence[str], before: DataFrame | None = None) -> DataFrame:
+    """RSI, ATR, DI and ADX of rows dealt by (keys, segment), from the start or from stored states."""
+    h = with_ewm(h, keys, AVERAGES[0], ALPHA, before=before)
     rs = F.try_divide(F.col("_ag"), _nullif0(F.col("_al")))
     h = h.select("*",
-                 (F.lit(100.0) - F.try_divide(F.lit(100.0), F.lit(1.0) + rs)).alias("_rsi"),
+                 (F.lit(100.0) - F.try_divide(F.lit(100.0), F.lit(1.0) + rs)).alias("rsi"),
                  (F.lit(100.0) * F.try_divide(F.col("_pde"), F.col("atr"))).alias("plus_di"),
                  (F.lit(100.0) * F.try_divide(F.col("_mde"), F.col("atr"))).alias("minus_di"))
     pdi, mdi = F.col("plus_di"), F.col("minus_di")
     h = h.withColumn("_dx", F.try_divide(F.abs(pdi - mdi), _nullif0(pdi + mdi)) * F.lit(100.0))
-    h = with_ewm(h, keys, {"_adx": "_dx"}, ALPHA)
-    base = [c for c in bars.columns if c not in ("idx",)]
-    return h.select(*base, "idx", ordered.SEG,
-                    "bb_mid", "bb_upper", "bb_lower",
-                    F.col("_rsi").alias("rsi"), "atr", "plus_di", "minus_di", F.col("_adx").alias("adx"),
-                    "vwap_sma20", "bb_width", "bb_tightening", F.col("_hv").alias("hv"), "vwap_delta",
-                    F.col("_tr").alias("tr"))
+    return with_ewm(h, keys, AVERAGES[1], ALPHA, before=before)
 
 
 def trend_flags(df: DataFrame, method=P.DEFAULT_TREND_METHOD) -> DataFrame:

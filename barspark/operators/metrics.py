@@ -113,15 +113,22 @@ def pnl_histogram(trades: DataFrame, keys: Sequence[str] = ("symbol",), bins: in
 
 
 def pnl_moments(trades: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """mean, median, sample std, bias-corrected skew (0 when n <= 2)."""
+    """mean, median, sample std, bias-corrected skew (0 when n <= 2). The median comes from counts
+    by value over ranges, so no key's values meet in one buffer."""
+    from .quantiles import exact_quantiles
+
     keys = list(keys)
     n = F.count(F.lit(1))
-    g = trades.groupBy(*keys).agg(n.alias("n"), F.avg("pnl").alias("mean"), F.median("pnl").alias("median"),
+    g = trades.groupBy(*keys).agg(n.alias("n"), F.avg("pnl").alias("mean"),
                                   F.stddev_samp("pnl").alias("std"), F.skewness("pnl").alias("_g1"))
     nn = F.col("n").cast("double")
     adj = F.sqrt(nn * (nn - 1)) / (nn - 2)
     skew = F.when(F.col("n") > 2, F.coalesce(F.nanvl(F.col("_g1"), F.lit(0.0)), F.lit(0.0)) * adj).otherwise(F.lit(0.0))
-    return g.select(*keys, "n", "mean", "median", "std", skew.alias("skew"))
+    middle = exact_quantiles(trades, keys, "pnl").withColumnRenamed("q50", "median")
+    same = None
+    for k in keys:
+        same = g[k].eqNullSafe(middle[k]) if same is None else same & g[k].eqNullSafe(middle[k])
+    return g.join(middle, same, "left").select(*[g[k] for k in keys], "n", "mean", "median", "std", skew.alias("skew"))
 
 
 def legacy_stats(trades: DataFrame, keys: Sequence[str] = ("symbol",)) -> DataFrame:
@@ -188,3 +195,13 @@ def trade_markers(trades: DataFrame, bars: DataFrame, keys: Sequence[str] = ("sy
     The ledger already carries the entry bar's vwap, so no join is needed."""
     return trades.select(*keys, "entry_date", F.col("entry_vwap"), "expiry_date",
                          F.col("expiry_close").alias("exit_close"), "outcome")
+
+
+def pnl_rollup(trades: DataFrame, dims: Sequence[str], pnl: str = "pnl") -> DataFrame:
+    """P&L by ``dims`` with the subtotals of every prefix of them and the total, in one pass.
+
+    Trades are summed by all dims first, so the expansion into grouping sets multiplies
+    only those sums. ``level`` is the grouping id: a bit is 1 where the column is a total;
+    a null of the data has the bit 0."""
+    base = trades.groupBy(*dims).agg(F.sum(pnl).alias("_pnl"), F.count(F.lit(1)).alias("_n"), F.count_if(F.col(pnl) > 0).alias("_w"))
+    return base.rollup(*dims).agg(F.grouping_id().cast("bigint").alias("level"), F.sum("_pnl").alias("pnl"), F.sum("_n").alias("trades"), F.sum("_w").alias("wins"))

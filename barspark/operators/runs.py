@@ -2,7 +2,7 @@
 
 ``save_runs`` appends any number of resolved parameter sets in one pass: the
 parameters are a literal table, metrics are one aggregate by (run_id, symbol), trades
-are written partitioned by ``run_id``. Readers join the stored tables with the
+are written partitioned by parameter set. Readers join the stored tables with the
 catalog. Units: ``win_rate`` is the share of trades with pnl > 0 as a fraction and
 ``max_drawdown`` is in currency in the store; readers present percent.
 """
@@ -43,7 +43,7 @@ def stored_id(run: str | Column, symbol: str | Column) -> Column:
 
 def save_runs(path: str, runs: Sequence[tuple[P.RunParams, str | None, dt.datetime]], trades: DataFrame, drawdown: DataFrame,
               bars: DataFrame, dataset_of: DataFrame, runtime_seconds: float | None = None) -> None:
-    """Append runs and their trades under ``path``.
+    """Store runs and their trades under ``path``; sets that are there under the same id are replaced.
 
     ``runs``: (parameters, name, creation time); ``trades`` and ``drawdown`` carry
     ``run_id`` and ``symbol``; ``dataset_of``: (symbol, dataset_id)."""
@@ -71,17 +71,26 @@ def save_runs(path: str, runs: Sequence[tuple[P.RunParams, str | None, dt.dateti
         "pnl", F.lit(None).cast("double").alias("pnl_pct"), F.lit("closed").alias("status"), F.lit("eligible").alias("entry_reason"),
         F.col("outcome").alias("exit_reason"), (F.col("short_call") - F.col("short_put")).alias("strike_width"),
         F.lit(None).cast("double").alias("distance"), F.lit(None).cast("double").alias("iv_rank"), stored_id("run_id", "symbol").alias("run_id"))
-    # the trades first: a run row commits its trades
-    stored.write.mode("append").partitionBy("run_id").parquet(f"{path}/trades")
-    rows.write.mode("append").parquet(f"{path}/runs")
+    # the trades first: a run row commits its trades. A parameter set is one folder, whatever the number of its
+    # symbols, and each folder is written by few tasks; saving a set again replaces it
+    for table, name in ((stored, "trades"), (rows, "runs")):
+        set_id = F.split("run_id", ":")[0]
+        (table.withColumn("set_id", set_id).repartition("set_id", F.pmod(F.xxhash64("run_id"), F.lit(WRITERS))).sortWithinPartitions("set_id", "run_id")
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("set_id").parquet(f"{path}/{name}"))
+
+
+#: Tasks that write one parameter set.
+WRITERS = 8
 
 
 def stored_runs(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(RUNS).parquet(f"{path}/runs")
+    return spark.read.schema(RUNS).parquet(f"{path}/runs").select(*RUNS.fieldNames())
 
 
 def stored_trades(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TRADES).parquet(f"{path}/trades")
+    """Trades of the runs that are committed."""
+    trades = spark.read.schema(TRADES).parquet(f"{path}/trades").select(*TRADES.fieldNames())
+    return trades.join(stored_runs(spark, path).select("run_id"), "run_id", "left_semi")
 
 
 def with_catalog(runs: DataFrame, datasets: DataFrame, symbols: DataFrame) -> DataFrame:

@@ -12,17 +12,20 @@ three levels:
 * inside a block of ``BLOCK_ROWS`` rows by running window aggregates: with the
   average ``y1`` at the block's first valid row, ``P = prod(A)`` and ``Q = sum(b / P)``,
   the average is ``P * (y1 + Q)``. A block is short enough that ``P`` stays far from
-  underflow;
+  underflow. Blocks subdivide the segments by which the rows are dealt already, so
+  their windows and sums need no exchange;
 * a block is summed up by its first valid position and value, its last valid
-  position and its map from ``y1`` to its end; ``FAN`` such summaries compose, in an
-  array of at most ``FAN`` elements, to the summary of a segment;
-* one summary a segment (65,536 rows) is folded along the key.
-
-The fold's result, the state before each block, is joined back on (key, block).
-The rows are exchanged once; only the summaries move again, and no task holds more
-of a key than a block of rows or one summary a segment. Ratios of two averages (RSI,
-DI, ADX) stay right however long a flat stretch or gap lasts, because nothing old
-is cut off.
+  position and its map from ``y1`` to its end; the summaries of a segment (65,536 rows),
+  an array of at most 128 elements, compose to that of the segment, and those of ``FAN``
+  segments to that of a stretch;
+* one summary a stretch (16 million rows) is folded along the key.
+
+The fold's result goes back down: the state before each stretch, segment and block.
+A row finds its block's state in the array of its segment, joined on (key, segment) by
+which the rows lie. Only summaries move, and no task holds more of a key than a block
+of rows or an array of summaries. Ratios of two averages (RSI, DI, ADX) stay right
+however long a flat stretch or gap lasts, because nothing old is cut off. A series can
+also go on from a stored state (``before``).
 """
 
 from __future__ import annotations
@@ -33,31 +36,39 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import SEG, segment
+
 BLOCK_ROWS = 512
-FAN = 128
-BLK, SG = "_blk", "_sg"
+FAN = 256
+BLK, STRETCH = "_blk", "_stretch"
 #: Least weight of the past after a gap; keeps the products of a block in range.
 LEAST = 1e-30
 UNB = Window.unboundedPreceding
 
 
 def with_ewm(df: DataFrame, keys: Sequence[str], cols: dict[str, str], alpha: float,
-             idx: str = "idx", block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
+             idx: str = "idx", block_rows: int = BLOCK_ROWS, fan: int = FAN, seg: str = SEG,
+             before: DataFrame | None = None) -> DataFrame:
     """Add ``out = ewm(src)`` for each ``out: src`` in ``cols``, evaluated together.
 
-    ``idx`` is the 0-based position of a row inside its key (``keys``). The
+    ``idx`` is the position of a row inside its key (``keys``), without gaps, and ``seg`` a
+    column of segments of it; rows that are dealt by (keys, seg) are not moved. Without
+    that column the rows are dealt here. ``before`` may hold, by key, the average and the
+    last valid position before the first row: ``_y_<out>`` and ``_l_<out>``. The
     projections are SQL text: one call each instead of thousands of Column objects.
     """
     outs, al = list(cols), f"{float(alpha)!r}D"
-    k = ", ".join(f"`{c}`" for c in keys)
+    ks = [f"`{c}`" for c in keys]
     names = [f"`{c}`" for c in df.columns]
-    over = f"OVER (PARTITION BY {k}, {BLK} ORDER BY `{idx}` ROWS BETWEEN UNBOUNDED PRECEDING AND"
+    if seg not in df.columns:
+        df = segment(df, idx).withColumnRenamed(SEG, seg).repartition(*keys, seg)
+    over = f"OVER (PARTITION BY {', '.join(ks)}, {seg}, {BLK} ORDER BY `{idx}` ROWS BETWEEN UNBOUNDED PRECEDING AND"
 
     def past(steps: str) -> str:
         return f"greatest(exp(CAST({steps} AS DOUBLE) * {math.log(1.0 - alpha)!r}D), {LEAST!r}D)"
 
     # rows: position of the last valid row of the block before each, then P and Q
-    cur = df.selectExpr("*", f"floor(`{idx}` / {int(block_rows)}) AS {BLK}").repartition(*keys, BLK)
+    cur = df.selectExpr("*", f"floor(`{idx}` / {int(block_rows)}) AS {BLK}")
     cur = cur.selectExpr("*", *[f"max(CASE WHEN `{src}` IS NOT NULL THEN `{idx}` END) {over} 1 PRECEDING) AS `_pv_{o}`" for o, src in cols.items()])
     maps = []
     for o, src in cols.items():
@@ -65,7 +76,7 @@ def with_ewm(df: DataFrame, keys: Sequence[str], cols: dict[str, str], alpha: fl
         maps += [f"CASE WHEN {still} THEN 1.0D ELSE {p} / ({p} + {al}) END AS `_A_{o}`", f"CASE WHEN {still} THEN 0.0D ELSE {al} * `{src}` / ({p} + {al}) END AS `_b_{o}`"]
     cur = cur.selectExpr("*", *maps)
     cur = cur.selectExpr("*", *[f"exp(sum(ln(`_A_{o}`)) {over} CURRENT ROW)) AS `_P_{o}`" for o in outs])
-    kept = [*names, BLK, *[f"`_pv_{o}`" for o in outs], *[f"`_P_{o}`" for o in outs]]
+    kept = dict.fromkeys([*names, f"`{seg}`", BLK, *[f"`_pv_{o}`" for o in outs], *[f"`_P_{o}`" for o in outs]])
     cur = cur.selectExpr(*kept, *[f"sum(`_b_{o}` / `_P_{o}`) {over} CURRENT ROW) AS `_Q_{o}`" for o in outs])
 
     # summaries (f, fx: first valid position and value; l: last valid position; a, b: map from there to the end)
@@ -75,36 +86,49 @@ def with_ewm(df: DataFrame, keys: Sequence[str], cols: dict[str, str], alpha: fl
     kind = "STRUCT<f: BIGINT, fx: DOUBLE, l: BIGINT, a: DOUBLE, b: DOUBLE>"
     parts = [f"CAST(struct(min({valid(src)}), min_by(`{src}`, {valid(src)}), max({valid(src)}), min(`_P_{o}`), min(`_P_{o}`) * max_by(`_Q_{o}`, `{idx}`)) AS {kind}) AS `{o}`"
              for o, src in cols.items()]
-    blocks = cur.groupBy(*keys, BLK).agg(*map(F.expr, parts)).selectExpr("*", f"floor({BLK} / {int(fan)}) AS {SG}")
     fields = ", ".join(f"`{o}`" for o in outs)
 
     def composed(o: str) -> str:
         x, p = f"x.`{o}`", past(f"x.`{o}`.f - acc.l")
         both = (f"CAST(struct(acc.f, acc.fx, {x}.l, {x}.a * {p} / ({p} + {al}) * acc.a, "
                 f"{x}.a * ({p} / ({p} + {al}) * acc.b + {al} * {x}.fx / ({p} + {al})) + {x}.b) AS {kind})")
-        return (f"aggregate(_blocks, CAST(struct(NULL, NULL, NULL, 1.0D, 0.0D) AS {kind}), "
+        return (f"aggregate(_items, CAST(struct(NULL, NULL, NULL, 1.0D, 0.0D) AS {kind}), "
                 f"(acc, x) -> CASE WHEN {x}.f IS NULL THEN acc WHEN acc.f IS NULL THEN {x} ELSE {both} END) AS `{o}`")
 
+    def gathered(table: DataFrame, by: list[str], item: str) -> DataFrame:
+        """One row for each ``by`` with the array ``_items`` of its (item, summaries), in order."""
+        return table.groupBy(*by).agg(F.expr(f"array_sort(collect_list(struct({item}, {fields}))) AS _items"))
+
     def first(y: str, last: str, x: str) -> str:
         """Average at a summary's first valid row, from the state (y, last) before it."""
         p = past(f"{x}.f - {last}")
         return f"CASE WHEN {last} IS NULL THEN {x}.fx ELSE ({p} * {y} + {al} * {x}.fx) / ({p} + {al}) END"
 
-    def states(items: str, o: str, y: str, last: str) -> str:
-        """State (y, l) before each item."""
+    def states(o: str, y: str, last: str) -> str:
+        """State (y, l) before each of the ``_items``."""
         s, end = "STRUCT<y: DOUBLE, l: BIGINT>", f"x.`{o}`.a * {first('acc.s.y', 'acc.s.l', f'x.`{o}`')} + x.`{o}`.b"
         kinds = f"STRUCT<seen: ARRAY<{s}>, s: {s}>"
-        return (f"aggregate({items}, CAST(struct(array(), struct({y}, {last})) AS {kinds}), (acc, x) -> CAST(struct(concat(acc.seen, array(acc.s)), "
-                f"CASE WHEN x.`{o}`.f IS NULL THEN acc.s ELSE CAST(struct({end}, x.`{o}`.l) AS {s}) END) AS {kinds})).seen")
-
-    segs = blocks.groupBy(*keys, SG).agg(F.expr(f"array_sort(collect_list(struct({BLK}, {fields}))) AS _blocks"))
-    line = segs.selectExpr(*[f"`{c}`" for c in keys], SG, *map(composed, outs)).groupBy(*keys).agg(F.expr(f"array_sort(collect_list(struct({SG}, {fields}))) AS _segs"))
-    ks, zipped = [f"`{c}`" for c in keys], ", ".join(f"`_s_{o}`" for o in outs)
-    line = line.selectExpr("*", *[f"{states('_segs', o, 'NULL', 'NULL')} AS `_s_{o}`" for o in outs])
-    line = line.selectExpr(*ks, f"explode(arrays_zip(_segs, {zipped})) AS _z").selectExpr(*ks, f"_z._segs.{SG} AS {SG}", *[f"_z.`_s_{o}` AS `_i_{o}`" for o in outs])
-    starts = segs.join(line, [*keys, SG]).selectExpr("*", *[states("_blocks", o, f"`_i_{o}`.y", f"`_i_{o}`.l") + f" AS `_s_{o}`" for o in outs])
-    starts = starts.selectExpr(*ks, f"explode(arrays_zip(_blocks, {zipped})) AS _z").selectExpr(*ks, f"_z._blocks.{BLK} AS {BLK}", *[e for o in outs for e in (
-        f"_z.`_s_{o}`.y AS `_y0_{o}`", f"{first(f'_z.`_s_{o}`.y', f'_z.`_s_{o}`.l', f'_z._blocks.`{o}`')} AS `_y1_{o}`")])
-
-    return cur.join(starts, [*keys, BLK]).selectExpr(*names, *[
-        f"CASE WHEN `_pv_{o}` IS NULL AND `{src}` IS NULL THEN `_y0_{o}` ELSE `_P_{o}` * (`_y1_{o}` + `_Q_{o}`) END AS `{o}`" for o, src in cols.items()])
+        return (f"aggregate(_items, CAST(struct(array(), struct({y}, {last})) AS {kinds}), (acc, x) -> CAST(struct(concat(acc.seen, array(acc.s)), "
+                f"CASE WHEN x.`{o}`.f IS NULL THEN acc.s ELSE CAST(struct({end}, x.`{o}`.l) AS {s}) END) AS {kinds})).seen AS `_s_{o}`")
+
+    def spread(table: DataFrame, item: str) -> DataFrame:
+        """One row an item with the state before it: ``_y_<out>``, ``_l_<out>``."""
+        zipped = ", ".join(f"`_s_{o}`" for o in outs)
+        rows = table.selectExpr(*ks, "_items", *[states(o, f"`_y_{o}`", f"`_l_{o}`") for o in outs])
+        return rows.selectExpr(*ks, f"explode(arrays_zip(_items, {zipped})) AS _z").selectExpr(
+            *ks, f"_z._items.`{item}` AS `{item}`", *[e for o in outs for e in (f"_z.`_s_{o}`.y AS `_y_{o}`", f"_z.`_s_{o}`.l AS `_l_{o}`")])
+
+    blocks = cur.groupBy(*keys, seg, BLK).agg(*map(F.expr, parts))
+    segs = gathered(blocks, [*keys, seg], BLK)
+    stretches = gathered(segs.selectExpr(*ks, f"`{seg}`", f"floor(`{seg}` / {int(fan)}) AS {STRETCH}", *map(composed, outs)), [*keys, STRETCH], f"`{seg}`")
+    line = gathered(stretches.selectExpr(*ks, STRETCH, *map(composed, outs)), list(keys), STRETCH)
+    none = [e for o in outs for e in (f"CAST(NULL AS DOUBLE) AS `_y_{o}`", f"CAST(NULL AS BIGINT) AS `_l_{o}`")]
+    line = line.selectExpr("*", *none) if before is None else line.join(before, list(keys), "left")
+    starts = segs.join(spread(stretches.join(spread(line, STRETCH), [*keys, STRETCH]), seg), [*keys, seg])
+    starts = starts.selectExpr(*ks, f"`{seg}`", "_items", *[states(o, f"`_y_{o}`", f"`_l_{o}`") for o in outs])
+    starts = starts.selectExpr(*ks, f"`{seg}`", f"_items[0].{BLK} AS _b0", *[e for o in outs for e in (
+        f"`_s_{o}`.y AS `_y0_{o}`", f"transform(_items, (x, j) -> {first(f'`_s_{o}`[j].y', f'`_s_{o}`[j].l', f'x.`{o}`')}) AS `_y1_{o}`")])
+
+    at = f"CAST({BLK} - _b0 AS INT)"
+    return cur.join(starts, [*keys, seg]).selectExpr(*names, *[
+        f"CASE WHEN `_pv_{o}` IS NULL AND `{src}` IS NULL THEN get(`_y0_{o}`, {at}) ELSE `_P_{o}` * (get(`_y1_{o}`, {at}) + `_Q_{o}`) END AS `{o}`" for o, src in cols.items()])

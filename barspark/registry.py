@@ -37,8 +37,10 @@ def memo(spark: SparkSession, key: tuple, build: Callable[[], object]):
     return _MEMO[k]
 
 
-def clear_memo() -> None:
-    _MEMO.clear()
+def clear_memo(keep: tuple[str, ...] = ()) -> None:
+    """Forget results; what is stored input (``keep``: first words of keys) may stay."""
+    for k in [k for k in _MEMO if k[1] not in keep]:
+        del _MEMO[k]
 
 
 # Comparison rounding: scale, add an offset that is not a short decimal, round
@@ -70,5 +72,5 @@ def finalize(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def load_all() -> dict:
-    from . import registry_core, registry_data  # noqa: F401  (registration side effects)
+    from . import registry_core, registry_data, registry_series  # noqa: F401  (registration side effects)
     return REG

@@ -165,7 +165,6 @@ for _k, _cols, _p, _cond in (
         ("strikes", ["symbol", "ts", "idx", "short_put", "short_call"], BIAS, "eligible"),
         ("wings", ["symbol", "ts", "idx", "put_wing", "call_wing", "long_put", "long_call"], DEFAULT, "eligible"),
         ("credit", ["symbol", "ts", "idx", "net_credit"], DEFAULT, "eligible"),
-        ("strike_check", ["symbol", "ts", "idx", "strikes_ok"], DEFAULT, "eligible"),
         ("expiry_bar", ["symbol", "ts", "idx", "expiry_off"], DEFAULT, "eligible"),
         ("vwap_exit_signal", ["symbol", "ts", "idx", "vwap_hit", "adx_hit"], DEFAULT, "true"),
         ("position_exit", ["symbol", "ts", "idx", "exit_off", "rule_exit", "outcome", "exit_close", "pnl"], DEFAULT,
@@ -257,10 +256,34 @@ register("pnl_moments", _bt_sql(f""" SELECT symbol, count(*) AS n, {r6('avg(pnl)
     lambda spark, sf: finalize(metrics.pnl_moments(result(spark, sf).trades)))
 
 
-register("invalid_positions", _bt_sql(f""" SELECT symbol, idx AS entry_idx, ts AS entry_date,
+# Prices of two symbols hardly move here, so their bands round to one strike and the checks fail.
+FLAT = ("5-LOW", "4-NOT SPECIFIED")
+CALM = P.RunParams(hv_min=0.0, run_id="calm")
+_FLAT_TICKS = ("SELECT o_orderpriority AS symbol, o_orderdate AS ts, o_orderkey AS seq, 100.0 + o_totalprice / CASE WHEN o_orderpriority IN "
+               f"{FLAT!r} THEN 100000000.0 ELSE 100000.0 END AS p, CAST(1 + o_orderkey % 100 AS DOUBLE) AS volume FROM orders")
+
+
+def _flat_sql(body: str) -> str:
+    bars = O.bars_sql(_FLAT_TICKS, 86400)
+    return "WITH RECURSIVE " + O.indicator_ctes(bars, CALM.bb_window, CALM.trend_method) + "," + O.signal_ctes(CALM) + "," + O.position_ctes(CALM) + body
+
+
+def flat_result(spark, sf):
+    def build():
+        t = ticks_orders(spark, sf)
+        calm = lambda c: F.when(F.col("symbol").isin(*FLAT), F.lit(100.0) + (F.col(c) - 100.0) / 1000.0).otherwise(F.col(c))
+        t = t.withColumns({c: calm(c) for c in ("open", "high", "low", "close", "vwap")})
+        return BT.run_backtest(resample_bars(t, "Daily"), blackout_dates(spark), CALM, ["symbol"])
+    return memo(spark, ("flat", sf), build)
+
+
+register("strike_check", _flat_sql(" SELECT symbol, ts, idx, strikes_ok FROM res WHERE eligible"))(
+    lambda spark, sf: finalize(flat_result(spark, sf).bars.filter("eligible").select("symbol", "ts", "idx", "strikes_ok")))
+
+register("invalid_positions", _flat_sql(f""" SELECT symbol, idx AS entry_idx, ts AS entry_date,
   {_sqlcols(['bb_lower', 'bb_upper', 'short_put', 'long_put', 'short_call', 'long_call', 'net_credit'])}
   FROM res WHERE eligible AND NOT strikes_ok"""))(
-    lambda spark, sf: finalize(positions.invalid_positions(result(spark, sf).bars)))
+    lambda spark, sf: finalize(positions.invalid_positions(flat_result(spark, sf).bars)))
 
 
 # --- intraday (F2): bars from events, each timeframe's Bollinger window --------------

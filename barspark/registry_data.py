@@ -336,28 +336,35 @@ register("profile_dataset", f"""SELECT symbol, timeframe, strftime(min(ts), '%Y-
         F.date_format(F.min("ts"), "yyyy-MM-dd").alias("start_date"),
         F.date_format(F.max("ts"), "yyyy-MM-dd").alias("end_date"), F.count(F.lit(1)).alias("row_count"))))
 
-INGEST_SQL = f"""SELECT symbol, 'equity' AS asset_type, 'csv_import' AS vendor, '1d' AS timeframe, strftime(min(ts), '%Y-%m-%d') AS start_date,
-  strftime(max(ts), '%Y-%m-%d') AS end_date, count(*) AS row_count, 'symbol=' || symbol || '/timeframe=1d' AS folder,
-  true AS complete FROM ({DAILY}) b GROUP BY symbol"""
+#: Batches of an ingest: two disjoint ranges, one that overlaps both, and the first once more with other prices.
+INGEST_PARTS = ("ts < TIMESTAMP '1995-01-01'", "ts >= TIMESTAMP '1995-01-01'", "ts >= TIMESTAMP '1994-06-01' AND ts < TIMESTAMP '1995-06-01'")
+INGEST_SQL = f"""WITH b AS ({DAILY}), p AS ({" UNION ALL ".join(f"SELECT {n} AS part, * FROM b WHERE {w}" for n, w in enumerate(INGEST_PARTS))}),
+  d AS (SELECT symbol, strftime(min(ts), '%Y-%m-%d') AS start_date, strftime(max(ts), '%Y-%m-%d') AS end_date, count(*) AS row_count FROM p GROUP BY symbol, part)
+  SELECT symbol, 'equity' AS asset_type, 'csv_import' AS vendor, '1d' AS timeframe, start_date, end_date, row_count,
+  'symbol=' || symbol || '/timeframe=1d/dates=' || start_date || '_' || end_date AS folder, true AS complete FROM d"""
 
 
 def ingest_query(spark, bars, **kw):
-    """Ingest two batches of different symbols into one root, then read the committed catalog
-    back; ``complete``: the registered folder exists with the registered size and checksum
-    and holds the registered rows."""
+    """Ingest every symbol several times into one root (``INGEST_PARTS``), one range a second time
+    with other prices, then read the committed catalog back; ``complete``: the registered
+    folder exists with the registered size and checksum and holds the registered rows."""
     from .sources import ingest
     root, catalog_path = files.scratch(spark, "ingest"), files.scratch(spark, "catalog")
-    first = F.pmod(F.xxhash64("symbol"), F.lit(2)) == 0
-    for batch in (bars.where(first), bars.where(first.isNull() | ~first)):
-        ingest.ingest_frame(spark, batch, "1d", root, catalog_path, **kw)
+    for part in (INGEST_PARTS[0], *INGEST_PARTS):
+        batch = bars.where(part.replace("TIMESTAMP ", "TIMESTAMP_NTZ "))
+        other = part == INGEST_PARTS[0] and not C.snapshot(spark, catalog_path, "datasets").take(1)
+        ingest.ingest_frame(spark, batch.withColumn("close", F.col("close") + 1) if other else batch, "1d", root, catalog_path, **kw)
     ingest.ingest_frame(spark, bars, "1d", root, catalog_path, write=False, **kw)     # known files: no second row
     d, s = C.snapshot(spark, catalog_path, "datasets"), C.snapshot(spark, catalog_path, "symbols")
     found = ingest.stored_folders(spark, root).select(F.col("file_path"), F.col("file_size_bytes").alias("size"), F.col("checksum").alias("sum"))
-    rows = files.scan_parquet_bars(spark, root).groupBy("symbol", "timeframe").agg(F.count(F.lit(1)).alias("n"))
-    j = d.join(s.select("symbol_id", "symbol", "asset_type", "vendor"), "symbol_id").join(found, "file_path", "left").join(rows, ["symbol", "timeframe"], "left")
+    name = lambda c: F.regexp_extract(c, "([^/]*/[^/]*/[^/]*)$", 1)
+    rows = spark.read.schema(files.DATED_SCHEMA).parquet(root).groupBy("symbol", "timeframe", "dates").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.withColumn("dates", F.concat(F.lit("dates="), "dates"))
+    j = d.join(s.select("symbol_id", "symbol", "asset_type", "vendor"), "symbol_id").join(found, "file_path", "left")
+    j = j.withColumn("dates", F.regexp_extract("file_path", "([^/]*)$", 1)).join(rows, ["symbol", "timeframe", "dates"], "left")
     ok = (F.col("size") == F.col("file_size_bytes")) & (F.col("sum") == F.col("checksum")) & (F.col("n") == F.col("row_count"))
     return finalize(j.select("symbol", "asset_type", "vendor", "timeframe", "start_date", "end_date", "row_count",
-                             F.regexp_extract("file_path", "([^/]*/[^/]*)$", 1).alias("folder"), F.coalesce(ok, F.lit(False)).alias("complete")))
+                             name("file_path").alias("folder"), F.coalesce(ok, F.lit(False)).alias("complete")))
 
 
 register("ingest_frame", INGEST_SQL)(lambda spark, sf: ingest_query(spark, daily_bars(spark, sf)))
@@ -405,8 +412,17 @@ def q_incremental(spark, sf):
     return finalize(t.select("symbol", "ts", *BAR6))
 
 
-register("file_fingerprint")(
-    lambda spark, sf: files.file_fingerprint(spark, _daily_csv(spark, sf) + "/*.csv"))
+@register("file_fingerprint", """WITH f AS (SELECT o_orderpriority AS symbol, string_agg(o_orderkey || ',' || o_orderstatus || chr(10), '' ORDER BY o_orderkey) AS body
+    FROM orders GROUP BY o_orderpriority)
+  SELECT symbol, CAST(strlen(body) AS BIGINT) AS length, sha256(body) AS sha256, substr(sha256(body), 1, 16) AS cache_key FROM f""")
+def q_fingerprint(spark, sf):
+    """Files of known bytes: the orders of each priority, one line an order."""
+    path = files.scratch(spark, "fingerprint")
+    o = table(spark, sf, "orders").select(F.concat_ws(",", "o_orderkey", "o_orderstatus").alias("value"), "o_orderkey", F.col("o_orderpriority").alias("symbol"))
+    (o.repartition("symbol").sortWithinPartitions("symbol", "o_orderkey").select("value", "symbol").write.partitionBy("symbol").text(path))
+    got = files.file_fingerprint(spark, f"{path}/symbol=*/*.txt")
+    name = F.regexp_extract("path", "symbol=([^/]*)/", 1)
+    return finalize(got.select(name.alias("symbol"), "length", "sha256", "cache_key"))
 
 
 # --- exports (formatted, written, read back) ------------------------------------------
@@ -455,9 +471,12 @@ def q_export_rejected(spark, sf):
                                 F.col("blackout").cast("boolean").alias("blackout")))
 
 
-@register("export_run_json")
+@register("export_run_json", O.daily_backtest_with(DEFAULT) + O.summary_select() + f""", b AS (SELECT symbol, count(*) AS n, min(ts) AS t0, max(ts) AS t1 FROM ib GROUP BY symbol)
+  SELECT '{P.VERSION}' AS version, true AS named, n AS rows, strftime(t0, '%Y-%m-%d') AS start, strftime(t1, '%Y-%m-%d') AS end, '{DEFAULT.trend_method}' AS trend_method,
+    CAST({DEFAULT.hv_max} AS DOUBLE) AS hv_max, s.trades, s.wins, {r6('s.total_pnl')} AS total_pnl, {r6('s.win_rate')} AS win_rate, {r6('s.max_drawdown')} AS max_drawdown
+  FROM b JOIN summary s USING (symbol)""")
 def q_export_run(spark, sf):
-    """One JSON document per symbol run: id, time, version, data, parameters, results."""
+    """One JSON document per symbol run: id, time, version, data, parameters, results; read back (``named``: id and time are there)."""
     s = result(spark, sf).summary
     b = daily_bars(spark, sf).groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"), F.min("ts").alias("start"),
                                                      F.max("ts").alias("end"))
@@ -468,7 +487,12 @@ def q_export_run(spark, sf):
                              F.struct(*[c for c in s.columns if c != "symbol"]).alias("results")))
     path = files.scratch(spark, "run-json")
     s.join(b, "symbol").select("symbol", doc.alias("value")).select("value").write.mode("overwrite").text(path)
-    return spark.read.text(path)
+    back = spark.read.schema("run_id string, timestamp string, version string, data struct<rows: bigint, start: string, end: string>, parameters map<string,string>, "
+                             "results struct<trades: bigint, wins: bigint, total_pnl: double, win_rate: double, max_drawdown: double>").json(path)
+    return finalize(back.select(
+        "version", (F.col("run_id").isNotNull() & F.col("timestamp").isNotNull()).alias("named"), "data.rows", F.substring("data.start", 1, 10).alias("start"),
+        F.substring("data.end", 1, 10).alias("end"), F.col("parameters")["trend_method"].alias("trend_method"), F.col("parameters")["hv_max"].cast("double").alias("hv_max"),
+        "results.trades", "results.wins", "results.total_pnl", "results.win_rate", "results.max_drawdown"))
 
 
 # --- run store (2.8) ------------------------------------------------------------------
@@ -686,7 +710,7 @@ def q_spans(spark, sf):
                                    DEFAULT.days_after))
 
 
-@register("ingest_upload", INGEST_SQL.replace("SELECT symbol,", "SELECT upper(symbol) AS symbol,").replace("'csv_import'", "'streamlit_upload'")
+@register("ingest_upload", INGEST_SQL.replace("SELECT symbol, 'equity'", "SELECT upper(symbol) AS symbol, 'equity'").replace("'csv_import'", "'streamlit_upload'")
           .replace("'symbol=' || symbol", "'symbol=' || upper(symbol)"))
 def q_ingest_upload(spark, sf):
     """Upload path: symbol upper-cased, vendor recorded as the upload source."""

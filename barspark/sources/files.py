@@ -11,6 +11,7 @@ from __future__ import annotations
 import csv
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +21,9 @@ from pyspark.sql import types as T
 from ..operators.quality import number, parse_ts
 from ..session import checkpoint_dir
 
+#: First lines of files that are read at a time.
+HEADERS_AT_ONCE = 16
+
 BAR_FIELDS = ["open", "high", "low", "close", "vwap", "volume"]
 
 
@@ -32,15 +36,28 @@ def write_csv(df: DataFrame, path: str) -> str:
     return path
 
 
-def csv_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """(file, header): the first line of each CSV file.
+def csv_headers(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[str, str]]:
+    """(file, first line) of each CSV file that is not empty.
 
-    A file's first split starts at byte 0 and its rows keep their order inside a
-    task, so the first line has the least row number of that split."""
+    The files are listed by Spark without being read; one line of each is then read through
+    Hadoop's file system, several at a time, so a file's rows are read once only, later."""
     paths = [paths] if isinstance(paths, str) else list(paths)
-    lines = spark.read.text(paths).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"))
-    return (lines.withColumn("n", F.monotonically_increasing_id()).where("at = 0")
-                 .groupBy("file").agg(F.min_by("value", "n").alias("header")))
+    listed = [r.path for r in spark.read.format("binaryFile").load(paths).where("length > 0").select("path").collect()]
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def first_line(name: str) -> tuple[str, str]:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        stream = path.getFileSystem(conf).open(path)
+        try:
+            codec = codecs.getCodec(path)
+            raw = stream if codec is None else codec.createInputStream(stream)
+            return name, jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(raw, "UTF-8")).readLine() or ""
+        finally:
+            stream.close()
+
+    with ThreadPoolExecutor(HEADERS_AT_ONCE) as pool:
+        return list(pool.map(first_line, listed))
 
 
 def _column_names(header: str) -> list[str]:
@@ -50,8 +67,8 @@ def _column_names(header: str) -> list[str]:
 def csv_groups(spark: SparkSession, paths: str | Sequence[str]) -> list[tuple[list[str], list[str]]]:
     """(column names, files) for each distinct header; a listing, so it is small."""
     groups: dict[str, list[str]] = {}
-    for r in csv_headers(spark, paths).collect():
-        groups.setdefault(r.header, []).append(r.file)
+    for file, header in csv_headers(spark, paths):
+        groups.setdefault(header, []).append(file)
     return [(_column_names(h), sorted(f)) for h, f in sorted(groups.items())]
 
 
@@ -116,9 +133,13 @@ STORE_SCHEMA = T.StructType([
 ])
 
 
+#: Stored bars with the range of days of their data set.
+DATED_SCHEMA = T.StructType([*STORE_SCHEMA.fields, T.StructField("dates", T.StringType())])
+
+
 def scan_parquet_bars(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     df = spark.read.schema(STORE_SCHEMA).parquet(path)
-    return df.select(*columns) if columns else df
+    return df.select(*(columns or STORE_SCHEMA.fieldNames()))     # further partition columns are left out
 
 
 def file_fingerprint(spark: SparkSession, path_glob: str) -> DataFrame:
@@ -168,3 +189,21 @@ def ingest_directory(spark: SparkSession, root: str, pattern: str = "*",
     report = named.select(place.alias("place"), symbol.alias("symbol"), "status", "n").groupBy("place", "symbol", "status").agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"))
     return bars, report.select("symbol", "rows", "status")
+
+
+def segment_table(bars: DataFrame, name: str, path: str, back: int, keys: Sequence[str] = ("symbol",), bar_seconds: int | None = None,
+                  seg_rows: int | None = None, buckets: int = 16) -> DataFrame:
+    """Bars stored the way window plans want them: row index, segments and their halo of ``back`` rows,
+    bucketed and sorted by (keys, segment, index).
+
+    Windows of up to ``back`` rows per (keys, segment) read the table ``name`` without an exchange
+    (``plans.ordered.home`` keeps each segment's own rows)."""
+    from .. import params as P
+    from ..operators.indicators import indexed_bars
+    from ..plans import ordered
+
+    rows = ordered.halo(indexed_bars(bars, keys, bar_seconds or P.SMALLEST_BAR_SECONDS), back=back, seg_rows=seg_rows or ordered.SEG_ROWS)
+    by = [*keys, ordered.SEG]
+    (rows.repartition(buckets, *by).sortWithinPartitions(*by, "idx").write.mode("overwrite").format("parquet").option("path", path)
+     .bucketBy(buckets, *by).sortBy(*by, "idx").saveAsTable(name))
+    return bars.sparkSession.table(name)

@@ -57,5 +57,19 @@ def test_second_ingest_keeps_other_data_sets(spark, tmp_path):
     assert rows() == {("A", "1d"): 3, ("B", "1d"): 2, ("A", "1h"): 4}
     known = {r.file_path: (r.file_size_bytes, r.checksum) for r in catalog.snapshot(spark, cat, "datasets").collect()}
     assert known == {r.file_path: (r.file_size_bytes, r.checksum) for r in ingest.stored_folders(spark, root).collect()} and len(known) == 3
+    # the same range again replaces its data set, another range is one of its own
+    again = bars("B", 2).where("ts > '2024-01-01'").unionByName(bars("B", 1)).unionByName(bars("B", 1))
+    ingest.ingest_frame(spark, again, "1d", root, cat, description="twice")
     ingest.ingest_frame(spark, bars("B", 1), "1d", root, cat)
-    assert rows() == {("A", "1d"): 3, ("B", "1d"): 1, ("A", "1h"): 4}
+    assert rows() == {("A", "1d"): 3, ("B", "1d"): 4, ("A", "1h"): 4}
+    facts = lambda: sorted((r.file_path, r.row_count, r.file_size_bytes, r.checksum) for r in catalog.snapshot(spark, cat, "datasets").collect())
+    stored = {r.file_path: (r.file_size_bytes, r.checksum) for r in ingest.stored_folders(spark, root).collect()}
+    assert {f[0]: f[2:] for f in facts()} == stored and [f[1] for f in facts() if "symbol=B" in f[0]] == [1, 3]
+    # a batch reads its own folders only: the files of another data set may even be unreadable
+    broken = next(p for p in (tmp_path / "bars" / "symbol=A" / "timeframe=1h").rglob("*.parquet"))
+    broken.write_bytes(b"not parquet")
+    ingest.ingest_frame(spark, bars("C", 2), "1d", root, cat)
+    assert len(facts()) == 5
+    # an unfinished commit is not seen
+    (tmp_path / "catalog" / "v=99" / "symbols").mkdir(parents=True)
+    assert len(facts()) == 5

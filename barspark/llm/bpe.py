@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import ship
 
 LEAF = 24
-#: Distinct pieces (of up to ``MEMO_CHARS`` characters) a worker remembers, twice.
-MEMO, MEMO_CHARS = 100_000, 64
+#: Distinct pieces (of up to ``MEMO_CHARS`` characters) a task remembers, twice.
+MEMO, MEMO_CHARS = 60_000, 64
 #: Characters of the texts that are cut into pieces and encoded together.
 CHUNK_CHARS = 1 << 18
 
@@ -180,6 +180,9 @@ class Codec:
         ends = (4 * np.cumsum(alive.sum(axis=1))).tolist()
         return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
+    def forget(self) -> None:
+        self.memo, self.old, self._stable = {}, {}, {}
+
     def learn(self, pieces: set[str]) -> None:
         """Put the packed ids of ``pieces`` into the memo."""
         short: list[tuple[str, bytes]] = []
@@ -228,6 +231,7 @@ class Codec:
 _NONE = 1 << 40
 
 
+#: The last vocabulary of a worker. What its tasks remember is freed when they end.
 _CODECS: dict[tuple, Codec] = {}
 
 
@@ -285,5 +289,7 @@ def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str
                     flat = np.concatenate([np.empty(0, np.uint32), *lists]).astype(np.int32)
                     cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        codec.forget()
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

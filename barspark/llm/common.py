@@ -14,6 +14,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import checkpoint_dir
 
@@ -121,9 +122,29 @@ def _drop_all() -> None:
             _delete(spark, path)
 
 
+def text_input(docs: DataFrame, text_col: str, keep: list[str]) -> tuple[DataFrame, int]:
+    """(the columns ``keep`` of ``docs`` and its text as a string, the number of the text's column).
+
+    A text that is kept as a string already is not sent to Python twice."""
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep])
+    if text_col in keep and isinstance(docs.schema[text_col].dataType, T.StringType):
+        return rows, keep.index(text_col)
+    return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_own_text")), len(keep)
+
+
+#: Bytes of an Arrow batch, unless the session says otherwise than Spark's default.
+BATCH_BYTES, BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, as ``--py-files`` would; once a context."""
+    """Give the Python workers this package, as ``--py-files`` would; once a context.
+
+    Texts may be long: batches sent to Python are bounded in bytes where the session left the default."""
     context = spark.sparkContext
+    if getattr(context, "_barspark_batches", None) is None:
+        context._barspark_batches = spark.conf.get(BATCH_CONF, None)
+    if spark.conf.get(BATCH_CONF, None) == context._barspark_batches == str(64 << 20):
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
     if getattr(context, "_barspark_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent

@@ -31,8 +31,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import SHINGLE_WORDS, shingle_hashes, ship, word_hashes, words
+from .common import SHINGLE_WORDS, shingle_hashes, ship, text_input, text_slices, word_hashes, words
 
 RADIUS = 3
 BLOCKS = RADIUS + 1
@@ -196,46 +197,52 @@ class Items:
 def matches(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, start_word, n_words, similarity: one row a contaminated pair."""
-    kind = docs.schema[id_col].dataType.simpleString()
+    kind, item_kind = docs.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
+    item_type = to_arrow_type(items.schema[item_col].dataType)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out = None
     for shared in _passes(items, item_col, item_text):
         def run(batches, shared=shared):
             known = Items(shared.value)
-            for b in batches:
+            for b in text_slices(batches, 1):
                 if found := _found(known, b.column(1)):
                     d, i, s, w, sim = zip(*found, strict=True)
                     yield pa.RecordBatch.from_arrays(
-                        [b.column(0).take(pa.array(d)), pa.array([known.ids[x] for x in i], pa.int64()),
+                        [b.column(0).take(pa.array(d)), pa.array([known.ids[x] for x in i], item_type),
                          pa.array(s, pa.int64()), pa.array(w, pa.int64()), pa.array(sim, pa.float64())],
                         names=["doc_id", "item_id", "start_word", "n_words", "similarity"])
 
-        found = texts.mapInArrow(run, f"doc_id {kind}, item_id bigint, start_word bigint, n_words bigint, similarity double")
+        found = texts.mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, start_word bigint, n_words bigint, similarity double")
         out = found if out is None else out.union(found)
     return out
 
 
 def clean(docs: DataFrame, items: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the contaminated documents; no shuffle."""
+    names = docs.columns
     for shared in _passes(items, item_col, item_text):
         def run(batches, shared=shared):
             known = Items(shared.value)
-            for b in batches:
+            for b in text_slices(batches, at):
                 hit = np.ones(b.num_rows, bool)
-                hit[[d for d, *_ in _found(known, b.column(b.num_columns - 1))]] = False
-                yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in b.columns[:-1]], names=b.schema.names[:-1])
+                hit[[d for d, *_ in _found(known, b.column(at))]] = False
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(hit)) for c in b.columns[:len(names)]], names=names)
 
-        docs = docs.withColumn("_own_text", F.col(f"`{text_col}`").cast("string")).mapInArrow(run, docs.schema)
+        given, at = text_input(docs, text_col, names)
+        docs = given.mapInArrow(run, docs.schema)
     return docs
 
 
-def _passes(items: DataFrame, item_col: str, item_text: str) -> list:
-    """Broadcast lists of (id, text), each of about ``ITEMS_PER_PASS`` items."""
+def _passes(items: DataFrame, item_col: str, item_text: str):
+    """Broadcast lists of (id, text), each of about ``ITEMS_PER_PASS`` different items; one is read at a time.
+
+    Rows with equal id and text are one item; ids keep their type."""
     ship(items.sparkSession)
-    queries = items.select(F.col(item_col).cast("bigint").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null")
+    queries = items.select(F.col(item_col).alias("item_id"), F.col(item_text).cast("string").alias("text")).where("text is not null").distinct()
     passes = max(1, -(-queries.count() // ITEMS_PER_PASS))
-    share = F.pmod(F.xxhash64("item_id", "text"), F.lit(passes))
-    return [items.sparkSession.sparkContext.broadcast(sorted(map(tuple, queries.where(share == p).collect()), key=repr)) for p in range(passes)]
+    share = F.pmod(F.xxhash64(F.col("item_id").cast("string"), "text"), F.lit(passes))
+    for p in range(passes):
+        yield items.sparkSession.sparkContext.broadcast(sorted(map(tuple, queries.where(share == p).collect()), key=repr))
 
 
 def _found(items: Items, texts: pa.Array) -> list[tuple[int, int, int, int, float]]:

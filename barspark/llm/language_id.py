@@ -21,15 +21,15 @@ teach nothing; with nothing to learn from every text is ``und`` and rejected.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, text_input, text_slices
 from .samples import by_label
 
 DIMS = 1 << 14
@@ -41,7 +41,8 @@ REJECT_SHARE = 0.5
 UND = "und"
 
 _SPACES = bytes(x if x >= 128 or chr(x).isalpha() else 32 for x in range(256))
-_HAS_LETTER = re.compile(r"[^\W\d_]")
+#: A letter is a character of a Unicode category L*; digits and numbers such as a half or a raised two are none.
+_HAS_LETTER = regex.compile(r"\p{L}")
 
 
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -145,15 +146,15 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[
     new = names
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in new]
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_scored_text"))
+    out, at = text_input(docs, text_col, keep)
     schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema
     schema = schema.add(new[0], "string").add(new[1], "double").add(new[2], "boolean")
 
     def run(batches):
         m = shared.value
-        for b in batches:
-            got = [m.predict(t.as_py()) for t in b.column(b.num_columns - 1)]
+        for b in text_slices(batches, at):
+            got = [m.predict(t.as_py()) for t in b.column(at)]
             lang, score, no = zip(*got, strict=True) if got else ((), (), ())
-            yield pa.RecordBatch.from_arrays(b.columns[:-1] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(no, pa.bool_())], names=keep + list(new))
+            yield pa.RecordBatch.from_arrays(b.columns[:len(keep)] + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(no, pa.bool_())], names=keep + list(new))
 
     return out.mapInArrow(run, schema)

@@ -15,8 +15,8 @@ threshold at all (the cosine is at most the root of that share). Vectors of thos
 lines meet templates by an equi-join on terms, aggregated before the shuffle; templates
 and their term weights are small, bounded tables, and other terms are counted over
 all lines only if such a line holds them. Directories are resolved
-once each: every directory that holds files lists its ancestors (at most
-``DEPTH``), meets the licensed directories by path and keeps the nearest.
+once each: every directory that holds files lists its ancestors,
+meets the licensed directories by path and keeps the nearest.
 
 Defined results: null or empty texts have no lines, null paths no directory; both
 can still be listed without licence. Repeated rows: a path given several times
@@ -45,8 +45,6 @@ TEMPLATES = {
     "MPL-2.0": "This work is subject to the terms of the Mozilla Public License, version 2.0.",
 }
 THRESHOLD = 0.8
-#: Directories above a file that are searched; paths deeper than this keep their last ones.
-DEPTH = 64
 #: Of the bound on the cosine: far above the error of its sums.
 SLACK = 1e-6
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying)(\.[^.]*)?$"
@@ -134,7 +132,7 @@ def scan(files: DataFrame, path_col: str = "path", text_col: str = "text", templ
     places = base.where("path is not null").select(directory(F.col("path")).alias("dir")).distinct()
     parts = F.split("dir", "/")
     above = F.explode(F.when(F.col("dir") == "", F.array(F.struct(F.lit("").alias("up"), F.lit(0).alias("depth")))).otherwise(F.transform(
-        F.sequence(F.greatest(F.size(parts) - DEPTH, F.lit(0)), F.size(parts)),
+        F.sequence(F.lit(0), F.size(parts)),
         lambda k: F.struct(F.array_join(F.slice(parts, F.lit(1), k), "/").alias("up"), k.alias("depth"))))).alias("a")
     near = places.select("dir", above).select("dir", "a.up", "a.depth").join(licensed.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(
         F.max_by(F.struct("up", "licence"), "depth").alias("near")).select("dir", F.col("near.up").alias("from_dir"), F.col("near.licence").alias("dir_licence"))

@@ -46,9 +46,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import bloom_split, drop, shingle_hashes, ship, signed, stored, word_hashes, words
+from .common import bloom_split, drop, shingle_hashes, ship, signed, stored, text_input, text_slices, word_hashes, words
 
 #: Retained values, and how many of them two similar sets share at least when both
 #: are larger than 0.75 times that; for all documents and for candidates.
@@ -78,13 +77,13 @@ def _long_lists(arrays: list[np.ndarray]) -> pa.Array:
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K) -> DataFrame:
     """doc_id, n_shingles, cls (set digest, null when empty), sk (smallest hashes)."""
     def run(batches):
-        for b in batches:
+        for b in text_slices(batches, 1):
             n, cls, sk = [], [], []
             for t in b.column(1):
                 s = shingle_set(t.as_py())
                 n.append(len(s))
                 cls.append(digest(s) if len(s) else None)
-                sk.append(s[:k])
+                sk.append(s[:k].copy())            # a slice would keep the whole set
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), _long_lists(sk)],
                 names=["doc_id", "n_shingles", "cls", "sk"])
@@ -214,7 +213,7 @@ def _close(rows: DataFrame) -> DataFrame:
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(cls, full set) of the wanted classes, recomputed from their first document's text."""
     def run(batches):
-        for b in batches:
+        for b in text_slices(batches, 0):
             full = [shingle_set(t.as_py()) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([digest(s) for s in full], pa.binary()), _long_lists(full)], names=["cls", "full"])
@@ -330,10 +329,9 @@ def _with_class(docs: DataFrame, text_col: str) -> DataFrame:
     names = docs.columns
 
     def run(batches):
-        for b in batches:
-            sets = [shingle_set(t.as_py()) for t in b.column(b.num_columns - 1)]
-            cls = pa.array([digest(s) if len(s) else None for s in sets], pa.binary())
-            yield pa.RecordBatch.from_arrays(b.columns[:-1] + [cls], names=names + ["_cls"])
+        for b in text_slices(batches, at):
+            cls = [digest(s) if len(s) else None for s in (shingle_set(t.as_py()) for t in b.column(at))]
+            yield pa.RecordBatch.from_arrays(b.columns[:len(names)] + [pa.array(cls, pa.binary())], names=names + ["_cls"])
 
-    given = docs.withColumn("_own_text", F.col(f"`{text_col}`").cast("string"))
+    given, at = text_input(docs, text_col, names)
     return given.mapInArrow(run, docs.select("*").schema.add("_cls", "binary"))

@@ -20,7 +20,7 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
 FROM p LEFT JOIN f USING (d)
 """
 
-OP3 = f"""
+_OP3_WITH = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
 w AS (SELECT doc_id, x, regexp_extract_all(x, '{_WORD}') AS ws,
              list_filter(string_split(x, chr(10)), lambda l: length(translate(l, {_BLANKS}, '')) > 0) AS lines FROM t),
@@ -32,11 +32,17 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(translate(x
              CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(r, 0) AS BIGINT) AS n_repeat_words
       FROM w LEFT JOIN cov USING (doc_id)),
 b AS (SELECT *, {" + ".join(f"CASE WHEN {c} THEN {1 << k} ELSE 0 END" for k, c in enumerate(RULES.values()))} AS bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+"""
+OP3 = _OP3_WITH + f"""SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        bits & {mask(POLICIES["base_v1"])} <> 0 AS base_failed, bits & {mask(POLICIES[CURRENT])} = 0 AS kept, CAST(bits AS BIGINT) AS fail_bits
 FROM b
 """
 
+_PLAN = ", ".join(f"('{p}', '{r}', {mask(rules)}, {1 << list(RULES).index(r)})" for p, rules in POLICIES.items() for r in rules)
+ABLATIONS = _OP3_WITH + f"""SELECT policy, rule, count(*) AS docs, count(*) FILTER (bits & every = 0) AS kept, count(*) FILTER (bits & (every - bit) = 0) AS kept_without,
+  count(*) FILTER (bits & every = bit) AS only_this FROM b, (VALUES {_PLAN}) AS p(policy, rule, every, bit) GROUP BY policy, rule
+"""
+
 
 def _url_case(column: int) -> str:
     whens = []
@@ -124,4 +130,4 @@ SELECT a.conv_id, CAST(a.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id,
 FROM full_n a JOIN sums USING (k) LEFT JOIN full_n p ON p.k = a.k[:a.depth - 1] AND a.depth > 0
 """
 
-ORACLES: dict[str, str] = {"op1_warc": OP1, "op3_quality_rules": OP3, "op4_url_filter": OP4, "op5_minhash": OP5, "op8_licences": OP8, "op11_prefix_trie": OP11}
+ORACLES: dict[str, str] = {"op1_warc": OP1, "op3_quality_rules": OP3, "op4_url_filter": OP4, "op5_minhash": OP5, "op8_licences": OP8, "quality_ablations": ABLATIONS, "op11_prefix_trie": OP11}

@@ -44,7 +44,7 @@ from .common import drop, ship, stored
 
 BLOCK = 1024
 #: Depths of the first band, growth of the others' width and its greatest value.
-FIRST, GROWTH, WIDEST = 8, 3, 4096
+FIRST, GROWTH, WIDEST = 4, 3, 4096
 #: Most turns under one prefix that a task may hold while it peels a band.
 GROUP_TURNS = 500_000
 #: Ids of ended conversations are joined to text in blocks of so many possible ids.
@@ -145,14 +145,16 @@ def _band(here: DataFrame, lo: int, hi: int) -> DataFrame:
 
     ``here`` are ended conversations and survivors, with the ``path`` of their turns from lo on.
     """
+    here = stored(here)
     if lo > 0:
+        whole = here
         flat = "aggregate(transform(filter(path, t -> t.pos < depth), t -> t.{0}), 0L, (a, x) -> a ^ x)"
         here = stored(here.select("*", *[F.expr(f"{k} ^ {flat.format(x)}").alias(g) for k, x, g in (("k1", "x1", "g1"), ("k2", "x2", "g2"))]))
         largest = here.groupBy("g1", "g2").agg(F.sum(F.size("path")).alias("n")).agg(F.max("n")).first()[0]
         if (largest or 0) <= GROUP_TURNS:
             dealt = here.repartition("g1", "g2").sortWithinPartitions("g1", "g2")
             out = stored(dealt.mapInArrow(lambda batches: _local(batches, lo, hi), _SCHEMA))
-            drop(here)
+            drop(here, whole)
             return out
         here = here.drop("g1", "g2")
     out, done = [], None

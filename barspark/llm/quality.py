@@ -1,7 +1,9 @@
 """Quality classification by co-training two views.
 
-View 1 sees the text's content (symbols, capitals, repetition, vocabulary),
-view 2 the page's metadata and layout (length, lines, punctuation at line ends).
+View 1 sees the text (symbols, capitals, repetition, vocabulary, lines, punctuation at
+line ends). View 2 sees the page's metadata only: its stated length, source and language,
+the last two hashed into ``SOURCES`` and ``LANGS`` indicators, whose weights are
+learned from training rows; it never reads the text.
 Each view has a logistic model. Over ``ROUNDS`` rounds each view labels the
 unlabelled pool; rows on which it is confident (calibrated probability beyond
 ``CONFIDENT``) join the other view's training rows as pseudo-labels. At the end
@@ -24,10 +26,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shingle_hashes, ship, word_hashes
+from .common import shingle_hashes, ship, text_input, text_slices, word_hashes
 from .samples import SLACK, by_label
 
 LABELLED = 1500
@@ -41,11 +44,23 @@ _SYMBOL = np.frombuffer(bytes(c in b"#*$%&|<>{}[]\\^~_=+@" for c in range(256)),
 _UPPER = np.frombuffer(bytes(65 <= c <= 90 for c in range(256)), np.uint8).astype(bool)
 _LETTER = np.frombuffer(bytes(65 <= c <= 90 or 97 <= c <= 122 or c >= 128 for c in range(256)), np.uint8).astype(bool)
 _DIGIT = np.frombuffer(bytes(48 <= c <= 57 for c in range(256)), np.uint8).astype(bool)
-CONTENT, LAYOUT = 10, 9
+CONTENT, SOURCES, LANGS = 18, 32, 16
+META = 4 + SOURCES + LANGS
 
 
-def features(text: str, n_chars: int | None) -> tuple[list[float], list[float]]:
-    """(content view, metadata and layout view) of a text with words."""
+def metadata(n_chars: int | None, source: str | None, lang: str | None) -> list[float]:
+    """Metadata view: stated length, what is missing, indicators of the hashed source and language."""
+    known = n_chars is not None and n_chars >= 0
+    out = [float(np.log1p(n_chars)) / 10 if known else 0.0, float(not known), float(source is None), float(lang is None)] + [0.0] * (SOURCES + LANGS)
+    if source is not None:
+        out[4 + xxhash.xxh3_64_intdigest(source) % SOURCES] = 1.0
+    if lang is not None:
+        out[4 + SOURCES + xxhash.xxh3_64_intdigest(lang) % LANGS] = 1.0
+    return out
+
+
+def features(text: str) -> list[float]:
+    """Text view of a text with words."""
     data = text.encode("utf-8", "surrogatepass")
     tokens = data.split()
     n = len(tokens)
@@ -71,7 +86,6 @@ def features(text: str, n_chars: int | None) -> tuple[list[float], list[float]]:
     size = len(text)
     layout = [
         float(np.log1p(size)) / 10,
-        float(np.log1p(n_chars if n_chars is not None and n_chars >= 0 else size)) / 10,
         float(np.log1p(len(lines))) / 5,
         float(np.log1p(size / len(lines))) / 10,
         1 - len(set(lines)) / len(lines),
@@ -80,7 +94,7 @@ def features(text: str, n_chars: int | None) -> tuple[list[float], list[float]]:
         int(count[46]) / n,
         float(np.log1p(max(map(len, lines)))) / 10,
     ]
-    return content, layout
+    return content + layout
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -134,7 +148,7 @@ def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray) -> Model:
     held = np.zeros(len(y), bool)
     for label in (0, 1):
         held[np.flatnonzero(y == label)[::4]] = True
-    view = [slice(0, CONTENT), slice(CONTENT, CONTENT + LAYOUT)]
+    view = [slice(0, CONTENT), slice(CONTENT, CONTENT + META)]
     extra: list[dict[int, int]] = [{}, {}]   # pool row -> pseudo-label, for each view's training
     models: list[Logistic] = []
     calibrated: list[Logistic] = []
@@ -155,71 +169,74 @@ def co_train(x: np.ndarray, y: np.ndarray, pool: np.ndarray) -> Model:
     return Model(models, calibrated, Logistic().fit(logits, y[held]))
 
 
-def _matrix(b: pa.RecordBatch, text_at: int, chars_at: int) -> tuple[np.ndarray, np.ndarray]:
-    """(feature rows of texts with words, their positions)."""
+def _matrix(b: pa.RecordBatch, text_at: int, meta_at: int) -> tuple[np.ndarray, np.ndarray]:
+    """(feature rows of texts with words, their positions); metadata are three columns from ``meta_at`` on."""
     rows, at = [], []
-    for k, (t, n) in enumerate(zip(b.column(text_at), b.column(chars_at), strict=True)):
+    for k, (t, *meta) in enumerate(zip(b.column(text_at), *(b.column(meta_at + j).to_pylist() for j in range(3)), strict=True)):
         text = t.as_py()
         if text and text.encode("utf-8", "surrogatepass").split():
-            c, l = features(text, n.as_py())
-            rows.append(c + l)
+            rows.append(features(text) + metadata(*meta))
             at.append(k)
-    return np.array(rows, np.float64).reshape(-1, CONTENT + LAYOUT), np.array(at, np.int64)
+    return np.array(rows, np.float64).reshape(-1, CONTENT + META), np.array(at, np.int64)
 
 
 def _collect(rows: DataFrame, label) -> tuple[np.ndarray, np.ndarray]:
     def run(batches):
-        for b in batches:
+        for b in text_slices(batches, 0):
             x, at = _matrix(b, 0, 1)
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(2).take(pa.array(at))], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(4).take(pa.array(at))], names=["x", "y"])
 
-    got = rows.select("text", "n_chars", label.cast("int").alias("y")).mapInArrow(run, "x array<double>, y int").toArrow()
+    got = rows.select("text", *META_COLS, label.cast("int").alias("y")).mapInArrow(run, "x array<double>, y int").toArrow()
     if not got.num_rows:
-        return np.zeros((0, CONTENT + LAYOUT)), np.zeros(0, np.int64)
+        return np.zeros((0, CONTENT + META)), np.zeros(0, np.int64)
     x = np.array(got.column("x").to_pylist())
     y = np.array([-1 if v is None else v for v in got.column("y").to_pylist()])
     order = np.lexsort(np.column_stack([x, y]).T)   # order of arrival must not matter
     return x[order], y[order]
 
 
-def _inputs(docs: DataFrame, id_col: str, text_col: str, chars_col: str | None) -> DataFrame:
-    chars = F.col(chars_col).cast("bigint") if chars_col in docs.columns else F.lit(None).cast("bigint")
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), chars.alias("n_chars"))
+#: Metadata columns, null where a table lacks them, and their types.
+META_COLS = {"n_chars": "bigint", "source": "string", "lang": "string"}
+
+
+def _meta(docs: DataFrame, prefix: str = "") -> list:
+    return [(F.col(f"`{c}`").cast(kind) if c in docs.columns else F.lit(None).cast(kind)).alias(prefix + c) for c, kind in META_COLS.items()]
+
+
+def _inputs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *_meta(docs))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-        chars_col: str | None = "n_chars") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     ship(docs.sparkSession)
-    rows = _inputs(docs, id_col, text_col, chars_col)
+    rows = _inputs(docs, id_col, text_col)
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(
         (F.avg(label_col) >= 0.5).cast("int").alias("label"))
     # the labels are sampled, not the texts: a few thousand ids are broadcast and no text moves
-    known = rows.join(F.broadcast(by_label(marks, "label", LABELLED, ["doc_id"], 2)), "doc_id")
+    known = rows.join(F.broadcast(by_label(marks, "label", LABELLED, ["doc_id"])), "doc_id")
+    known = known.groupBy("doc_id", "label").agg(F.min(F.struct("text", *META_COLS)).alias("r")).select("label", "r.*")  # an id that comes in many rows is one text
     x, y = _collect(known, F.col("label"))
     total = max(1, rows.count())
     draw = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    pool, _ = _collect(rows.where(draw < min(1.0, SLACK * POOL / total)), F.lit(None))
+    pool, _ = _collect(rows.where(draw < min(1.0, SLACK * POOL / total)).dropDuplicates(["doc_id", "text"]), F.lit(None))
     return co_train(x, y, pool)
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text", chars_col: str | None = "n_chars",
-          names: tuple[str, str] = ("quality_score", "good")) -> DataFrame:
+def score(docs: DataFrame, model: Model, text_col: str = "text", names: tuple[str, str] = ("quality_score", "good")) -> DataFrame:
     """All columns of ``docs`` and the two new ones (which replace columns so named)."""
     ship(docs.sparkSession)
     new = names
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in new]
-    chars = F.col(f"`{chars_col}`").cast("bigint") if chars_col in docs.columns else F.lit(None).cast("bigint")
-    base = docs.select(*[F.col(f"`{c}`") for c in keep])
-    schema = base.schema.add(new[0], "double").add(new[1], "boolean")
-    given = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_scored_text"), chars.alias("_scored_chars"))
+    given, text_at = text_input(docs.select(*[F.col(f"`{c}`") for c in docs.columns], *_meta(docs, "_scored_")), text_col, [*keep, *("_scored_" + c for c in META_COLS)])
+    schema = docs.select(*[F.col(f"`{c}`") for c in keep]).schema.add(new[0], "double").add(new[1], "boolean")
 
     def run(batches):
         m = shared.value
-        for b in batches:
-            x, at = _matrix(b, b.num_columns - 2, b.num_columns - 1)
+        for b in text_slices(batches, text_at):
+            x, at = _matrix(b, text_at, len(keep))
             p = np.zeros(b.num_rows)
             p[at] = m.score(x)
-            yield pa.RecordBatch.from_arrays(b.columns[:-2] + [pa.array(p), pa.array(p >= KEEP)], names=keep + list(new))
+            yield pa.RecordBatch.from_arrays(b.columns[:len(keep)] + [pa.array(p), pa.array(p >= KEEP)], names=keep + list(new))
 
     return given.mapInArrow(run, schema)

@@ -32,6 +32,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("fail_bits").bitwiseAND(base) != 0).alias("base_failed"), "kept", "fail_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy does to ``documents``: docs, kept, kept_without, only_this."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents").select("text")))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables hold no list of URLs; the query lists campaign pages: the canonical
     form of every url that carries a ``utm_`` parameter on some page."""
@@ -46,7 +51,8 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = toxicity.fit(docs.where(fold("doc_id", 5) != 0), table(spark, sf_dir, "labels"))
+    learned = fold("doc_id", 5) != 0
+    model = toxicity.fit(docs.where(learned), table(spark, sf_dir, "labels").where(learned))
     return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
@@ -72,7 +78,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs.select("doc_id", "text", "n_chars"), model).select("doc_id", "quality_score", F.col("good").alias("kept"))
+    return quality.score(docs.select("doc_id", "text", "n_chars", "source", "lang"), model).select("doc_id", "quality_score", F.col("good").alias("kept"))
 
 
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,5 +124,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
-    op1_warc, op2_decontamination, op3_quality_rules, op4_url_filter, op5_minhash, op6_toxicity, op7_bpe, op8_licences, op9_language,
+    op1_warc, op2_decontamination, op3_quality_rules, quality_ablations, op4_url_filter, op5_minhash, op6_toxicity, op7_bpe, op8_licences, op9_language,
     op10_quality, op11_prefix_trie, op12_periodic_runs, op13_repeats, pipeline)}

@@ -276,11 +276,13 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", grou
     keyed = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.xxhash64(text).alias("tx"), F.coalesce(text, F.lit("")).cast("binary").alias("text"))
     known = ["doc_id", "tx"]
 
-    often = places(keyed, False).groupBy("h").count().where("count > 1").select("h")
+    # counts are written before they are joined: both sides of a join are then plain shuffles, whose hot keys Spark can split
+    often = stored(places(keyed, False).groupBy("h").count().where("count > 1").select("h"))
     here = stored(places(keyed, True).join(often, "h", "left_semi"))
-    kinds = here.groupBy("h", "g").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in (*known, "first", "own", "lead")])
-    counts = kinds.groupBy("h").agg(F.count("*").alias("d"))
-    kinds = stored(kinds.join(counts, "h"))
+    every = stored(here.groupBy("h", "g").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in (*known, "first", "own", "lead")]))
+    counts = stored(every.groupBy("h").agg(F.count("*").alias("d")))
+    kinds = stored(every.join(counts, "h"))
+    drop(often, every, counts)
     whole = kinds.where("d = 1 and n > 1").select("h", "g", F.array(F.lit(0), F.col("own")).alias("marks"))
     wanted = kinds.where("d > 1").groupBy(*known).agg(F.collect_list(F.struct("h", "g", "n", "d", "own", "lead", "first")).alias("wanted"))
     same = lambda a, b: reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) for c in known])

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import ship, text_slices
 from .quality import Logistic, _sigmoid
 from .samples import by_label
 
@@ -140,12 +140,14 @@ def train(toxic: list[str], ordinary: list[str], odds: float | None = None) -> M
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(
         (F.avg(label_col) >= 0.5).cast("int").alias("label"))
+    marks = marks.join(docs.select(F.col(id_col).alias("doc_id")), "doc_id", "left_semi")  # what is not given to learn from teaches nothing
     known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(
         F.char_length("text") <= SAMPLE_CHARS)
     # the labels are sampled, not the texts: a few thousand ids are broadcast and no text moves
     picked = by_label(marks.where("label = 1"), "label", TOXIC, ["doc_id"]).unionByName(
         by_label(marks.where("label = 0"), "label", ORDINARY, ["doc_id"]))
-    rows = known.join(F.broadcast(picked), "doc_id").select("label", "text").collect()
+    # an id that comes in many rows is one text
+    rows = known.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("label", "text").collect()
     n = {r.label: r["count"] for r in marks.groupBy("label").count().collect()}
     return train([t for l, t in rows if l == 1], [t for l, t in rows if l == 0], n[1] / n[0] if n.get(0) and n.get(1) else None)
 
@@ -158,7 +160,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in text_slices(batches, 1):
             p = m.scores(b.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 

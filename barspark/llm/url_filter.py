@@ -73,7 +73,7 @@ def judge(pages: DataFrame, listed: DataFrame, url_col: str = "url", rules=RULES
     entries = listed.select(canonical(F.col(listed_col)).alias("_entry")).where("_entry is not null").distinct()
     asked = ruled.where("verdict is null and _canonical is not null")
     may, clear = bloom_split(asked, "_canonical", entries)
-    found = may.join(entries, may["_canonical"] == entries["_entry"], "left").withColumn("listed", F.col("_entry").isNotNull()).drop("_entry")
+    found = may.join(entries.hint("shuffle_hash"), may["_canonical"] == entries["_entry"], "left").withColumn("listed", F.col("_entry").isNotNull()).drop("_entry")
     rest = ruled.where("verdict is not null or _canonical is null").unionByName(clear).withColumn("listed", F.lit(False))
     out = found.unionByName(rest)
     return out.withColumn("verdict", F.coalesce("verdict", F.when(F.col("listed"), "block").otherwise("allow"))).drop("_canonical")

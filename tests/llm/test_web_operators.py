@@ -182,4 +182,4 @@ def test_pipeline(spark, sf, tmp_path):
 def test_registered():
     import __spark_entry__ as entry
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(QUERIES)
-    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")) == list(range(1, 11))
+    assert sorted(int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")) == list(range(1, 14))

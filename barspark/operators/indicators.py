@@ -106,8 +106,10 @@ RAW_COLUMNS = ["bb_mid", "bb_upper", "bb_lower", "rsi", "atr", "plus_di", "minus
 
 
 def averages(h: DataFrame, keys: Sequence[str], before: DataFrame | None = None) -> DataFrame:
-    """RSI, ATR, DI and ADX of rows dealt by (keys, segment), from the start or from stored states."""
-    h = with_ewm(h, keys, AVERAGES[0], ALPHA, before=before)
+    """RSI, ATR, DI and ADX of rows dealt by (keys, segment), from the start or from stored states.
+
+    The second round reads the first one twice, so that is written once."""
+    h = cut_lineage(with_ewm(h, keys, AVERAGES[0], ALPHA, before=before))
     rs = F.try_divide(F.col("_ag"), _nullif0(F.col("_al")))
     h = h.select("*",
                  (F.lit(100.0) - F.try_divide(F.lit(100.0), F.lit(1.0) + rs)).alias("rsi"),

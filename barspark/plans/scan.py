@@ -79,55 +79,57 @@ def with_ewm(df: DataFrame, keys: Sequence[str], cols: dict[str, str], alpha: fl
     kept = dict.fromkeys([*names, f"`{seg}`", BLK, *[f"`_pv_{o}`" for o in outs], *[f"`_P_{o}`" for o in outs]])
     cur = cur.selectExpr(*kept, *[f"sum(`_b_{o}` / `_P_{o}`) {over} CURRENT ROW) AS `_Q_{o}`" for o in outs])
 
-    # summaries (f, fx: first valid position and value; l: last valid position; a, b: map from there to the end)
+    # summaries (f, fx: first valid position and value; l: last valid position; a, b: map from there to the end),
+    # one row a block and average, so that every fold below is written once
     def valid(src: str) -> str:
         return f"CASE WHEN `{src}` IS NOT NULL THEN `{idx}` END"
 
     kind = "STRUCT<f: BIGINT, fx: DOUBLE, l: BIGINT, a: DOUBLE, b: DOUBLE>"
     parts = [f"CAST(struct(min({valid(src)}), min_by(`{src}`, {valid(src)}), max({valid(src)}), min(`_P_{o}`), min(`_P_{o}`) * max_by(`_Q_{o}`, `{idx}`)) AS {kind}) AS `{o}`"
              for o, src in cols.items()]
-    fields = ", ".join(f"`{o}`" for o in outs)
-
-    def composed(o: str) -> str:
-        x, p = f"x.`{o}`", past(f"x.`{o}`.f - acc.l")
-        both = (f"CAST(struct(acc.f, acc.fx, {x}.l, {x}.a * {p} / ({p} + {al}) * acc.a, "
-                f"{x}.a * ({p} / ({p} + {al}) * acc.b + {al} * {x}.fx / ({p} + {al})) + {x}.b) AS {kind})")
-        return (f"aggregate(_items, CAST(struct(NULL, NULL, NULL, 1.0D, 0.0D) AS {kind}), "
-                f"(acc, x) -> CASE WHEN {x}.f IS NULL THEN acc WHEN acc.f IS NULL THEN {x} ELSE {both} END) AS `{o}`")
+    ko = [*ks, "_o"]
+    p = past("x.s.f - acc.l")
+    both = (f"CAST(struct(acc.f, acc.fx, x.s.l, x.s.a * {p} / ({p} + {al}) * acc.a, "
+            f"x.s.a * ({p} / ({p} + {al}) * acc.b + {al} * x.s.fx / ({p} + {al})) + x.s.b) AS {kind})")
+    composed = (f"aggregate(_items, CAST(struct(NULL, NULL, NULL, 1.0D, 0.0D) AS {kind}), "
+                f"(acc, x) -> CASE WHEN x.s.f IS NULL THEN acc WHEN acc.f IS NULL THEN x.s ELSE {both} END) AS s")
 
     def gathered(table: DataFrame, by: list[str], item: str) -> DataFrame:
-        """One row for each ``by`` with the array ``_items`` of its (item, summaries), in order."""
-        return table.groupBy(*by).agg(F.expr(f"array_sort(collect_list(struct({item}, {fields}))) AS _items"))
+        """One row for each ``by`` and average with the array ``_items`` of its (item, summary), in order."""
+        return table.groupBy(*by, "_o").agg(F.expr(f"array_sort(collect_list(struct({item}, s))) AS _items"))
 
     def first(y: str, last: str, x: str) -> str:
         """Average at a summary's first valid row, from the state (y, last) before it."""
         p = past(f"{x}.f - {last}")
         return f"CASE WHEN {last} IS NULL THEN {x}.fx ELSE ({p} * {y} + {al} * {x}.fx) / ({p} + {al}) END"
 
-    def states(o: str, y: str, last: str) -> str:
-        """State (y, l) before each of the ``_items``."""
-        s, end = "STRUCT<y: DOUBLE, l: BIGINT>", f"x.`{o}`.a * {first('acc.s.y', 'acc.s.l', f'x.`{o}`')} + x.`{o}`.b"
-        kinds = f"STRUCT<seen: ARRAY<{s}>, s: {s}>"
-        return (f"aggregate(_items, CAST(struct(array(), struct({y}, {last})) AS {kinds}), (acc, x) -> CAST(struct(concat(acc.seen, array(acc.s)), "
-                f"CASE WHEN x.`{o}`.f IS NULL THEN acc.s ELSE CAST(struct({end}, x.`{o}`.l) AS {s}) END) AS {kinds})).seen AS `_s_{o}`")
+    # state (y, l) before each of the items, from that before all of them
+    state = "STRUCT<y: DOUBLE, l: BIGINT>"
+    fold = f"STRUCT<seen: ARRAY<{state}>, s: {state}>"
+    states = (f"aggregate(_items, CAST(struct(array(), struct(_y, _l)) AS {fold}), (acc, x) -> CAST(struct(concat(acc.seen, array(acc.s)), "
+              f"CASE WHEN x.s.f IS NULL THEN acc.s ELSE CAST(struct(x.s.a * {first('acc.s.y', 'acc.s.l', 'x.s')} + x.s.b, x.s.l) AS {state}) END) AS {fold})).seen AS _states")
 
     def spread(table: DataFrame, item: str) -> DataFrame:
-        """One row an item with the state before it: ``_y_<out>``, ``_l_<out>``."""
-        zipped = ", ".join(f"`_s_{o}`" for o in outs)
-        rows = table.selectExpr(*ks, "_items", *[states(o, f"`_y_{o}`", f"`_l_{o}`") for o in outs])
-        return rows.selectExpr(*ks, f"explode(arrays_zip(_items, {zipped})) AS _z").selectExpr(
-            *ks, f"_z._items.`{item}` AS `{item}`", *[e for o in outs for e in (f"_z.`_s_{o}`.y AS `_y_{o}`", f"_z.`_s_{o}`.l AS `_l_{o}`")])
+        """One row an item with the state before it: ``_y``, ``_l``."""
+        return table.selectExpr(*ko, "_items", states).selectExpr(*ko, "explode(arrays_zip(_items, _states)) AS _z").selectExpr(
+            *ko, f"_z._items.`{item}` AS `{item}`", "_z._states.y AS _y", "_z._states.l AS _l")
 
-    blocks = cur.groupBy(*keys, seg, BLK).agg(*map(F.expr, parts))
+    each = ", ".join(f"struct('{o}' AS _o, `{o}` AS s)" for o in outs)
+    blocks = cur.groupBy(*keys, seg, BLK).agg(*map(F.expr, parts)).selectExpr(*ks, f"`{seg}`", BLK, f"inline(array({each}))")
     segs = gathered(blocks, [*keys, seg], BLK)
-    stretches = gathered(segs.selectExpr(*ks, f"`{seg}`", f"floor(`{seg}` / {int(fan)}) AS {STRETCH}", *map(composed, outs)), [*keys, STRETCH], f"`{seg}`")
-    line = gathered(stretches.selectExpr(*ks, STRETCH, *map(composed, outs)), list(keys), STRETCH)
-    none = [e for o in outs for e in (f"CAST(NULL AS DOUBLE) AS `_y_{o}`", f"CAST(NULL AS BIGINT) AS `_l_{o}`")]
-    line = line.selectExpr("*", *none) if before is None else line.join(before, list(keys), "left")
-    starts = segs.join(spread(stretches.join(spread(line, STRETCH), [*keys, STRETCH]), seg), [*keys, seg])
-    starts = starts.selectExpr(*ks, f"`{seg}`", "_items", *[states(o, f"`_y_{o}`", f"`_l_{o}`") for o in outs])
-    starts = starts.selectExpr(*ks, f"`{seg}`", f"_items[0].{BLK} AS _b0", *[e for o in outs for e in (
-        f"`_s_{o}`.y AS `_y0_{o}`", f"transform(_items, (x, j) -> {first(f'`_s_{o}`[j].y', f'`_s_{o}`[j].l', f'x.`{o}`')}) AS `_y1_{o}`")])
+    stretches = gathered(segs.selectExpr(*ko, f"`{seg}`", f"floor(`{seg}` / {int(fan)}) AS {STRETCH}", composed), [*keys, STRETCH], f"`{seg}`")
+    line = gathered(stretches.selectExpr(*ko, STRETCH, composed), list(keys), STRETCH)
+    if before is None:
+        line = line.selectExpr("*", "CAST(NULL AS DOUBLE) AS _y", "CAST(NULL AS BIGINT) AS _l")
+    else:
+        given = ", ".join(f"struct('{o}' AS _o, `_y_{o}` AS _y, `_l_{o}` AS _l)" for o in outs)
+        line = line.join(before.selectExpr(*ks, f"inline(array({given}))"), [*keys, "_o"], "left")
+    by = [*keys, "_o"]
+    starts = segs.join(spread(stretches.join(spread(line, STRETCH), [*by, STRETCH]), seg), [*by, seg]).selectExpr(*ko, f"`{seg}`", "_items", states)
+    starts = starts.selectExpr(*ko, f"`{seg}`", f"_items[0].{BLK} AS _b0",
+                               f"struct(_states.y AS y0, transform(_items, (x, j) -> {first('_states[j].y', '_states[j].l', 'x.s')}) AS y1) AS _s")
+    starts = starts.groupBy(*keys, seg).agg(F.min("_b0").alias("_b0"), F.map_from_entries(F.collect_list(F.struct("_o", "_s"))).alias("_m"))
+    starts = starts.selectExpr(*ks, f"`{seg}`", "_b0", *[e for o in outs for e in (f"_m['{o}'].y0 AS `_y0_{o}`", f"_m['{o}'].y1 AS `_y1_{o}`")])
 
     at = f"CAST({BLK} - _b0 AS INT)"
     return cur.join(starts, [*keys, seg]).selectExpr(*names, *[

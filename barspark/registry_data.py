@@ -337,7 +337,7 @@ register("profile_dataset", f"""SELECT symbol, timeframe, strftime(min(ts), '%Y-
         F.date_format(F.max("ts"), "yyyy-MM-dd").alias("end_date"), F.count(F.lit(1)).alias("row_count"))))
 
 #: Batches of an ingest: two disjoint ranges, one that overlaps both, and the first once more with other prices.
-INGEST_PARTS = ("ts < TIMESTAMP '1995-01-01'", "ts >= TIMESTAMP '1995-01-01'", "ts >= TIMESTAMP '1994-06-01' AND ts < TIMESTAMP '1995-06-01'")
+INGEST_PARTS = ("ts < TIMESTAMP '1998-01-01'", "ts >= TIMESTAMP '1998-01-01'", "ts >= TIMESTAMP '1997-06-01' AND ts < TIMESTAMP '1998-06-01'")
 INGEST_SQL = f"""WITH b AS ({DAILY}), p AS ({" UNION ALL ".join(f"SELECT {n} AS part, * FROM b WHERE {w}" for n, w in enumerate(INGEST_PARTS))}),
   d AS (SELECT symbol, strftime(min(ts), '%Y-%m-%d') AS start_date, strftime(max(ts), '%Y-%m-%d') AS end_date, count(*) AS row_count FROM p GROUP BY symbol, part)
   SELECT symbol, 'equity' AS asset_type, 'csv_import' AS vendor, '1d' AS timeframe, start_date, end_date, row_count,
@@ -404,7 +404,7 @@ def q_incremental(spark, sf):
     out = files.scratch(spark, "incremental")
     src, args = out + "/in", (out + "/table", out + "/checkpoint")
     rows = _daily_csv_frame(spark, sf, odd_headers=False)
-    early = F.col("timestamp") < "1996"
+    early = F.col("timestamp") < "1998"
     rows.where(early).write.option("header", True).csv(src)
     ingest_incremental(spark, src, *args)
     rows.where(~early).select("timestamp", "symbol", *BAR6[::-1]).write.mode("append").option("header", True).csv(src)

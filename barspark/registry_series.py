@@ -126,7 +126,7 @@ def q_rollup(spark, sf):
 
 # --- difference of two stores ------------------------------------------------------------
 _CHANGED = "symbol = '2-HIGH' AND ts >= TIMESTAMP '1995-01-01' AND ts < TIMESTAMP '1996-01-01' AND day(ts) % 7 = 0"
-_GONE = "symbol = '3-MEDIUM' AND ts < TIMESTAMP '1993-02-01'"
+_GONE = "symbol = '3-MEDIUM' AND ts < TIMESTAMP '1995-02-01'"
 _TWICE = "symbol = '1-URGENT' AND ts >= TIMESTAMP '1996-01-01' AND ts < TIMESTAMP '1996-02-01'"
 
 
@@ -165,7 +165,7 @@ def q_stored_sma(spark, sf):
     return finalize(ordered.home(windows(bars, ["symbol"])).select("symbol", "ts", "idx", "vwap_sma20"))
 
 
-RESUMED = ["1992-01-01", "1994-01-01", "1994-03-01", "9999-01-01"]
+RESUMED = ["1900-01-01", "1998-01-01", "1998-03-01", "9999-01-01"]
 _RES_COLS = ["bb_mid", "bb_width", "rsi", "atr", "plus_di", "minus_di", "adx", "vwap_sma20", "hv"]
 
 

@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import release, ship
 
 LEAF = 24
 #: Distinct pieces (of up to ``MEMO_CHARS`` characters) a task remembers, twice.
@@ -290,6 +290,6 @@ def round_trip(docs: DataFrame, vocabulary_path: str, pattern: str, id_col: str
                     cols.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)))
                 yield pa.RecordBatch.from_arrays(cols, names=names)
         codec.forget()
-        pa.default_memory_pool().release_unused()
+        release()
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -47,7 +48,16 @@ def text_slices(batches, column: int = -1, most: int = SLICE_BYTES):
             stop = max(first + 1, int(np.searchsorted(ends, done + most, side="right")))
             yield b.slice(first, stop - first)
             first, done = stop, int(ends[stop - 1])
+    release()
+
+
+def release() -> None:
+    """Give freed memory back, so that a worker that waits for other work does not hold what its last task needed."""
     pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):     # another C library
+        pass
 
 
 def word_hashes(tokens: list[bytes]) -> np.ndarray:
@@ -132,19 +142,17 @@ def text_input(docs: DataFrame, text_col: str, keep: list[str]) -> tuple[DataFra
     return docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_own_text")), len(keep)
 
 
-#: Bytes of an Arrow batch, unless the session says otherwise than Spark's default.
+#: Bytes of an Arrow batch in sessions that do not set it.
 BATCH_BYTES, BATCH_CONF = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
     """Give the Python workers this package, as ``--py-files`` would; once a context.
 
-    Texts may be long: batches sent to Python are bounded in bytes where the session left the default."""
-    context = spark.sparkContext
-    if getattr(context, "_barspark_batches", None) is None:
-        context._barspark_batches = spark.conf.get(BATCH_CONF, None)
-    if spark.conf.get(BATCH_CONF, None) == context._barspark_batches == str(64 << 20):
+    Texts may be long: batches sent to Python are bounded in bytes where the session does not say how."""
+    if spark.conf.get(BATCH_CONF, None) is None:
         spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+    context = spark.sparkContext
     if getattr(context, "_barspark_shipped", False):
         return
     root = Path(__file__).resolve().parent.parent

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import drop, mix, ship, stored, text_slices
+from .common import drop, mix, release, ship, stored, text_slices
 
 WINDOW = 200
 GRAM = 32
@@ -221,7 +221,7 @@ def indexed(pieces: DataFrame) -> DataFrame:
                 held[h, g] = n, own, piece
         if held:
             yield answer(held)
-        pa.default_memory_pool().release_unused()
+        release()
 
     rows = pieces.select("h", "g", "n", "own", "bytes").repartition("h").sortWithinPartitions("h")
     return rows.mapInArrow(run, "h bigint, g bigint, marks array<int>")

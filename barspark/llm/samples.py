@@ -13,13 +13,14 @@ SLACK = 1.2
 def by_label(rows: DataFrame, label: str, per_label: int, key: list[str]) -> DataFrame:
     """At most about ``per_label`` different rows of each label value, chosen by a hash of ``key``.
 
-    Counts are aggregated first; the choice is a filter, so no label's rows meet
-    in one task. Every value takes part: the values are the classes of a model that
+    Different rows are counted first (by a sketch that combines in the tasks, so that copies of a row do not
+    crowd out a label); the choice is a filter, so no label's rows meet in one task. Every value takes part: the values are the classes of a model that
     the driver holds anyway. Equal rows are drawn together and given once.
     """
-    counts = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("label")).count().orderBy("label").collect()
+    counts = rows.where(F.col(label).isNotNull()).groupBy(F.col(label).cast("string").alias("label")).agg(
+        F.approx_count_distinct(F.xxhash64(*key)).alias("count")).orderBy("label").collect()
     if not counts:
         return rows.limit(0)
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r.label, min(1.0, SLACK * per_label / r["count"]))])
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r.label, min(1.0, SLACK * per_label / max(1, r["count"])))])
     draw = F.pmod(F.xxhash64(*key), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.where(F.col(label).isNotNull() & (draw < F.try_element_at(share, F.col(label).cast("string")))).dropDuplicates()

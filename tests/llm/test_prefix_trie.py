@@ -58,7 +58,7 @@ def conversations():
         for t in range(RND.choice([0, 1, 2, 3, 5, 9, 14])):
             rows.append((c, 2 * t + 1, RND.choice(["user", "assistant", "user", None]), RND.choice(texts[:2] if t < 3 else texts)))
     for c in range(100, 130):                              # long conversations that part late
-        rows += [(c, t, "user", "same" if t < 60 or RND.random() < 0.9 else RND.choice(texts)) for t in range(RND.choice([30, 70, 71, 90]))]
+        rows += [(c, t, "user", "same" if t < 20 or RND.random() < 0.9 else RND.choice(texts)) for t in range(RND.choice([12, 28, 29, 40]))]
     rows += [(c, t, "user", "copy") for c in range(200, 300) for t in range(4)]
     RND.shuffle(rows)
     return rows

@@ -209,16 +209,16 @@ def test_appends_equal_one_run(spark, sf, tmp_path):
     bars = resample_bars(ticks_orders(spark, sf)).where("symbol in ('1-URGENT', '2-HIGH')")
     bars = spark.createDataFrame(bars.orderBy("ts").collect(), bars.schema)
     days = [r.ts for r in bars.select("ts").distinct().orderBy("ts").collect()]
-    cuts = [days[0], *(days[len(days) * k // 5] for k in range(1, 5)), days[-1] + dt.timedelta(days=1)]
+    cuts = [days[0], *(days[len(days) * k // 4] for k in range(1, 4)), days[-1] + dt.timedelta(days=1)]
     cuts[2] = cuts[1] + dt.timedelta(days=1)             # a batch of one day
     path = f"file://{tmp_path}/resumed"
     for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
         part = bars.where((F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b)))
-        if n == 3:
+        if n == 2:
             part = part.where("symbol = '1-URGENT'")      # a key may be absent from a batch
             bars = bars.where(~((F.col("ts") >= F.lit(a)) & (F.col("ts") < F.lit(b)) & (F.col("symbol") == "2-HIGH")))
         resume.append(spark, path, part, n, seg_rows=500)
-    resume.append(spark, path, bars.where(F.col("ts") >= F.lit(cuts[4])), 4, seg_rows=500)   # again
+    resume.append(spark, path, bars.where(F.col("ts") >= F.lit(cuts[3])), 3, seg_rows=500)   # again
     cols = ["symbol", "ts", "idx", *I.RAW_COLUMNS]
     got = resume.stored(spark, path).select(*cols).orderBy("symbol", "ts").toPandas()
     want = I.compute_raw(bars).select(*cols).orderBy("symbol", "ts").toPandas()
@@ -227,7 +227,7 @@ def test_appends_equal_one_run(spark, sf, tmp_path):
         a, b = got[c].astype(float).to_numpy(), want[c].astype(float).to_numpy()
         assert (np.isnan(a) == np.isnan(b)).all() and np.nanmax(np.abs(a - b)) < 1e-8, c
     with pytest.raises(ValueError, match="not later"):
-        resume.append(spark, path, bars.where(F.col("ts") < F.lit(cuts[1])), 5)
+        resume.append(spark, path, bars.where(F.col("ts") < F.lit(cuts[1])), 4)
 
 
 def test_indicator_written_outside_the_package(spark, sf):
@@ -243,11 +243,11 @@ def test_indicator_written_outside_the_package(spark, sf):
 
 
 def test_stream_stopped_and_started_again(spark, sf, tmp_path):
-    ticks = ticks_events(spark, sf).withColumn("f", F.expr("CAST(floor((day(ts) - 1) / 6) AS INT) + CASE WHEN seq % 9 = 0 THEN 2 ELSE 0 END")).cache()
+    ticks = ticks_events(spark, sf).withColumn("f", F.expr("CAST(floor((day(ts) - 1) / 8) AS INT) + CASE WHEN seq % 9 = 0 THEN 2 ELSE 0 END")).cache()
     tables = []
-    for stops in ((6,), (1, 3, 6)):
+    for stops in ((5,), (1, 5)):
         out = f"file://{tmp_path}/{len(stops)}"
-        for k in range(7):
+        for k in range(6):
             ticks.where(F.col("f") == k).drop("f").coalesce(1).write.mode("append").parquet(f"{out}/in")
             if k in stops:
                 bars, late = resample_stream(spark, f"{out}/in", ticks.drop("f").schema, out, 3600, 86_400)

@@ -20,12 +20,27 @@ from pyspark.sql import types as T
 
 from ..operators.resample import order_key
 
-#: Files of one micro-batch: the batches, and with them the watermark, are the same in both passes.
+#: Files of one micro-batch, if the caller does not say: the batches, and with them the watermark, are the same in both passes.
 FILES = 1
 
 
-def _stream(spark: SparkSession, source: str, schema: T.StructType) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(source)
+def _stream(spark: SparkSession, source: str, schema: T.StructType, files: int) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+
+
+def append_arrival(ticks: DataFrame, source: str, files: int) -> None:
+    """Append ``ticks`` under ``source`` as exactly ``files`` files, the batch of one arrival.
+
+    No task holds more than its file; files that have no rows are written too, so that the next arrival begins a new batch."""
+    spark = ticks.sparkSession
+
+    def put(rows: DataFrame) -> int:
+        rows.write.mode("append").option("maxRecordsPerFile", 0).parquet(source)
+        return len(spark.read.schema(ticks.schema).parquet(source).inputFiles())
+
+    there = put(ticks.coalesce(files))
+    while there % files:
+        there = put(ticks.limit(0))
 
 
 #: Batches without files would advance the watermark at the end of a call and make the result depend on where calls end.
@@ -44,13 +59,14 @@ def _run(frame: DataFrame, checkpoint: str, write) -> None:
 
 
 def resample_stream(spark: SparkSession, source: str, schema: T.StructType, out: str, seconds: int, delay_seconds: int,
-                    keys: Sequence[str] = ("symbol",)) -> tuple[DataFrame, DataFrame]:
+                    keys: Sequence[str] = ("symbol",), files: int = FILES) -> tuple[DataFrame, DataFrame]:
     """Take in the files that are new under ``source``; (bars of closed buckets, late rows) of all calls.
 
     Ticks have ``keys``, ts, seq and prices. Buckets that the watermark has not passed
-    stay in the state until later files close them; rows without a time are ignored."""
+    stay in the state until later files close them; rows without a time are ignored. A micro-batch
+    takes ``files`` files, the same number in all calls (see ``append_arrival``)."""
     keys, width = list(keys), f"{int(seconds)} seconds"
-    ticks = _stream(spark, source, schema).where("ts is not null")
+    ticks = _stream(spark, source, schema, files).where("ts is not null")
     # a watermark needs an instant: the wall-clock time in the session's zone, which the engine pins to UTC
     timed = ticks.withColumn("_at", F.col("ts").cast("timestamp_ltz"))
     first = lambda c: F.struct(order_key("ts", "seq").alias("o"), F.col(c).alias("v"))

@@ -22,7 +22,7 @@ from barspark.plans import ordered
 from barspark.plans.scan import with_ewm
 from barspark.sources import files
 from barspark.sources.fixtures import ticks_events, ticks_orders
-from barspark.streaming.resample import resample_stream
+from barspark.streaming.resample import append_arrival, resample_stream
 
 RND = random.Random(21)
 T0 = dt.datetime(2024, 1, 1)
@@ -259,3 +259,36 @@ def test_stream_stopped_and_started_again(spark, sf, tmp_path):
     whole = resample_seconds(ticks.join(late.select("seq"), "seq", "left_anti"), 3600).where(F.col("ts") <= F.lit(top))
     assert sorted(repr((r.symbol, r.ts, r.open, r.close, r.high)) for r in rows.collect()) == sorted(repr((r.symbol, r.ts, r.open, r.close, r.high)) for r in whole.collect())
     ticks.unpersist()
+
+
+def test_stream_batches_of_several_files(spark, sf, tmp_path):
+    """An arrival in three files, also one with a single row or none, is one batch, as in one file."""
+    ticks = ticks_events(spark, sf).withColumn("f", F.expr("CASE WHEN seq = 7 THEN 3 ELSE CAST(floor((day(ts) - 1) / 8) AS INT) + CASE WHEN seq % 9 = 0 THEN 2 ELSE 0 END END"))
+    ticks = ticks.where("f not in (1, 3) or seq = 7").repartition(8).cache()
+    tables = []
+    for files_each in (1, 3):
+        out = f"file://{tmp_path}/{files_each}"
+        for k in range(6):
+            append_arrival(ticks.where(F.col("f") == k).drop("f"), f"{out}/in", files_each)
+            assert len(spark.read.parquet(f"{out}/in").inputFiles()) == (k + 1) * files_each
+            if k in (2, 5):
+                bars, late = resample_stream(spark, f"{out}/in", ticks.drop("f").schema, out, 3600, 86_400, files=files_each)
+        rounded = lambda df: sorted(repr([round(x, 9) if isinstance(x, float) else x for x in r]) for r in df.collect())
+        tables.append((rounded(bars), rounded(late)))
+    assert tables[0] == tables[1] and all(tables[0])
+    ticks.unpersist()
+
+
+def test_stream_input_is_written_without_sorts_in_one_task(spark, sf, monkeypatch):
+    """The rows of an arrival come from a scan, not from a chain of sorted join partitions."""
+    from barspark import registry_series
+    plans = []
+
+    def put(ticks, source, parts):
+        plans.append([n for n, _ in nodes(ticks)])
+        append_arrival(ticks, source, parts)
+
+    monkeypatch.setattr(registry_series, "append_arrival", put)
+    monkeypatch.setattr(registry_series, "STREAM_ROWS", 40)
+    registry_series.q_stream(spark, sf)
+    assert len(plans) == 8 and not any("Join" in n or n in ("Sort", "Exchange", "AdaptiveSparkPlan") for p in plans for n in p)

@@ -41,6 +41,8 @@ are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -169,22 +171,43 @@ def compared_with_hubs(chosen: DataFrame, sets: DataFrame) -> DataFrame:
     return both.withColumn("common", common).withColumn("linked", _similar(common, F.col("n"), F.col("hn"))).drop("hn")
 
 
-def same_hub_pairs(rows: DataFrame) -> DataFrame:
-    """(x, y) of all pairs of one hub but of different components (``root``) that may still be links."""
+def shared_outside(rows: DataFrame) -> DataFrame:
+    """(cls, value) of the shingles that a hub lacks and several of its documents have."""
+    rest = rows.select("cls", "hub", F.explode("rest").alias("value"))
+    often = rest.groupBy("hub", "value").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("hub", "value")
+    return rest.join(often, ["hub", "value"]).select("cls", "value")
+
+
+def _sides(rows: DataFrame) -> tuple[DataFrame, DataFrame, "F.Column"]:
+    """(x: not linked with its hub; y: all; condition for a pair of one hub that may be a link)."""
     slim = rows.select("cls", "n", "hub", "common", "linked", "root")
     x = slim.where(~F.col("linked")).select(F.col("cls").alias("x"), F.col("n").alias("xn"), "hub", F.col("common").alias("xc"), F.col("root").alias("xr"))
     y = slim.select(F.col("cls").alias("y"), F.col("n").alias("yn"), "hub", F.col("common").alias("yc"), F.col("linked").alias("yl"), F.col("root").alias("yr"))
-    apart = (F.col("xr") != F.col("yr")) & _sized("xn", "yn")
-    # a shared shingle that the hub lacks
-    rest = rows.select("cls", "hub", F.explode("rest").alias("value"))
-    shared = rest.join(rest.groupBy("hub", "value").agg(F.count(F.lit(1)).alias("df")).where("df > 1").select("hub", "value"), ["hub", "value"]).select("cls", "value")
-    by_rest = x.join(shared.withColumnRenamed("cls", "x"), "x").join(
+    return x, y, (F.col("xr") != F.col("yr")) & _sized("xn", "yn")
+
+
+def outside_pairs(rows: DataFrame, shared: DataFrame) -> DataFrame:
+    """(x, y) of one hub but of different components (``root``) with a shared shingle that the hub lacks."""
+    x, y, apart = _sides(rows)
+    return x.join(shared.withColumnRenamed("cls", "x"), "x").join(
         y.join(shared.withColumnRenamed("cls", "y"), "y"), ["hub", "value"]).where(apart).select("x", "y")
-    # small enough to lie inside the hub's part
+
+
+def inside_pairs(rows: DataFrame) -> DataFrame:
+    """(x, y) of one hub but of different components, small enough to lie inside the hub's part."""
+    x, y, apart = _sides(rows)
     small = 3 * F.col("yn") <= 7 * F.col("xc") - 3 * F.col("xn")
     back = F.col("yl") | (3 * F.col("xn") <= 7 * F.col("yc") - 3 * F.col("yn"))
     wide = x.where(7 * F.col("xc") * DEN >= 3 * F.col("xn") * (DEN + NUM))
-    return by_rest.union(wide.join(y, "hub").where(apart & small & back).select("x", "y"))
+    return wide.join(y, "hub").where(apart & small & back).select("x", "y")
+
+
+def same_hub_pairs(rows: DataFrame) -> list[DataFrame]:
+    """Written tables (x, y) of all pairs of one hub but of different components that may still be links."""
+    shared = stored(shared_outside(rows))
+    found = [stored(outside_pairs(rows, shared)), stored(inside_pairs(rows))]
+    drop(shared)
+    return found
 
 
 def mixed_lists(lists: DataFrame, rows: DataFrame) -> DataFrame:
@@ -265,9 +288,12 @@ def links(docs: DataFrame, sketches: DataFrame, id_col: str = "doc_id", text_col
     again = stored(compared_with_hubs(hubs(mixed, widest=True), sets))
     comp = components(_close(first).union(_close(again)))
     one, two = _rooted(first, comp), _rooted(again, comp)
-    pairs = same_hub_pairs(one).union(same_hub_pairs(two)).union(list_pairs(mixed, two))
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    late = stored(_verified(_estimated(pairs, shared), sets))
+    # each step is written: one plan of all of them keeps dozens of exchanges, with all their tasks, on the driver at once
+    parts = [*same_hub_pairs(one), *same_hub_pairs(two), stored(list_pairs(mixed, two))]
+    pairs = stored(reduce(DataFrame.union, parts).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    near = stored(_estimated(pairs, shared))
+    late = stored(_verified(near, sets))
+    drop(*parts, pairs, near)
     if not late.isEmpty():
         comp, early = components(comp.toDF("a", "b").union(late)), comp
         drop(early)

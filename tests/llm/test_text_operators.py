@@ -84,6 +84,23 @@ def test_near_duplicates_equal_brute_force(spark):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_plans_are_small(spark, monkeypatch):
+    """No single plan of the linking step keeps dozens of joins and their exchanges on the driver."""
+    joins = []
+
+    def counted(df, **more):
+        joins.append(df._jdf.queryExecution().sparkPlan().toString().count("Join"))
+        return written(df, **more)
+
+    written = near_dedup.stored
+    monkeypatch.setattr(near_dedup, "stored", counted)
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join(base[:k % 7 * 2] + [f"x{k % 5}"] + base[k % 7 * 2:])) for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    near_dedup.links(docs, near_dedup.sketch(docs))
+    assert max(joins) <= 6
+
+
 def test_near_duplicates_edges(spark, edge, none):
     got = near_dedup.near_duplicates(edge)
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
